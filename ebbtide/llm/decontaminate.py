@@ -112,6 +112,15 @@ def judged(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
+    """The documents that are not contaminated, with all their own columns, decided row by row."""
+    own = docs.columns
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own")), "decon-docs")
+    named = keyed.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text"))
+    bad = judged(named, bench, **params).where("contaminated").select(F.col("doc_id").alias("_row"))
+    return keyed.join(bad, "_row", "left_anti").select("_own.*")
+
+
 def query(spark, sf_dir):
     return judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
