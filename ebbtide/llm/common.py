@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors, which share no local folder with the driver, this package; once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in SHIPPED:
+        root = Path(__file__).parents[2]
+        out = tempfile.mkdtemp(prefix="spark-ship-", dir="/tmp")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{out}/ebbtide", "zip", root, "ebbtide"))
+        SHIPPED.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
