@@ -34,7 +34,7 @@ def fx_as_of(s, d):
     day = F.col("o_orderdate").cast("date")
     fx = o.where("o_orderstatus = 'O'").groupBy("ccy", day.alias("date")).agg((F.max("o_totalprice") / 1000).alias("rate"))
     px = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").cast("string").alias("symbol"), "ccy", day.alias("date"), F.col("o_totalprice").alias("price"))
-    return _r(S.as_of(px, fx), "eur")
+    return S.as_of(px, fx)
 
 
 def candidates(s, d):
@@ -91,7 +91,7 @@ f as (select symbol, week, i, k.f fold from i, range(0, 1000) k(f) where t > 104
 select symbol, fold, case when i < fold * 26 + 104 then 'train' else 'test' end as role, count(*) n, min(week) lo, max(week) hi from f group by 1, 2, 3""",
     "fx_as_of": """with o as (select o_orderkey::varchar symbol, 'C' || n_regionkey ccy, o_orderdate::date date, o_totalprice price, o_orderstatus st from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey),
 f as (select ccy, date, max(price) / 1000 rate from o where st = 'O' group by 1, 2)
-select symbol, o.date, o.ccy, round(price * coalesce(a.rate, (select min_by(rate, f.date) from f where f.ccy = o.ccy and f.date >= o.date)), 6) eur
+select symbol, o.date, o.ccy, price * coalesce(a.rate, (select min_by(rate, f.date) from f where f.ccy = o.ccy and f.date >= o.date)) eur
 from o asof left join f a on a.ccy = o.ccy and o.date >= a.date where st <> 'O'""",
     "top_candidates": "select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) rank from part qualify rank <= 4",
     "upsert_prices": """with o as (select o_custkey symbol, o_orderdate::date date, o_totalprice price, o_orderkey ord from orders),
