@@ -6,7 +6,9 @@ Classes join on the shingles of their prefixes, under length and positional boun
 checked once by a suffix filter and the exact intersection. To avoid all pairs within a large group,
 the first round pairs each class only with one centre per prefix shingle, the second only with the
 class that shares the most prefix shingles; the last round pairs all classes that share a prefix
-shingle and are not yet in one component, so no link between components is lost.
+shingle and are not yet in one component, so no link between components is lost. Links within a
+component are then counted exactly: its classes are dealt by length level and hash into blocks of
+bounded size, each pair of blocks is one row, and the counts per class are summed, not written as pairs.
 
 Null, empty or wordless texts have no shingles, link with nothing and are their own component.
 Null doc_ids take part and do not name a component unless it has no other id. Repeated rows give
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import load, written
 
 BUCKET_BITS = 17
+BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 2048
 MULT = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(5)]
 
 
@@ -235,6 +238,109 @@ def components(edges: DataFrame) -> DataFrame:
     return written(comp.select(F.col("v").alias("cls"), "comp"), "cc-comp")
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    if len(x) * len(y) <= 32:
+        return np.array([[len(np.intersect1d(u, v, assume_unique=True)) for v in y] for u in x])
+    tokens, ids = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = sum(map(len, x))
+    places = [np.repeat(np.arange(len(sets)), [len(v) for v in sets]) for sets in (x, y)]
+    counts = [np.bincount(i, minlength=len(tokens)) for i in (ids[:cut], ids[cut:])]
+    pairs = counts[0] * counts[1]
+    out = np.zeros(len(x) * len(y), np.int64)
+    often = pairs * 64 > len(out)
+
+    def listed(keep):
+        for i, place in zip((ids[:cut], ids[cut:]), places):
+            at = np.flatnonzero(keep[i])
+            at = at[np.argsort(i[at], kind="stable")]
+            yield i[at], place[at]
+
+    # Shingles of few sets: every pair of their sets is counted by itself, a bounded number at a time.
+    rare = np.flatnonzero((pairs > 0) & ~often)
+    for some in np.split(rare, np.flatnonzero(np.diff(np.cumsum(pairs[rare]) >> 21)) + 1):
+        keep = np.zeros(len(tokens), bool)
+        keep[some] = True
+        (i, row), (j, col) = listed(keep)
+        n = counts[1][i]
+        start = np.searchsorted(j, i)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        out += np.bincount(np.repeat(row, n) * len(y) + col[at], minlength=len(out))
+    # Shingles of many sets: products of 0-1 matrices.
+    number = np.cumsum(often) - 1
+    for s in range(0, int(often.sum()), 1024):
+        sides = []
+        for (i, place), height in zip(listed(often & (number >= s) & (number < s + 1024)), (len(x), len(y))):
+            m = np.zeros((height, 1024), np.float32)
+            m[place, number[i] - s] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64).ravel()
+    return out.reshape(len(x), len(y))
+
+
+def link_counts(x: list[np.ndarray], y: list[np.ndarray] | None, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of x into y and of each of y into x; without y, within x."""
+    other = x if y is None else y
+    to_x, to_y = np.zeros(len(x), np.int64), np.zeros(len(other), np.int64)
+    size = np.array([len(v) for v in other])
+    for s in range(0, len(x), rows):
+        part = x[s : s + rows]
+        both = shared_counts(part, other)
+        hit = 100 * both >= 80 * (np.array([len(u) for u in part])[:, None] + size - both)
+        to_x[s : s + rows] = hit.sum(1)
+        to_y += hit.sum(0)
+    return (to_x - 1, to_y - 1) if y is None else (to_x, to_y)
+
+
+def degrees(comp: DataFrame, docs: DataFrame, rows: DataFrame, shingles_a_block: int, classes_a_block: int) -> DataFrame:
+    """(cls, n_links): exact number of links of each class of a component.
+
+    Lengths of linked sets differ by a factor of 1.25 at most, hence by one level of a factor 1.3 at most.
+    """
+    sets = sets_of(docs, rows, comp.select("cls")).join(comp, "cls")
+    size = F.length("sh") / 8
+    member = written(sets.withColumn("level", F.floor(F.log(size) / F.log(F.lit(1.3))).cast("int")), "join-members")
+    levels = member.groupBy("comp", "level").agg(F.sum(size).alias("s"), F.count("*").alias("k"))
+    levels = written(
+        levels.select("comp", "level", F.greatest(F.ceil(F.col("s") / shingles_a_block), F.ceil(F.col("k") / classes_a_block)).alias("blocks")), "join-levels"
+    )
+    key = ["comp", "level", "block"]
+    cells = (
+        member.join(levels, ["comp", "level"])
+        .select("comp", "level", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), "cls", "sh")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("cls", "sh")).alias("sets"))
+    )
+    cells = written(cells, "join-cells")
+    each = levels.select("comp", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    same = levels.select("comp", F.col("level").alias("level2"), "blocks").withColumn("from", F.explode(F.array(F.col("level2"), F.col("level2") - 1)))
+    plan = (
+        each.join(same.withColumnRenamed("from", "level"), ["comp", "level"])
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block2"))
+        .where("level < level2 or block <= block2")
+    )
+    names = ["comp", "level2", "block2"]
+    one = cells.select(*key, F.col("sets").alias("x"))
+    two = cells.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("sets").alias("y"))
+    within = (F.col("level") == F.col("level2")) & (F.col("block") == F.col("block2"))
+    alone = plan.where(within).join(one, key).where(F.size("x") > 1).select("x", F.lit(None).cast("array<struct<cls:bigint,sh:binary>>").alias("y"))
+    crossed = plan.where(~within).join(one, key).join(two, names).select("x", "y")
+
+    def run(batches):
+        read = lambda cell: ([r["cls"] for r in cell], [np.frombuffer(r["sh"], np.uint64) for r in cell])
+        for b in batches:
+            cls, n = [], []
+            for i in range(b.num_rows):
+                a, x = read(b.column(0)[i].as_py())
+                c, y = (None, None) if b.column(1)[i].as_py() is None else read(b.column(1)[i].as_py())
+                to_x, to_y = link_counts(x, y)
+                cls += a if y is None else a + c
+                n += to_x.tolist() if y is None else [*to_x.tolist(), *to_y.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64())], ["cls", "n"])
+
+    return alone.union(crossed).mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n_links"))
+
+
 def open_tokens(pre: DataFrame, comp: DataFrame) -> DataFrame:
     """Shared prefix rows whose shingle still lies in two or more components, with the component."""
     member = pre.select("token", "cls", "n", "pos").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -295,12 +401,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows.select("doc_id", "n_shingles", "cls"), comp, links
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, shingles_a_block: int = BLOCK_SHINGLES, classes_a_block: int = BLOCK_CLASSES) -> DataFrame:
     """(doc_id, n_shingles, component_id, cls, n_links) per document; n_links counts links between different texts."""
-    rows, comp, links = linked(docs)
+    rows, comp, _ = linked(docs)
     named = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    degree = degrees(comp, docs, rows, shingles_a_block, classes_a_block)
     return (
         named.join(first, "comp", "left")
         .join(degree, "cls", "left")

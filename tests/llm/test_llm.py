@@ -154,6 +154,26 @@ def test_join(docs):
     assert ngram_join.near_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [{}, dict(shingles_a_block=900, classes_a_block=4)])
+def test_join_link_counts(spark, blocks):
+    rng = random.Random(5)
+    texts = []
+    for size, copies in ((120, 25), (40, 12), (300, 6), (3, 4)):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(words)
+            for _ in range(rng.randint(0, max(1, size // 40))):
+                w[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w + [f"t{i}" for i in range(rng.randint(0, size // 6))]))
+    texts += [texts[0], texts[0].upper(), None, ""]
+    s = [frozenset(sets(t)) for t in texts]
+    kinds = {x for x in s if x}
+    want = {i: sum(y != x and 100 * len(x & y) >= 80 * len(x | y) for y in kinds) for i, x in enumerate(s)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in ngram_join.near_groups(df, **blocks).collect()}
+    assert got == want and max(want.values()) > 8
+
+
 def test_decontaminate(spark, docs):
     long = sample()[6][1].split()
     bench = spark.createDataFrame([(1, " ".join(long[5:25])), (2, None), (3, ""), (4, "ONE, two"), (None, "w1"), (10, "one two")], "item_id long, text string")
