@@ -207,6 +207,18 @@ def test_scores(docs):
         assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
 
 
+def test_every_window_trains(spark):
+    enc = attention_lm.WordIds(BYTE)
+    one = [w for w in ("one two", "alpha beta", "short text", "w1 w2 w3", "red", "a b") if zlib.crc32(enc.text(w.split())[0].tobytes()) % 3]
+    df = spark.createDataFrame([(next(i for i in range(10 * k, 10 * k + 10) if not attention_lm.held_out(i)), t) for k, t in enumerate(one)], "doc_id long, text string")
+    counts = attention_lm.subword_counts(df, BYTE)
+    cls, _ = attention_lm.classes(counts)
+    start = attention_lm.start_weights(counts, cls)
+    for k in range(len(one)):
+        w = attention_lm.train(df.where(f"doc_id div 10 = {k}"), BYTE, cls, start)
+        assert not np.allclose(w["b"], start["b"])
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     w = attention_lm.start_weights(np.ones(attention_lm.IDS), attention_lm.classes(np.ones(attention_lm.IDS))[0])
