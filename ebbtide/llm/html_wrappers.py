@@ -4,8 +4,9 @@ Every page becomes a stream of tag tokens and text slots. Repeated neighbouring
 one repeated group, so pages of a host share few distinct streams; those are counted before any are
 brought together, and aligned one after another: what matches stays, what does not becomes an
 optional group. The result is a union-free expression (plain, optional and repeated groups, slots)
-per host. Its most specific content element is where the host keeps its articles; each page's text
-is what lies there, without boilerplate elements. Pages that lack it are read from their body.
+per host. Of its nodes that are block containers of content, the most specific one that holds at
+least half of the largest text mass is where the host keeps its articles; each page's text is what
+lies there, without boilerplate elements. Pages that lack it are read from their body.
 
 Null or empty html gives an empty text; repeated rows repeat; null urls form one host; an empty
 table gives no rows; other columns are not read. Hot hosts are aligned in salted parts, then once more.
@@ -39,8 +40,8 @@ NEVER_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer header menu nav navbar "
     "navigation newsletter notice popup promo related share sidebar social sponsored".split()
 )
-CONTENT = ("article", "main", "role=article", "role=main")
-CONTENT_WORDS = frozenset("article post entry story content".split())
+CONTAINERS = frozenset("article main section div td".split())
+CONTENT_WORDS = frozenset("article main post entry story content".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -105,14 +106,51 @@ def flat(wrapper):
             yield t
 
 
-def content_element(wrapper: list) -> str:
-    """The host's article element: by tag first, then by its naming words, else the body."""
-    seen = set(flat(wrapper))
-    for tag in CONTENT:
-        if any(t.split(".")[0] == tag for t in seen):
-            return tag
-    best = sorted(t for t in seen if not t.startswith("/") and CONTENT_WORDS & set(t.split(".")[1:]))
-    return best[0] if best else "body"
+def container(tag: str, names: set[str]) -> str | None:
+    """The candidate content element that an opening tag is, without words that number it; else None."""
+    if tag not in CONTAINERS or names & NEVER_WORDS or not (CONTENT_WORDS & names or tag in ("article", "main")):
+        return None
+    return ".".join([tag, *sorted(w for w in names if not any(c.isdigit() for c in w))])
+
+
+def masses(page: str) -> dict[str, int]:
+    """Characters of text in each candidate content element of a page, outside boilerplate elements."""
+    out: dict[str, int] = {}
+    opened: list[tuple[str, str | None]] = []
+    skip, skip_tag, at = 0, "", 0
+    for m in TOKEN.finditer(page):
+        if not skip and m.start() > at and (n := len("".join(page[at : m.start()].split()))):
+            for c in {c for _, c in opened if c}:
+                out[c] = out.get(c, 0) + n
+        at = m.end()
+        tag = (m[3] or "").lower()
+        if skip:
+            if tag == skip_tag:
+                skip += -1 if m[2] else 1
+        elif m[2]:
+            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == tag), None)
+            if k is not None:
+                del opened[k:]
+        elif tag and tag not in VOID:
+            names = named(m[4])
+            if tag in NEVER or (names & NEVER_WORDS and tag not in ("html", "body")):
+                skip, skip_tag = 1, tag
+            elif tag in CONTAINERS:
+                opened.append((tag, container(tag, names)))
+    return out
+
+
+def content_element(wrapper: list, mass: dict[str, int]) -> str:
+    """The host's content element among the wrapper's containers, by text mass; else the body."""
+    nodes = {container(t.split(".")[0], set(t.split(".")[1:])) for t in flat(wrapper) if not t.startswith("/")}
+    held = {c: mass[c] for c in nodes if c and mass.get(c)}
+    most = max(held.values(), default=0)
+    rank = {"article": 0, "main": 1}
+    # Article before main before named containers; of these, the smallest is the most specific.
+    best = sorted((rank.get(c.split(".")[0], 2), n, c) for c, n in held.items() if 2 * n >= most)
+    if not best:
+        return "body"
+    return best[0][2].split(".")[0] if best[0][0] < 2 else best[0][2]
 
 
 def _load(s: str) -> list:
@@ -135,6 +173,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 schema=pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("n", pa.int64())]),
             )
 
+    def weights(batches):
+        for b in batches:
+            counts: dict[tuple, int] = {}
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for c, n in masses(page or "").items():
+                    counts[host or "", c] = counts.get((host or "", c), 0) + n
+            yield pa.RecordBatch.from_pylist(
+                [dict(host=h, node=c, mass=n) for (h, c), n in counts.items()],
+                schema=pa.schema([("host", pa.string()), ("node", pa.string()), ("mass", pa.int64())]),
+            )
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(["n", "skeleton"], ascending=[False, True])
         whole: list | None = None
@@ -143,9 +192,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             whole = other if whole is None else align(whole, other)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [repr(whole)], "n": [int(pdf["n"].sum())]})
 
+    hosted = pages.select(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1).alias("host"), F.col("html").cast("string"))
+    node = hosted.mapInArrow(weights, "host string, node string, mass long").groupBy("host", "node").agg(F.sum("mass").alias("mass"))
+    mass = node.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("mass").alias("masses"))
     counted = (
-        pages.select(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1).alias("host"), F.col("html").cast("string"))
-        .mapInArrow(skeletons, "host string, skeleton string, n long")
+        hosted.mapInArrow(skeletons, "host string, skeleton string, n long")
         .groupBy("host", "skeleton")
         .agg(F.sum("n").alias("n"))
     )
@@ -154,16 +205,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
     parts = salted.groupBy("host", "salt").applyInPandas(lambda p: merge(p[["host", "skeleton", "n"]]), schema)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge(pdf)
-        out["element"] = [content_element(_load(out["skeleton"].iloc[0]))]
+        out = merge(pdf[["host", "skeleton", "n"]])
+        held = pdf["nodes"].iloc[0]
+        mass = {} if held is None else dict(zip(held, pdf["masses"].iloc[0]))
+        out["element"] = [content_element(_load(out["skeleton"].iloc[0]), mass)]
         return out
 
-    done = parts.groupBy("host").applyInPandas(final, schema + ", element string")
+    done = parts.join(mass, "host", "left").groupBy("host").applyInPandas(final, schema + ", element string")
     return done.select("host", F.col("skeleton").alias("wrapper"), "element")
 
 
-def main_blocks(page: str, element: str) -> list[str] | None:
-    """Blocks inside the content element; None where the page has no such element."""
+def main_blocks(page: str, element: str, strict: bool = True) -> list[str] | None:
+    """Blocks inside the content element; None where the page has no such element.
+
+    A strict reading takes no element that is named as boilerplate as the content element.
+    """
     name, _, words = element.partition(".")
     need = set(words.split(".")) if words else set()
     blocks, now = [], []
@@ -189,19 +245,21 @@ def main_blocks(page: str, element: str) -> list[str] | None:
             if tag == skip_tag:
                 skip += -1 if m[2] else 1
             continue
-        if inside and tag == root_tag:
-            inside += -1 if m[2] else 1
-            close()
-            continue
         if not m[2] and tag not in VOID:
             names = named(m[4])
-            if not inside and tag == name and need <= names:
-                inside, root_tag, found = 1, tag, True
-                continue
-            if tag in NEVER or (names & NEVER_WORDS and tag not in ("html", "body")):
+            root = not inside and tag == name and need <= names
+            never = tag in NEVER or (names & NEVER_WORDS and tag not in ("html", "body"))
+            if never and (strict or not root):
                 close()
                 skip, skip_tag = 1, tag
                 continue
+            if root:
+                inside, root_tag, found = 1, tag, True
+                continue
+        if inside and tag == root_tag:
+            inside += -1 if m[2] else 1
+            close()
+            continue
         if tag == "br":
             now.append(" ")
         elif tag in BLOCKS:
@@ -215,10 +273,15 @@ def main_blocks(page: str, element: str) -> list[str] | None:
 def main_text(page: str | None, element: str | None) -> str:
     if not page:
         return ""
-    for e in dict.fromkeys([element or "body", "article", "main", "body"]):
-        blocks = main_blocks(page, e)
+    for e in dict.fromkeys([element or "body", "article", "main"]):
+        blocks = None if e == "body" else main_blocks(page, e)
         if blocks is not None:
             return "\n\n".join(blocks)
+    # An article named like boilerplate (has-sidebar) counts where it holds more text than the rest of the page.
+    found = [main_blocks(page, "body"), main_blocks(page, "article", False), main_blocks(page, "main", False)]
+    found = ["\n\n".join(blocks) for blocks in found if blocks is not None]
+    if found:
+        return max(found, key=len)
     return "\n\n".join(main_blocks("<body>" + page, "body") or [])
 
 

@@ -190,6 +190,18 @@ def test_html(spark):
     assert got == {1: "A & b\n\none two\n\nthree", 2: "", 3: "", 4: "only"}
 
 
+def test_html_content_element(spark):
+    top = "<body><a class='skip-to-content'>Skip to content</a><h1 class='post'>T</h1><div class='author post'>by me</div>"
+    skip = [top + f"<div class='content post'><p>long text number {i} of the page</p><div class='ad'>buy</div><div>kept {i}</div></div><div class='comments'>no</div>" for i in range(3)]
+    role = [f"<body><div class='box'>menu</div><div role='main'><p>role text {i}</p><div class='share'>x</div></div>" for i in range(2)]
+    nested = ["<body><article><p>whole<article class='comment'>reply</article><p>text</article><article class='comment'>late</article>"]
+    named = ["<body><p>aside</p><article class='has-sidebar'><p>still here</article>", "<body><p>a longer text of the page</p><article class='comment'>reply</article>"]
+    pages = [(n, f"http://{h}/{i}", p) for h, k, ps in (("a", 0, skip), ("b", 10, role), ("c", 20, nested), ("d", 30, named)) for i, p in enumerate(ps) for n in [k + i]]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: f"long text number {i} of the page\n\nkept {i}" for i in range(3)} | {10 + i: f"role text {i}" for i in range(2)}
+    assert got == want | {20: "whole\n\ntext", 30: "still here", 31: "a longer text of the page"}
+
+
 def test_scores(docs):
     rows = attention_lm.score(docs, BYTE).collect()
     assert len(rows) == len(sample()) and all(r.score < 0 for r in rows)
