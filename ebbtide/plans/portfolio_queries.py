@@ -76,7 +76,7 @@ QUERIES = {
     "weights_min_cdar": lambda s, d: allocate.weights(_panel(s, d), "min_cdar"),
     "weights_hrp": lambda s, d: allocate.weights(_panel(s, d), "hrp"),
     "weights_min_variance": lambda s, d: allocate.weights(_panel(s, d), "min_variance"),
-    "frontier": lambda s, d: allocate.frontier(_panel(s, d), 6),
+    "frontier": lambda s, d: allocate.frontier(_panel(s, d), 14),
     "bootstrap_projection": lambda s, d: simulate.project(S.weekly_returns(prices(s, d)), 104, 200),
     "portfolio_returns": portfolios,
     "canonical_currency": currencies,

@@ -90,3 +90,8 @@ def test_stream(spark):
         sync(spark.readStream.schema(schema).parquet(f"{top}/in"), f"{top}/out", f"{top}/check").awaitTermination()
     got = sorted((r.symbol, r.price) for r in spark.read.parquet(f"{top}/out/version=2").collect())
     assert got == [("a", 3.0), ("b", 2.0)]
+
+
+def test_frontier_points(spark):
+    rows = E.queries()["frontier"](spark, SF).toPandas()
+    assert rows.point.max() == 13 and np.allclose(rows.groupby("point").w.sum(), 1, atol=1e-6)
