@@ -1,14 +1,17 @@
 """Vector bin packing of token pieces into sequences.
 
-Every document's ids are cut into pieces of at most `max_tokens`; full pieces are sequences of their
-own. Other pieces go to the open sequence with the largest dot product between what the sequence has
-left and what the piece needs, under simultaneous limits on tokens, segments and loss-bearing tokens.
-If none can take the piece whole, the open sequence with the least room is filled by cutting the
-piece, and closed. At a partition's end the open sequences are poured together, again by cutting, so
-at most one sequence a partition is padded beyond the segment and loss limits. Packing needs no shuffle.
-
-Null or empty texts hold the end id alone; repeated rows are packed as often as they occur; an empty
-table gives no rows; other columns are not read by pack().
+A document's ids are a prompt, which bears no loss, and loss-bearing ids after it. Pieces go to the open
+sequence with the largest dot product between what the sequence has left and what the piece needs,
+under simultaneous limits on tokens, segments and loss-bearing tokens. A document over `max_tokens` is
+cut first: full sequences that take prompt and loss-bearing ids in the proportion it has left of them,
+so that neither runs out first, and one piece or two for the rest. If no open sequence can take a piece
+whole, the piece is cut to fill the one it can fill with the least, which is then closed. At a
+partition's end the open sequences are poured together, again by cutting, so padding stays with the
+last few sequences of a partition. Packing needs no shuffle and holds `open_bins` sequences a task.
+
+Null or empty texts hold the end id alone, which bears loss; very long texts are cut as said; equal
+documents and ties of the dot product go in the order they come; repeated rows are packed as often as
+they occur; an empty table gives no rows; other columns are not read by pack().
 """
 
 from __future__ import annotations
@@ -47,59 +50,85 @@ class Packer:
     """Open sequences of one partition, at most `open_bins` at a time."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, open_bins: int):
-        self.cap = np.array([max_tokens, max_segments, max_loss], np.float64)
-        self.room = np.empty((0, 3))
+        self.cap = np.array([max_tokens, max_segments, max_loss], np.int64)
+        self.weight = 1.0 / self.cap**2
+        self.room = np.empty((open_bins, 3), np.int64)
         self.bins: list[list[Piece]] = []
-        self.open_bins = open_bins
-
-    def _need(self, p: Piece) -> np.ndarray:
-        return np.array([len(p.ids), 1, p.loss], np.float64)
 
     def _close(self, i: int) -> list[Piece]:
-        self.room = np.delete(self.room, i, 0)
-        return self.bins.pop(i)
+        """Take sequence i out; the last one moves into its place."""
+        n = len(self.bins) - 1
+        self.room[i] = self.room[n]
+        self.bins[i], self.bins[n] = self.bins[n], self.bins[i]
+        return self.bins.pop()
 
-    def add(self, p: Piece):
-        """Place a piece; yields the sequences this closes."""
-        most = int(self.cap[0])
-        while len(p.ids) > most or p.loss > self.cap[2]:
-            # A full sequence of its own: as many ids as the token and loss limits allow.
-            n = min(len(p.ids), most, len(p.ids) - p.loss + int(self.cap[2]))
-            head, p = p.cut(n)
-            yield [head]
-        if len(p.ids) == 0:
-            return
-        if len(p.ids) == most:
-            yield [p]
-            return
-        need = self._need(p)
-        fits = (self.room >= need).all(1)
-        if not fits.any() and len(self.bins) >= self.open_bins:
-            i = int(np.argmin(self.room[:, 0]))
-            n = int(self.room[i, 0])
-            n = min(n, len(p.ids) - p.loss + int(self.room[i, 2]))
-            if n > 0 and self.room[i, 1] >= 1 and n < len(p.ids):
-                head, p = p.cut(n)
-                self.bins[i].append(head)
-            yield self._close(i)
-            need = self._need(p)
-            fits = (self.room >= need).all(1)
-        if fits.any():
-            score = np.where(fits, (self.room / self.cap) @ (need / self.cap), -1.0)
-            i = int(np.argmax(score))
-        else:
-            self.bins.append([])
-            self.room = np.vstack([self.room, self.cap])
-            i = len(self.bins) - 1
+    def _put(self, i: int, p: Piece):
         self.bins[i].append(p)
-        self.room[i] -= need
-        if self.room[i].min() <= 0:
+        self.room[i] -= (len(p.ids), 1, p.loss)
+        if self.room[i].min() <= 0 and (self.room[i, 0] <= 0 or self.room[i, 1] <= 0):
             yield self._close(i)
 
+    def add(self, p: Piece):
+        """Place a document; yields the sequences this closes."""
+        most, segments, most_loss = self.cap.tolist()
+        ids, prompt = p.ids, len(p.ids) - p.loss
+        lead, tail = 0, prompt  # next prompt id and next loss-bearing id
+        while prompt - lead + len(ids) - tail > most and segments > 1:
+            free, left = prompt - lead, len(ids) - tail
+            loss = min(most_loss, max(most - free, round(most * left / (free + left))))
+            plain = min(free, most - loss)
+            if plain + loss < most:
+                break
+            yield [q for q in (self._part(p, lead, plain), self._part(p, tail, loss)) if len(q.ids)]
+            lead, tail = lead + plain, tail + loss
+        if lead == 0 and tail == prompt:
+            yield from self._add(p)
+        else:
+            for q in (self._part(p, lead, prompt - lead), self._part(p, tail, len(ids) - tail)):
+                yield from self._add(q)
+
+    @staticmethod
+    def _part(p: Piece, at: int, n: int) -> Piece:
+        first_loss = len(p.ids) - p.loss
+        return Piece(p.doc, p.start + at, p.ids[at : at + n], p.doc_tokens, max(0, at + n - max(at, first_loss)))
+
+    def _add(self, p: Piece):
+        while len(p.ids):
+            k = len(self.bins)
+            room = self.room[:k]
+            need = np.array([len(p.ids), 1, p.loss])
+            fits = (room >= need).all(1)
+            if fits.any():
+                i = int(np.argmax(np.where(fits, room @ (need * self.weight), -1.0)))
+                yield from self._put(i, p)
+                return
+            # What each open sequence could take of the piece's beginning.
+            plain = len(p.ids) - p.loss
+            takes = np.minimum(np.minimum(room[:, 0], len(p.ids)), plain + room[:, 2])
+            fills = (takes == room[:, 0]) & (takes > 0)
+            if k < len(self.room) and (len(p.ids) <= self.cap[0] and p.loss <= self.cap[2]):
+                self.room[k] = self.cap
+                self.bins.append([])
+                yield from self._put(k, p)
+                return
+            if fills.any():
+                i = int(np.argmin(np.where(fills, takes, self.cap[0] + 1)))
+                head, p = p.cut(int(takes[i]))
+                yield from self._put(i, head)
+                continue
+            if k < len(self.room):
+                head, p = p.cut(int(min(len(p.ids), self.cap[0], plain + self.cap[2])))
+                self.room[k] = self.cap
+                self.bins.append([])
+                yield from self._put(k, head)
+                continue
+            yield self._close(int(np.argmin(room[:, 0])))
+
     def finish(self):
         """Pour the open sequences together, cutting pieces at each sequence's end."""
         now, room = [], self.cap.copy()
-        for p in sorted((p for b in self.bins for p in b), key=lambda p: -len(p.ids)):
+        # Prompts and loss-bearing pieces alternate as their shares do, so that no limit binds early.
+        for p in self._blended([p for b in self.bins for p in b]):
             while len(p.ids):
                 n = int(min(room[0], len(p.ids), len(p.ids) - p.loss + room[2]))
                 if n <= 0 or room[1] < 1:
@@ -108,10 +137,22 @@ class Packer:
                     continue
                 head, p = p.cut(n)
                 now.append(head)
-                room -= self._need(head)
+                room -= (len(head.ids), 1, head.loss)
         if now:
             yield now
-        self.bins, self.room = [], np.empty((0, 3))
+        self.bins = []
+
+    @staticmethod
+    def _blended(pieces: list[Piece]) -> list[Piece]:
+        heavy = sorted((p for p in pieces if 4 * p.loss > 3 * len(p.ids)), key=lambda p: -len(p.ids))
+        light = sorted((p for p in pieces if 4 * p.loss <= 3 * len(p.ids)), key=lambda p: -len(p.ids))
+        total, loss = sum(len(p.ids) for p in pieces), sum(p.loss for p in pieces)
+        out, seen, borne = [], 0, 0
+        while heavy or light:
+            p = (light if not heavy or (light and borne * total > loss * seen) else heavy).pop(0)
+            out.append(p)
+            seen, borne = seen + len(p.ids), borne + p.loss
+        return out
 
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -122,18 +163,20 @@ def pack(
     path: str,
     end_id: int = 0,
     max_tokens: int = 1024,
-    max_segments: int = 512,
-    max_loss_tokens: int = 1024,
+    max_segments: int = 32,
+    max_loss_tokens: int = 896,
     open_bins: int = 64,
     with_ids: bool = True,
+    prompt_share: float = 0.25,
 ) -> DataFrame:
     """One row a piece: its document, range, place in a sequence and (with_ids) its ids.
 
     An optional column `loss_from` gives the number of leading ids that bear no loss (prompts of
-    instruction data); without it all ids bear loss. sequence_id is (partition << 32) + a counter.
+    instruction data); without it, or where it is null, the first `prompt_share` of a document's ids is
+    its prompt. sequence_id is (partition << 32) + a counter.
     """
     has_loss = "loss_from" in docs.columns
-    loss_from = F.col("loss_from").cast("long") if has_loss else F.lit(0).cast("long")
+    loss_from = (F.col("loss_from") if has_loss else F.lit(None)).cast("long")
     schema = COLUMNS + (", ids array<int>" if with_ids else "")
 
     def run(batches):
@@ -163,12 +206,14 @@ def pack(
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for b in batches:
-            for doc, text, skip in zip(*(c.to_pylist() for c in b.columns)):
-                ids = np.append(enc.ids(text), np.uint32(end_id)).astype(np.uint32)
-                loss = max(0, len(ids) - max(0, skip or 0))
-                for s in packer.add(Piece(doc, 0, ids, len(ids), loss)):
-                    emit(s)
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                docs, texts, skips = (c.to_pylist() for c in big.slice(at, 64).columns)
+                flat, size = enc.closed(texts, end_id)
+                for doc, skip, ids in zip(docs, skips, np.split(flat, np.cumsum(size)[:-1])):
+                    prompt = int(len(ids) * prompt_share) if skip is None else max(0, skip)
+                    for s in packer.add(Piece(doc, 0, ids, len(ids), max(0, len(ids) - prompt))):
+                        emit(s)
                 if len(rows) > 4000:
                     yield batch()
         for s in packer.finish():
@@ -181,4 +226,5 @@ def pack(
 
 
 def query(spark, sf_dir):
+    """Documents carry no masks: the first quarter of each one's ids counts as its prompt."""
     return pack(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)

@@ -55,7 +55,7 @@ def test_counts(docs):
 
 
 def test_store(docs):
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in repair_store.read_blocks(repair_store.write_blocks(docs, BYTE)).collect())
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in repair_store.read_shards(repair_store.write_shards(docs, BYTE, shard_tokens=900)).collect())
     at = 0
     by_id = {}
     for r in sample():
@@ -67,29 +67,57 @@ def test_store(docs):
     assert [g[1] for g in got] == sorted((r[0] for r in sample()), key=lambda x: (x is not None, x))
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n", "\n\n", "a\n\nb\n\n\nc", "a \nb", "a\n b", "a\t b", "a\r\nb", "\x1c a\x1cb", "x\x85y", "x\u3000y", "don't it's", "İ Σ ς", "<|endoftext|> q", "漢字 ab", ""])
+def test_chunks_equal_the_library(text):
+    from ebbtide.llm import tokenids
+
+    assert tokenids.encoder(BYTE).many([text, "x", text])[0].tolist() == [*tokens("byte_bpe_50k.json", text), *tokens("byte_bpe_50k.json", "x"), *tokens("byte_bpe_50k.json", text)]
+    path = tokenizer_path("word_bpe_49k.json")
+    assert tokenids.counter(path).trust(tokenids.prove_whole(path)).count(text) == len(tokens("word_bpe_49k.json", text))
+
+
+@pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip(seed):
-    seq = np.random.default_rng(seed).integers(0, 3 + seed * 20, 4000).astype(np.uint32)
+    seq = np.random.default_rng(seed).integers(0, 1 + seed * 20, 4000).astype(np.uint32)
     rules, size, out = repair_store.re_pair(seq)
     assert (repair_store.expand(rules, out) == seq).all() and len(out) <= len(seq)
     assert (repair_store.decode_range(rules, size, out, 1000, 1100) == seq[1000:1100]).all()
-
-
-def test_packing(docs):
-    rows = packing.pack(docs, BYTE).collect()
-    want = sorted(tuple(tokens("byte_bpe_50k.json", r[1]) + [0]) for r in sample())
+    pairs, n = np.unique(np.stack([out[:-1], out[1:]]), axis=1, return_counts=True)
+    # No pair is frequent any more; of overlapping twins every second place counts.
+    assert (n < np.where(pairs[0] == pairs[1], 32, 16)).all()
+    assert repair_store.re_pair(seq[:0])[2].size == 0
+
+
+@pytest.mark.parametrize("limits", [dict(max_tokens=1024, max_segments=32, max_loss_tokens=896), dict(max_tokens=64, max_segments=3, max_loss_tokens=52)])
+def test_packing(spark, limits):
+    """Tiling, starts, checksums, all three limits, gapless offsets and little padding, against the library's ids."""
+    docs = spark.createDataFrame(sample(), DOCS).coalesce(1)
+    rows = packing.pack(docs, BYTE, **limits).collect()
+    want = sorted((r[0] is None, r[0] or 0, tuple(tokens("byte_bpe_50k.json", r[1]) + [0])) for r in sample())
     by, seqs = {}, {}
     for r in rows:
-        by.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+        by.setdefault((r.doc_id is None, r.doc_id or 0), []).append(r)
         seqs.setdefault(r.sequence_id, []).append(r)
-        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
-    assert sum(r.length for r in rows) == sum(map(len, want))
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length > 0
+    for key in {w[:2] for w in want}:
+        whole = [w[2] for w in want if w[:2] == key]
+        held = sorted((r.start, r.length, tuple(r.ids)) for r in by[key])
+        assert all({r.doc_tokens for r in by[key]} == {len(w)} for w in whole)
+        places = sorted(i for start, n, _ in held for i in range(start, start + n))
+        assert places == sorted(i for w in whole for i in range(len(w)))
+        assert all(ids == whole[0][start : start + n] for start, n, ids in held)
+    padding = 0
     for s in seqs.values():
         at = 0
         for r in sorted(s, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 1024
+        loss = sum(max(0, r.start + r.length - max(r.start, int(r.doc_tokens * 0.25))) for r in s)
+        assert at <= limits["max_tokens"] and len(s) <= limits["max_segments"] and loss <= limits["max_loss_tokens"]
+        padding += limits["max_tokens"] - at
+    assert any(len(s) == limits["max_segments"] for s in seqs.values()) or limits["max_segments"] == 32
+    assert padding <= 3 * limits["max_tokens"] + (0.1 if limits["max_segments"] == 3 else 0) * sum(len(w[2]) for w in want)
+    assert packing.pack(docs.limit(0), BYTE).count() == 0
 
 
 def test_sharding(spark, docs):
