@@ -34,6 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table made by written() that nothing reads any more; a copy that is gone is no error."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if path.startswith(shared_dir(spark)) or path.startswith(f"file://{shared_dir(spark)}"):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_columns(df: DataFrame) -> list:
+    """A frame's columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

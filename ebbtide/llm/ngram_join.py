@@ -1,18 +1,22 @@
 """N-gram Jaccard join at 0.8 on distinct 5-word shingles, and its connected groups.
 
-Equal shingle sets are one class. A fixed-size hashed frequency table gives every
-shingle a place in one global order, rare ones first; any order is right, rarity only saves work.
-Classes join on the shingles of their prefixes, under length and positional bounds; each pair is
-checked once by a suffix filter and the exact intersection. To avoid all pairs within a large group,
-the first round pairs each class only with one centre per prefix shingle, the second only with the
-class that shares the most prefix shingles; the last round pairs all classes that share a prefix
-shingle and are not yet in one component, so no link between components is lost. Links within a
-component are then counted exactly: its classes are dealt by length level and hash into blocks of
-bounded size, each pair of blocks is one row, and the counts per class are summed, not written as pairs.
-
-Null, empty or wordless texts have no shingles, link with nothing and are their own component.
-Null doc_ids take part and do not name a component unless it has no other id. Repeated rows give
-repeated rows; an empty table gives none; other columns are not read.
+Equal shingle sets are one class. Hashed counts of all shingles give every shingle a place in one
+global order, rare ones first; any order is right, rarity only saves work. Classes join on the
+shingles of their prefixes. Two sets that overlap by `o` have their first common shingle at a place of
+at most n - o in each, which bounds length and position; each pair that passes is checked once by a
+suffix filter and the exact intersection.
+
+To avoid all pairs within a large group, the first round pairs each class only with the hub of each of
+its prefix shingles, the class that shares the most prefix shingles; the second pairs all classes that
+share a prefix shingle and are not yet in one component, so no link between components is lost. Links
+within a component are then counted exactly: a component that fits one block is one unit of work, a
+larger one is dealt by length level and hash into blocks, each pair of near blocks is one unit, and the
+counts per class are summed, not written as pairs. This counting is quadratic in a large component.
+
+Texts are hashed whole, in blocks of bounded size. Null, empty or wordless texts have no shingles, link
+with nothing and are their own component. Null doc_ids take part and do not name a component unless it
+has no other id. Ties between hubs go to the smaller class. Repeated rows give repeated rows; an empty
+table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,133 +27,137 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import drop, load, own_columns, written
+from .wordhash import mixed, word_hashes
 
-BUCKET_BITS = 17
+WORDS = 5
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 2048
-MULT = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(5)]
-
-
-class WordHash(dict):
-    def __missing__(self, w: bytes):
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
-
-
-def every_shingle(text: str | None, memo: WordHash, n: int = 5) -> np.ndarray:
-    """Shingle hashes of the whole text with repeats; fewer words than n make one shingle.
-
-    On UTF-8 bytes, lower() changes A-Z alone and split() parts at x20 and x09-x0D alone.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out += h[i : len(h) - k + 1 + i] * np.uint64(MULT[i])
-    return mixed(out)
-
-
-def shingles(text: str | None, memo: WordHash) -> np.ndarray:
-    """Distinct shingle hashes of the whole text, ascending."""
-    return np.unique(every_shingle(text, memo))
+MULT = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
+BATCH = 256
+
+
+def every_shingle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes with repeats, number per text); a text of fewer words than five has one, without words none."""
+    h, k = word_hashes(texts)
+    start = np.cumsum(k) - k
+    n = np.where(k >= WORDS, k - WORDS + 1, np.minimum(k, 1))
+    out = np.empty(int(n.sum()), np.uint64)
+    first = np.cumsum(n) - n
+    long = k >= WORDS
+    if long.any():
+        at = np.repeat(start[long] - first[long], n[long])
+        place = np.repeat(long, n)
+        at = at + np.flatnonzero(place)
+        s = np.full(len(at), WORDS, np.uint64)
+        for i in range(WORDS):
+            s += h[at + i] * MULT[i]
+        out[place] = s
+    for t in np.flatnonzero((k > 0) & ~long):
+        s = np.uint64(k[t])
+        with np.errstate(over="ignore"):
+            for i in range(k[t]):
+                s = s + h[start[t] + i] * MULT[i]
+        out[first[t]] = s
+    return mixed(out), n
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct shingle hashes of each whole text, ascending."""
+    h, n = every_shingle(texts)
+    return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])] if len(n) else []
+
+
+def bits_for(n_bytes: int) -> int:
+    """Width of the count sketch: a bucket for some 4 KB of text, at most 2^20 (one byte each is shipped)."""
+    return max(14, min(20, int(n_bytes // 4096).bit_length()))
 
 
 def frequency_table(docs: DataFrame) -> np.ndarray:
-    """Rarity level (0 rare to 255) of each of 2^17 hash buckets, counted over all documents."""
+    """Rarity level (0 rare to 255) of each hash bucket, counted over all documents."""
+    text = F.col("text").cast("string")
+    bits = bits_for(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
 
     def count(batches):
-        memo, c = WordHash(), np.zeros(1 << BUCKET_BITS, np.int64)
+        c = np.zeros(1 << bits, np.int64)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                h = np.concatenate([every_shingle(t, memo) for t in b.column(0).slice(i, 256).to_pylist()])
-                c += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(c))
+            for i in range(0, b.num_rows, BATCH):
+                h, _ = every_shingle(b.column(0).slice(i, BATCH))
+                c += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=len(c))
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(c[at])], ["bucket", "n"])
 
-    rows = (
-        docs.select(F.col("text").cast("string"))
-        .mapInArrow(count, "bucket int, n long")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )  # at most 2^17 rows
-    c = np.zeros(1 << BUCKET_BITS)
+    rows = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^20 rows
+    c = np.zeros(1 << bits)
     c[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
     mean = max(c.mean(), 1.0)
-    return np.clip(np.round(16 * np.log2(np.maximum(c, 1) / mean)) + 64, 0, 255).astype(np.uint64)
-
-
-def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Shingles as single numbers in the global order: rarity level, then hash."""
-    return np.sort((level[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(56)) | (h & np.uint64((1 << 56) - 1)))
+    return np.clip(np.round(16 * np.log2(np.maximum(c, 1) / mean)) + 64, 0, 255).astype(np.uint8)
 
 
-def set_key(h: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)))
+def text_hash(text):
+    return F.xxhash64(text.cast("string"))
 
 
 def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, cls, pre): class of equal sets, and the set's prefix of n - ceil(0.8 n) + 1 shingles.
+    """(rid, doc_id, th, n_shingles, cls, pre): set's 128-bit name, and its prefix of n - ceil(0.8 n) + 1 shingles.
 
     A class's prefix is given by the first of its copies that a task meets, so that large groups of
     copies add few prefixes; copies met by other tasks repeat it, which changes no result.
     """
+    shift, table = np.uint64(64 - int(len(level)).bit_length() + 1), level
 
     def run(batches):
-        memo, met = WordHash(), set()
+        met = set()
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
-                keys = [set_key(x) if len(x) else None for x in sets]
-                pre = []
-                for x, k in zip(sets, keys):
-                    fresh = k is not None and k not in met
-                    pre.append(ordered(x, level)[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) if fresh else None)
-                    met.add(k)
+            for s in range(0, b.num_rows, BATCH):
+                part = b.slice(s, BATCH)
+                h, k = every_shingle(part.column(3))
+                # Shingles as single numbers in the global order: rarity level, then hash.
+                h = (table[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
+                n, keys, pre = [], [], []
+                for x in np.split(h, np.cumsum(k)[:-1]):
+                    x = np.unique(x)
+                    n.append(len(x))
+                    key = xxhash.xxh3_128_digest(x) if len(x) else None
+                    fresh = key is not None and key not in met
+                    pre.append(x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) if fresh else None)
+                    keys.append(key)
+                    met.add(key)
                 if len(met) > 1_000_000:
                     met.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(pre, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "cls", "pre"],
+                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
+                    ["rid", "doc_id", "th", "n_shingles", "cls", "pre"],
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, cls long, pre array<long>")
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("th"), text)
+    return narrow.mapInArrow(run, "rid long, doc_id long, th long, n_shingles long, cls binary, pre array<long>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, c_cls, c_n, c_pos): prefix shingles of two or more classes, with each one's centre.
+    """(token, id, n, pos): prefix shingles of two or more classes; a class's id is its smallest row id.
 
-    One shuffle; the window runs through a sorted token, so a frequent one is streamed, not gathered.
+    The window runs through a sorted token, so a frequent one is streamed, not gathered.
     """
-    tokens = rows.where("pre is not null").select(
-        "cls", F.col("n_shingles").cast("int").alias("n"), F.posexplode("pre").alias("pos", "token")
+    classes = rows.where("cls is not null").groupBy("cls").agg(
+        F.min("rid").alias("id"), F.first("n_shingles").cast("int").alias("n"), F.first("pre", ignorenulls=True).alias("pre")
     )
-    w = Window.partitionBy("token").orderBy("cls")
-    head = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    centre = [F.first(c).over(head).alias(f"c_{c}") for c in ("cls", "n", "pos")]
-    out = tokens.select("token", "cls", "n", "pos", *centre, F.lead("cls").over(w).alias("next"))
-    return out.where("c_cls <> cls or next <> cls").drop("next").dropDuplicates(["token", "cls"])
+    tokens = classes.select("id", "n", F.posexplode("pre").alias("pos", "token"))
+    w = Window.partitionBy("token").orderBy("id")
+    return tokens.select("token", "id", "n", "pos", F.lag("id").over(w).alias("l"), F.lead("id").over(w).alias("r")).where("l is not null or r is not null").drop("l", "r")
+
+
+def overlap(n1, n2):
+    """Least overlap of two linked sets: ceil(4 (n1 + n2) / 9)."""
+    return F.ceil((n1 + n2) * 4 / F.lit(9))
 
 
 def bounds(a: str, b: str):
-    """Length and positional bounds of a pair that shares a token at given places."""
+    """Length and positional bounds of a pair at its first common shingle."""
     n1, n2, i, j = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    length = (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2))
-    most = F.least(i, j) + 1 + F.least(n1 - i - 1, n2 - j - 1)
-    return length & (9 * most >= 4 * (n1 + n2))
+    length = 5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)
+    most = 9 * F.least(n1 - i, n2 - j)
+    return length & (most >= 4 * (n1 + n2))
 
 
 def suffix_allows(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -166,54 +174,56 @@ def suffix_allows(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bo
     return most(x, y, depth) >= need
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, sh) of the wanted classes, their shingles computed again from one copy's whole text.
+def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): one copy's text of each wanted class.
 
-    Texts are found by doc_id; where one id has several texts, the class tells them apart.
+    Texts are found by doc_id and text hash. A bitmap of the wanted keys, of fixed size, keeps most
+    others out of the shuffle; the join decides.
     """
-    rep = rows.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id"))
+    cls = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("rid", "doc_id", "th")).alias("r"))
+    rep = written(cls.select("r.*").join(wanted.select(F.col("id").alias("rid")).distinct(), "rid", "left_semi"), "join-reps")
+    key = F.xxhash64("doc_id", "th")
+    cells = rep.select(F.pmod(key, F.lit(1 << 23)).alias("k")).groupBy(F.floor(F.col("k") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 32 as int))")).alias("v"))
+    held = cells.toPandas()  # at most 2^18 rows
+    bitmap = np.zeros(1 << 18, np.uint32)
+    bitmap[held["w"].to_numpy(np.int64)] = held["v"].to_numpy(np.int64).astype(np.uint32)
 
     def run(batches):
-        memo = WordHash()
         for b in batches:
-            for s in range(0, b.num_rows, 64):
-                part = b.slice(s, 64)
-                sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
-                keys = part.column(0).to_pylist()
-                hit = [(k, x) for k, x in zip(keys, sets) if len(x) and set_key(x) == k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in hit], pa.int64()), pa.array([x.tobytes() for _, x in hit], pa.binary())], ["cls", "sh"]
-                )
+            k = b.column(3).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bitmap[k >> 5] >> (k & 31).astype(np.uint32)) & 1 == 1)).select(["doc_id", "th", "text"])
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    some = some.where("text is not null").select("doc_id", "th", "text", F.pmod(key, F.lit(1 << 23)).alias("k")).mapInArrow(run, "doc_id long, th long, text string")
+    found = some.alias("s").join(rep.alias("r"), F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.th") == F.col("r.th")))
+    return found.select(F.col("r.rid").alias("id"), "s.text").dropDuplicates(["id"])
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(rep, F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    return found.mapInArrow(run, "cls long, sh binary").dropDuplicates(["cls"])
+def linked_texts(u: np.ndarray, v: np.ndarray) -> bool:
+    need = -(-4 * (len(u) + len(v)) // 9)
+    if not suffix_allows(u, v, need):
+        return False
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= 80 * (len(u) + len(v) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose exact Jaccard is at least 0.8."""
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                need = -(-4 * (len(u) + len(v)) // 9)
-                ok = suffix_allows(u, v, need)
-                if ok:
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    ok = 100 * both >= 80 * (len(u) + len(v) - both)
-                keep.append(ok)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    classes = written(sets_of(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "join-wanted")
-    one = classes.select(F.col("cls").alias("a"), F.col("sh").alias("sa"))
-    two = classes.select(F.col("cls").alias("b"), F.col("sh").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+            for s in range(0, b.num_rows, BATCH):
+                part = b.slice(s, BATCH)
+                keep = [linked_texts(u, v) for u, v in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3)))]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, comp): smallest class of each linked class's component, by hooking and contraction."""
+    """(id, comp): smallest class of each linked class's component, by hooking and contraction."""
     maps, live = [], edges
     while True:
         both = live.select("a", "b").union(live.select("b", "a"))
@@ -230,12 +240,12 @@ def components(edges: DataFrame) -> DataFrame:
             "cc-live",
         )
     if not maps:
-        return edges.select(F.col("a").alias("cls"), F.col("a").alias("comp")).limit(0)
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("comp")).limit(0)
     comp = maps[-1].select("v", F.col("p").alias("comp"))
     for up in reversed(maps[:-1]):
         later = comp.select(F.col("v").alias("p"), "comp")
         comp = up.join(later, "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))
-    return written(comp.select(F.col("v").alias("cls"), "comp"), "cc-comp")
+    return written(comp.select(F.col("v").alias("id"), "comp"), "cc-comp")
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -292,147 +302,154 @@ def link_counts(x: list[np.ndarray], y: list[np.ndarray] | None, rows: int = 256
     return (to_x - 1, to_y - 1) if y is None else (to_x, to_y)
 
 
-def degrees(comp: DataFrame, docs: DataFrame, rows: DataFrame, shingles_a_block: int, classes_a_block: int) -> DataFrame:
-    """(cls, n_links): exact number of links of each class of a component.
+def degrees(comp: DataFrame, rows: DataFrame, texts: DataFrame, shingles_a_block: int, classes_a_block: int) -> DataFrame:
+    """(id, n_links): exact number of links of each class of a component.
 
     Lengths of linked sets differ by a factor of 1.25 at most, hence by one level of a factor 1.3 at most.
     """
-    sets = sets_of(docs, rows, comp.select("cls")).join(comp, "cls")
-    size = F.length("sh") / 8
-    member = written(sets.withColumn("level", F.floor(F.log(size) / F.log(F.lit(1.3))).cast("int")), "join-members")
-    levels = member.groupBy("comp", "level").agg(F.sum(size).alias("s"), F.count("*").alias("k"))
-    levels = written(
-        levels.select("comp", "level", F.greatest(F.ceil(F.col("s") / shingles_a_block), F.ceil(F.col("k") / classes_a_block)).alias("blocks")), "join-levels"
-    )
-    key = ["comp", "level", "block"]
+    size = rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("id"), F.first("n_shingles").alias("n")).drop("cls")
+    member = comp.join(size, "id").withColumn("level", F.floor(F.log("n") / F.log(F.lit(1.3))).cast("int"))
+    blocks = lambda s, k: F.greatest(F.ceil(F.sum(s) / shingles_a_block), F.ceil(F.sum(k) / classes_a_block)).cast("int")
+    levels = member.groupBy("comp", "level").agg(F.sum("n").alias("s"), F.count("*").alias("k"))
+    whole = levels.groupBy("comp").agg(blocks("s", "k").alias("all"), F.min("level").alias("low"))
+    # A component that fits one block has one level, 0, of one block.
+    level = F.when(F.col("all") == 1, 0).otherwise(F.col("level")).alias("level")
+    levels = written(levels.join(whole, "comp").select("comp", level, "s", "k").groupBy("comp", "level").agg(blocks("s", "k").alias("blocks")), "join-levels")
     cells = (
-        member.join(levels, ["comp", "level"])
-        .select("comp", "level", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), "cls", "sh")
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("cls", "sh")).alias("sets"))
+        member.join(whole, "comp").select("id", "comp", level).join(levels, ["comp", "level"])
+        .select("id", "comp", "level", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks")
     )
-    cells = written(cells, "join-cells")
-    each = levels.select("comp", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    same = levels.select("comp", F.col("level").alias("level2"), "blocks").withColumn("from", F.explode(F.array(F.col("level2"), F.col("level2") - 1)))
-    plan = (
-        each.join(same.withColumnRenamed("from", "level"), ["comp", "level"])
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block2"))
-        .where("level < level2 or block <= block2")
+    above = levels.select("comp", (F.col("level") - 1).alias("level"), F.col("blocks").alias("up"))
+    below = levels.select("comp", (F.col("level") + 1).alias("level"), F.col("blocks").alias("down"))
+    near = cells.join(above, ["comp", "level"], "left").join(below, ["comp", "level"], "left")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    unit = lambda l, b, m, c: F.struct(l.alias("l"), b.alias("b"), m.alias("m"), c.alias("c"))
+    own, at = F.col("level"), F.col("block")
+    units = F.concat(
+        F.transform(upto(F.col("blocks")), lambda c: unit(own, F.least(at, c), own, F.greatest(at, c))),
+        F.transform(upto(F.col("up")), lambda c: unit(own, at, own + 1, c)),
+        F.transform(upto(F.col("down")), lambda c: unit(own - 1, c, own, at)),
+    )
+    dealt = near.select("id", "comp", "level", "block", F.explode(units).alias("u"))
+    side = (F.col("level") == F.col("u.m")) & (F.col("block") == F.col("u.c")) & ((F.col("u.l") != F.col("u.m")) | (F.col("u.b") != F.col("u.c")))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, right = table["id"].to_numpy(), table["side"].to_numpy()
+        sets = shingle_sets(table["text"].combine_chunks())
+        x, y = ([s for s, r in zip(sets, right) if r == want] for want in (False, True))
+        # A pair of different cells has both sides; a unit of one cell alone has only the left one.
+        if y:
+            to_x, to_y = link_counts(x, y) if x else (np.zeros(0, np.int64), np.zeros(len(y), np.int64))
+            n = np.zeros(len(ids), np.int64)
+            n[~right], n[right] = to_x, to_y
+        else:
+            crossed = bool(table["crossed"][0].as_py())
+            n = np.zeros(len(ids), np.int64) if crossed else link_counts(x, None)[0]
+        return pa.table({"id": ids, "n": n})
+
+    flat = dealt.select("id", "comp", "u", side.alias("side"), ((F.col("u.l") != F.col("u.m")) | (F.col("u.b") != F.col("u.c"))).alias("crossed"))
+    return (
+        flat.join(texts, "id").groupBy("comp", "u").applyInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
     )
-    names = ["comp", "level2", "block2"]
-    one = cells.select(*key, F.col("sets").alias("x"))
-    two = cells.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("sets").alias("y"))
-    within = (F.col("level") == F.col("level2")) & (F.col("block") == F.col("block2"))
-    alone = plan.where(within).join(one, key).where(F.size("x") > 1).select("x", F.lit(None).cast("array<struct<cls:bigint,sh:binary>>").alias("y"))
-    crossed = plan.where(~within).join(one, key).join(two, names).select("x", "y")
-
-    def run(batches):
-        read = lambda cell: ([r["cls"] for r in cell], [np.frombuffer(r["sh"], np.uint64) for r in cell])
-        for b in batches:
-            cls, n = [], []
-            for i in range(b.num_rows):
-                a, x = read(b.column(0)[i].as_py())
-                c, y = (None, None) if b.column(1)[i].as_py() is None else read(b.column(1)[i].as_py())
-                to_x, to_y = link_counts(x, y)
-                cls += a if y is None else a + c
-                n += to_x.tolist() if y is None else [*to_x.tolist(), *to_y.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64())], ["cls", "n"])
-
-    return alone.union(crossed).mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n_links"))
 
 
 def open_tokens(pre: DataFrame, comp: DataFrame) -> DataFrame:
     """Shared prefix rows whose shingle still lies in two or more components, with the component."""
-    member = pre.select("token", "cls", "n", "pos").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    member = pre.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return written(member.join(several, "token"), "join-open")
+    return member.join(several, "token")
 
 
-def centred(member: DataFrame) -> DataFrame:
+def centred(pre: DataFrame) -> DataFrame:
     """Pairs (a, b) of each class with the hub of a shingle: the class that shares the most prefix shingles.
 
     An edited copy's rarest shingles are its own, the original's are shared by all its copies, so
     the hub of a group of edited copies is its original, and links with most of them.
     """
-    weight = member.groupBy("cls").agg(F.count("*").alias("k"))
-    head = Window.partitionBy("token").orderBy(F.desc("k"), "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of = lambda cs: F.struct(*cs)
-    rows = member.join(weight, "cls").select(of(["cls", "n", "pos", "comp"]).alias("x"), "token", "k", "cls")
-    pairs = rows.select("x", F.first("x").over(head).alias("y")).where("x.comp <> y.comp").where(bounds("x", "y"))
-    a, b = F.col("x.cls"), F.col("y.cls")
+    weight = pre.groupBy("id").agg(F.count("*").alias("k"))
+    head = Window.partitionBy("token").orderBy(F.desc("k"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pre.join(weight, "id").select(F.struct("id", "n", "pos").alias("x"), "token", "k", "id")
+    pairs = rows.select("x", F.first("x").over(head).alias("y")).where("x.id <> y.id").where(bounds("x", "y"))
+    a, b = F.col("x.id"), F.col("y.id")
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with class, class to component of linked classes, verified links between classes)."""
-    rows = written(signatures(docs, frequency_table(docs)), "join-sets")
-    pre = written(shared_prefixes(rows), "join-shared")
-    star = (
-        pre.select(F.struct("cls", "n", "pos").alias("x"), F.struct(*[F.col(f"c_{c}").alias(c) for c in ("cls", "n", "pos")]).alias("y"))
-        .where(F.col("x.cls") != F.col("y.cls"))
-        .where(bounds("x", "y"))
-        .select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
-        .distinct()
-    )
-    star = written(star, "join-star")
-    links = written(verified(star, docs, rows), "join-links")
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows with class, id to component of linked classes, tables of the texts of all classes met in pairs)."""
+    signed = written(signatures(docs, frequency_table(docs)), "join-sets")
+    pre = written(shared_prefixes(signed), "join-shared")
+    rows = written(signed.drop("pre"), "join-rows")
+    drop(signed)
+    hub = written(centred(pre), "join-hub")
+    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = [written(texts_of(docs, rows, ids(hub)), "join-texts")]
+    links = written(verified(hub, texts[0]), "join-links")
     comp = components(links)
-    member = open_tokens(pre, comp)
-    hub = written(centred(member).join(star, ["a", "b"], "left_anti"), "join-hub")
-    star = star.union(hub)
-    more = written(verified(hub, docs, rows), "join-hub-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links)
-        member = open_tokens(pre, comp)
+    member = written(open_tokens(pre, comp), "join-open")
+    drop(pre)
     x, y = member.alias("x"), member.alias("y")
     rest = (
         x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")))
+        .where((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
         .where(bounds("x", "y"))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(hub, ["a", "b"], "left_anti")
     )
-    more = written(verified(written(rest, "join-rest"), docs, rows), "join-more")
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links)
-    return rows.select("doc_id", "n_shingles", "cls"), comp, links
+    rest = written(rest, "join-rest")
+    drop(member)
+    if not rest.isEmpty():
+        new = ids(rest).distinct().join(texts[0].select("id"), "id", "left_anti")
+        texts.append(written(texts_of(docs, rows, new), "join-texts"))
+        more = written(verified(rest, texts[0].union(texts[1])), "join-more")
+        if not more.isEmpty():
+            comp = components(links.union(more))
+    return rows, comp, texts
+
+
+def classed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with the id and the component of their class; null for wordless texts."""
+    names = rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("id")).join(comp, "id", "left")
+    return rows.join(names.select("cls", "id", F.coalesce("comp", "id").alias("comp")), "cls", "left")
 
 
 def near_groups(docs: DataFrame, shingles_a_block: int = BLOCK_SHINGLES, classes_a_block: int = BLOCK_CLASSES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls, n_links) per document; n_links counts links between different texts."""
-    rows, comp, _ = linked(docs)
-    named = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    """(doc_id, n_shingles, component_id, n_links) per document; n_links counts links between different sets."""
+    rows, comp, texts = linked(docs)
+    named = written(classed(rows, comp), "join-named")
     first = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    degree = degrees(comp, docs, rows, shingles_a_block, classes_a_block)
+    met = texts[0] if len(texts) == 1 else texts[0].union(texts[1])
+    degree = degrees(comp, rows, met, shingles_a_block, classes_a_block)
     return (
         named.join(first, "comp", "left")
-        .join(degree, "cls", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .join(degree, "id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; wordless documents all stay."""
-    rows, comp, _ = linked(docs)
-    named = rows.where("cls is not null").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    keep = named.groupBy("comp").agg(F.min(F.struct("doc_id", "cls")).alias("k")).select("k.doc_id", "k.cls")
-    fields = docs.schema
+    """One document of each component, the smallest doc_id, with all its columns; wordless documents all stay.
 
-    def run(batches):
-        memo = WordHash()
-        for b in batches:
-            sets = [shingles(t, memo) for t in b.column("text").to_pylist()]
-            yield b.append_column("_cls", pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()))
-
-    tagged = docs.mapInArrow(run, type(fields)(list(fields.fields)).add("_cls", "long"))
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"))
-    held = tagged.alias("t").join(keep.alias("k"), (F.col("t._cls") == F.col("k._cls")) & F.col("t.doc_id").eqNullSafe(F.col("k._id")))
-    one = held.select("t.*").dropDuplicates(["_cls", "doc_id"])
-    return one.unionByName(tagged.where("_cls is null")).drop("_cls")
+    Rows are told apart by doc_id and text; of rows equal in both one stays, too.
+    """
+    rows, comp, texts = linked(docs)
+    named = classed(rows, comp).where("comp is not null")
+    group = named.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    distinct = named.groupBy("comp", "doc_id", "th").agg(F.count("*").alias("copies"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("th") == F.col("k.th"))
+    judged = written(
+        distinct.join(group, "comp").select("doc_id", "th", "copies", chosen.alias("chosen")).where("not chosen or copies > 1"), "join-judged"
+    )
+    for t in texts:
+        drop(t)
+    same = F.col("d._id").eqNullSafe(F.col("j.doc_id")) & (F.col("d._th") == F.col("j.th"))
+    keyed = docs.select(F.struct(*own_columns(docs)).alias("_own"), F.col("doc_id").cast("long").alias("_id"), text_hash(F.col("text")).alias("_th")).alias("d")
+    kept = keyed.join(judged.alias("j"), same, "left_anti")
+    again = judged.where("chosen")
+    if not again.isEmpty():
+        kept = kept.union(keyed.join(again.alias("j"), same, "left_semi").dropDuplicates(["_id", "_th"]))
+    return kept.select("_own.*")
 
 
 def query(spark, sf_dir):
-    return near_groups(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return near_groups(load(spark, sf_dir, "documents"))
