@@ -67,15 +67,12 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])] if len(n) else []
 
 
-def bits_for(n_bytes: int) -> int:
-    """Width of the count sketch: a bucket for some 4 KB of text, at most 2^20 (one byte each is shipped)."""
-    return max(14, min(20, int(n_bytes // 4096).bit_length()))
+def frequency_table(docs: DataFrame, bits: int = 18) -> np.ndarray:
+    """Rarity level (0 rare to 255) of each of 2^bits hash buckets, counted over all documents.
 
-
-def frequency_table(docs: DataFrame) -> np.ndarray:
-    """Rarity level (0 rare to 255) of each hash bucket, counted over all documents."""
-    text = F.col("text").cast("string")
-    bits = bits_for(docs.select(F.sum(F.octet_length(text))).first()[0] or 0)
+    The table has one size for every corpus, as it is shipped to all tasks: shingles that are more than a
+    2^bits-th of all stand out of their bucket, and those are the ones that must not be in prefixes.
+    """
 
     def count(batches):
         c = np.zeros(1 << bits, np.int64)
@@ -86,7 +83,7 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(c[at])], ["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^20 rows
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^bits rows
     c = np.zeros(1 << bits)
     c[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
     mean = max(c.mean(), 1.0)
