@@ -50,7 +50,8 @@ def re_pair(seq: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, n
     sym = np.append(sym, -1).astype(np.int32)  # a sentinel ends the list
     after = np.arange(1, n + 2, dtype=np.int32)
     before = np.arange(-1, n, dtype=np.int32)
-    live = np.arange(max(0, n - 1))
+    live = _perhaps_frequent(sym, least)
+    marked = np.zeros(n, bool)
     rules, top = [], len(known)
     while len(live):
         live, pair = _sorted_pairs(sym, after, live, top)
@@ -77,10 +78,12 @@ def re_pair(seq: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, n
         rules.append(np.stack([left[now], right[now]], 1))
         top += int(now.sum())
         prev = before[pos]
-        live = np.concatenate([live[spread(often[~now])], pos, prev[prev >= 0]])
+        marked[live[spread(often[~now])]] = True
+        marked[pos] = True
+        marked[prev[prev >= 0]] = True
+        live = np.flatnonzero(marked)
+        marked[live] = False
         live = live[(sym[live] >= 0) & (sym[after[live]] >= 0)]
-        live.sort()
-        live = live[np.append(True, live[1:] != live[:-1])] if len(live) else live
     name = np.concatenate([known.astype(np.int64), RULE_BASE + np.arange(top - len(known))])
     flat = name[np.concatenate(rules)] if rules else np.empty((0, 2), np.int64)
     size = np.ones(top, np.int64)
@@ -91,6 +94,13 @@ def re_pair(seq: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, n
     return flat.astype(np.uint32), size[len(known) :], name[sym[sym >= 0]].astype(np.uint32)
 
 
+def _perhaps_frequent(sym: np.ndarray, least: int) -> np.ndarray:
+    """Places of a whole sequence whose pair may occur `least` times, by counts of hashed pairs."""
+    pair = sym[:-2].astype(np.uint32) * np.uint32(0x9E3779B1) + sym[1:-1].astype(np.uint32) * np.uint32(0x85EBCA77)
+    bucket = (pair >> np.uint32(12)).astype(np.int32)
+    return np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= least)
+
+
 def _sorted_pairs(sym, after, live, top: int, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
     """Live places ordered by (pair, place), and their pairs; small numbers sort as one word each."""
     a, b = sym[live].astype(np.int64), sym[after[live]].astype(np.int64)
