@@ -2,10 +2,14 @@
 
 Items are cut into windows of 13 consecutive words (shorter items: one window). A window lies in a
 document only if all its shingles do, so one necessary prefix token is enough: the window's rarest
-shingle, by exact document counts. Documents join on these tokens; length and positional bounds drop
-places where the window cannot fit; the rest are verified word by word over item-sized windows.
-
-Null texts have no words: such documents are clean, such items have no windows. Repeated rows give
+shingle, by exact counts over all documents. One scan keeps the few places of documents that hold any
+benchmark shingle, each with the words around it; places join on the rarest shingles; length and
+positional bounds drop those where the window cannot fit; the rest are verified word by word over
+item-sized windows. Covered words are summed along a document's sorted hits; documents themselves
+never move, and are told apart by doc_id and text hash.
+
+Null texts have no words: such documents are clean, such items have no windows. Very long texts are
+scanned whole. Items with equal windows all count; equal shares of hits decide alike. Repeated rows give
 repeated results; null doc_ids are kept; null item_ids are ignored; empty tables give clean or no
 rows; extra columns are not read. No Python runs on rows. Windows are broadcast only up to
 `broadcast_windows` of them (a count that is checked), and joined by shuffle beyond it.
@@ -13,116 +17,129 @@ rows; extra columns are not read. No Python runs on rows. Windows are broadcast
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, load, written
+from .common import ascii_lower, load, own_columns, written
 
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# As in the contract, but for texts whose A-Z are not yet lower-cased.
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLE = 3
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SEPARATOR), lambda w: w != "")
 
 
 def shingle_hashes(ws: Column, k: int) -> Column:
-    """One hash per place of k consecutive words; places past the end hash nulls and match no window."""
+    """One hash per place of k consecutive words; places past the end hash nulls and match no window.
+
+    Words are hashed in full lower case, which is equal wherever lower case of A-Z alone is.
+    """
     return F.transform(ws, lambda w, i: F.xxhash64(F.lit(k), w, *[F.get(ws, i + F.lit(d)) for d in range(1, k)]))
 
 
+def lowered(ws: Column) -> Column:
+    return F.transform(ws, F.lower)
+
+
+def items_of(bench: DataFrame) -> DataFrame:
+    return bench.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w")).where(F.size("w") > 0)
+
+
 def windows(bench: DataFrame, size: int) -> DataFrame:
-    """(win_id, win, items, k): distinct windows with the items that hold them."""
-    items = bench.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
-    return (
-        items.where(F.size("w") > 0)
-        .select(
-            "item",
-            F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1)), lambda i: F.slice("w", i, size))).alias("win"),
-        )
-        .groupBy("win")
-        .agg(F.collect_set("item").alias("items"))
-        .select(F.xxhash64("win").alias("win_id"), "win", "items", F.least(F.lit(SHINGLE), F.size("win")).alias("k"))
-    )
+    """(item, win): every window of every item once."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
+    return items_of(bench).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win")).distinct()
+
+
+def row_key() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")]
 
 
 def hits(docs: DataFrame, bench: DataFrame, size: int = 13, broadcast_windows: int = 200_000) -> DataFrame:
-    """One row per document: key, doc_id, words, and hits (start, len, items) of verified windows."""
-    table = written(
-        docs.select(
-            F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words")
-        ),
-        "decon-words",
-    )
-    wins = written(windows(bench, size), "decon-windows")
+    """(doc_id, th, start, len, item): verified windows of the items in each different (doc_id, text)."""
+    each = written(windows(bench, size).select("item", F.xxhash64("win").alias("win_id"), "win"), "decon-items")
+    wins = written(each.select("win_id", "win").distinct().withColumn("k", F.least(F.lit(SHINGLE), F.size("win"))), "decon-windows")
     kinds = [r.k for r in wins.select("k").distinct().collect()]  # at most SHINGLE values
     small = wins.count() <= broadcast_windows
     hint = F.broadcast if small else (lambda df: df)
-    none = table.select("key", "doc_id", "words").limit(0)
-    tokens = wins.where("false").select("win_id", "k", F.lit(0).alias("j"), F.lit(0).cast("long").alias("token"))
-    places = none.select("key", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("token"))
+    tokens = wins.where("false").select("win_id", F.lit(0).alias("j"), F.lit(0).cast("long").alias("token"))
     for k in kinds:
         last = F.size("win") - k + 1
         tokens = tokens.unionByName(
-            wins.where(F.col("k") == k).select(
-                "win_id", "k", F.posexplode(F.slice(shingle_hashes(F.col("win"), k), F.lit(1), last)).alias("j", "token")
-            )
-        )
-        places = places.unionByName(
-            table.select("key", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "token"))
+            wins.where(F.col("k") == k).select("win_id", F.posexplode(F.slice(shingle_hashes(lowered(F.col("win")), k), F.lit(1), last)).alias("j", "token"))
         )
+    split = docs.select(*row_key(), words(F.col("text")).alias("words")).withColumn("low", lowered(F.col("words")))
     wanted = tokens.select("token").distinct()
-    # One scan keeps the few places that hold any benchmark shingle; counts, rarity and the join use only them.
-    seen = written(places.join(hint(wanted), "token", "left_semi"), "decon-places")
+    around = F.slice("words", F.greatest(F.col("pos") - size + 2, F.lit(1)), 2 * size)
+    shape = "doc_id long, th long, pos int, n int, before int, around array<string>, token long"
+    seen = docs.sparkSession.createDataFrame([], shape)
+    for k in kinds:
+        places = split.select("doc_id", "th", "words", F.posexplode(shingle_hashes(F.col("low"), k)).alias("pos", "token"))
+        held = places.join(hint(wanted), "token", "left_semi")
+        seen = seen.unionByName(
+            held.select("doc_id", "th", "pos", F.size("words").alias("n"), F.least(F.col("pos"), F.lit(size - 1)).alias("before"), around.alias("around"), "token")
+        )
+    seen = written(seen, "decon-places")
     df = seen.groupBy("token").agg(F.count("*").alias("df"))
     rarest = (
         tokens.join(df, "token", "left")
         .groupBy("win_id")
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "j")).alias("t"))
-        .join(wins.select("win_id", F.size("win").alias("len")), "win_id")
-        .select("win_id", "len", "t.token", "t.j")
+        .join(wins, "win_id")
+        .select("win_id", "win", F.size("win").alias("len"), "t.token", "t.j")
     )
     start = F.col("pos") - F.col("j")
+    own = F.transform(F.slice("around", F.col("before") - F.col("j") + 1, F.col("len")), lambda w: ascii_lower(w))
     found = (
         seen.join(hint(rarest), "token")
         .where((start >= 0) & (start + F.col("len") <= F.col("n")))
-        .select("key", "win_id", start.alias("start"))
-        .join(hint(wins.select("win_id", "win", "items")), "win_id")
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "win", "items")).alias("found"))
-    )
-    checked = F.filter("found", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["win"])) == c["win"])
-    spans = F.transform(checked, lambda c: F.struct(c["start"].alias("start"), F.size(c["win"]).alias("len"), c["items"].alias("items")))
-    return table.join(found, "key", "left").select(
-        "key", "doc_id", F.size("words").alias("n_words"), F.coalesce(spans, F.expr("array()").cast("array<struct<start:int,len:int,items:array<string>>>")).alias("hits")
+        .where(own == F.col("win"))
+        .select("doc_id", "th", start.alias("start"), "len", "win_id", "win")
     )
+    # The window's words, not only their hash, tell items apart.
+    return found.join(hint(each), ["win_id", "win"]).select("doc_id", "th", "start", "len", "item").distinct()
+
+
+def figures(found: DataFrame) -> DataFrame:
+    """(doc_id, th, n_hit, items) of every row key with hits; a document's sorted hits are streamed."""
+    w = Window.partitionBy("doc_id", "th").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("len")
+    spans = found.select("doc_id", "th", "start", "len").distinct()
+    fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(w), F.lit(0))))
+    covered = spans.withColumn("fresh", fresh).groupBy("doc_id", "th").agg(F.sum("fresh").alias("n_hit"))
+    items = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("c.th") == F.col("i.th"))
+    return covered.alias("c").join(items.alias("i"), same).select("c.doc_id", "c.th", "n_hit", "items")
 
 
 def judged(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """Contract figures per document; a document is contaminated from one hit word in twenty."""
-    found = hits(docs, bench, **params)
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return found.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), items.alias("items")
+    found = written(figures(hits(docs, bench, **params)), "decon-found")
+    none = F.array().cast("array<string>")
+    counted = docs.select(*row_key(), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).alias("n_words"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("d.th").eqNullSafe(F.col("f.th"))
+    return counted.alias("d").join(found.alias("f"), same, "left").select(
+        "d.doc_id", "d.th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")
     ).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "th",
     )
 
 
 def clean(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
-    """The documents that are not contaminated, with all their own columns, decided row by row."""
-    own = docs.columns
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own")), "decon-docs")
-    named = keyed.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text"))
-    bad = judged(named, bench, **params).where("contaminated").select(F.col("doc_id").alias("_row"))
-    return keyed.join(bad, "_row", "left_anti").select("_own.*")
+    """The documents that are not contaminated, with all their own columns; equal rows are judged alike."""
+    bad = written(judged(docs, bench, **params).where("contaminated").select("doc_id", "th").distinct(), "decon-bad")
+    keyed = docs.select(F.struct(*own_columns(docs)).alias("_own"), *row_key())
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("d.th").eqNullSafe(F.col("b.th"))
+    return keyed.alias("d").join(bad.alias("b"), same, "left_anti").select("d._own.*")
 
 
 def query(spark, sf_dir):
-    return judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("th")
 
 
 ORACLE_SQL = r"""
