@@ -1,307 +1,271 @@
 """Main text by wrappers inferred from same-host token streams.
 
-Every page becomes a stream of tag tokens and text slots. Repeated neighbouring groups fold into
-one repeated group, so pages of a host share few distinct streams; those are counted before any are
-brought together, and aligned one after another: what matches stays, what does not becomes an
-optional group. The result is a union-free expression (plain, optional and repeated groups, slots)
-per host. Of its nodes that are block containers of content, the most specific one that holds at
-least half of the largest text mass is where the host keeps its articles; each page's text is what
-lies there, without boilerplate elements. Pages that lack it are read from their body.
-
-Null or empty html gives an empty text; repeated rows repeat; null urls form one host; an empty
-table gives no rows; other columns are not read. Hot hosts are aligned in salted parts, then once more.
+A page's stream of tags and texts is read once, with the ends that HTML leaves out. Elements with equal
+names under one parent fold into one repeated group, so every text has a slot: the path of groups that
+leads to it. The streams of a host are aligned group by group from the root: groups that match are one
+node of the host's wrapper, a node that some pages lack is optional, one that a page has several times is
+repeated, and a slot's texts are compared. Nodes and texts are counted by Spark, copies of a page once;
+no host's pages are brought together.
+
+The wrapper decides the text. A text that stands in the same slot on at least half of a host's different
+pages is template; the others are the slot's data. The main node is the deepest container that holds at
+least `share` of a host's data. A page's text is what it has in the main node, without template, and
+without elements that are never an article's (navigation, forms, elements named as adverts and the like).
+A page that lacks the main node is read from its own article, main or else by its own masses; where all
+is template, template stays, so that no page of a host whose articles repeat is emptied.
+
+Null or empty html gives an empty text; very long and malformed pages are read in linear time; repeated
+rows repeat; texts tied between slots keep page order; null urls form one host; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import difflib
 import html as entities
 import re
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load, written
 
+# Quotes matter only after "=", and an open tag ends at the next "<" at the latest; possessive repeats never look back.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^<>]*+>.*?(?:</\1\s*+>|$)"
+    r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>]*+)|[\"'])*+)>?|<[!?][^>]*+>?",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-# Block elements, elements never part of an article, and words that name them.
+# Names that tell about something else in the element or page.
+ABOUT = re.compile("(?:has|no|with|without)[_-]").match
+# Block elements, containers, elements never part of an article, and words that name such.
 BLOCKS = frozenset(
-    "address article blockquote body dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre "
-    "section table tbody td th thead tr ul".split()
+    "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
+    "html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-NEVER = frozenset("nav header footer aside form button select textarea iframe svg head title menu dialog".split())
+CONTAINERS = frozenset("article body div html main section td".split())
+NEVER = frozenset("nav footer aside form button select textarea iframe svg head title menu dialog object audio video canvas".split())
 NEVER_WORDS = frozenset(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer header menu nav navbar "
-    "navigation newsletter notice popup promo related share sidebar social sponsored".split()
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer menu nav navbar "
+    "navigation newsletter notice pagination popup promo related share sidebar signup social sponsored subscribe widget".split()
 )
-CONTAINERS = frozenset("article main section div td".split())
-CONTENT_WORDS = frozenset("article main post entry story content".split())
+HEADER = "header"
+DEPTH = 64  # deeper elements fold into the one they lie in
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# An opening tag ends open elements of these kinds, up to an element of the second group.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
+SCOPE = frozenset("html body article aside blockquote button dd div dl dt fieldset figure footer form header li main nav ol section table td th ul".split())
 
 
 def named(attrs: str) -> set[str]:
     if "=" not in attrs:
         return set()
-    return {w for m in NAMES.finditer(attrs) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if w}
+    names = " ".join(m[1] or m[2] or m[3] or "" for m in NAMES.finditer(attrs)).lower()
+    return {w for name in names.split() if not ABOUT(name) for w in re.split("[_-]+", name) if w}
 
 
-def stream(page: str) -> list[str]:
-    """Opening and closing tags (with the words that name them) and text slots."""
-    out, at = [], 0
-    for m in TOKEN.finditer(page):
-        if page[at : m.start()].strip() and (not out or out[-1] != "#"):
-            out.append("#")
-        at = m.end()
-        if m[3]:
-            tag = m[3].lower()
-            out.append("/" + tag if m[2] else ".".join([tag, *sorted(named(m[4]))]))
-    return out
-
-
-def fold(tokens: list, widest: int = 8) -> list:
-    """Replace neighbouring repeats of a group by one repeated group, shortest groups first."""
-    for k in range(1, widest + 1):
-        out, i = [], 0
-        while i < len(tokens):
-            group = tokens[i : i + k]
-            j = i + k
-            while len(group) == k and tokens[j : j + k] == group:
-                j += k
-            if j > i + k:
-                out.append(("+", *group))
-                i = j
-            else:
-                out.append(tokens[i])
-                i += 1
-        tokens = out
-    return tokens
-
-
-def align(wrapper: list, other: list) -> list:
-    """Union-free generalisation of two streams: mismatches become optional groups."""
-    out = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, wrapper, other, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += wrapper[a:b]
-        else:
-            for part in (wrapper[a:b], other[c:d]):
-                plain = [t for t in part if not (isinstance(t, tuple) and t[0] == "?")]
-                out += [t for t in part if isinstance(t, tuple) and t[0] == "?"]
-                if plain and ("?", *plain) not in out:
-                    out.append(("?", *plain))
-    return fold(out)
-
-
-def flat(wrapper):
-    for t in wrapper:
-        if isinstance(t, tuple):
-            yield from flat(t[1:])
-        else:
-            yield t
-
-
-def container(tag: str, names: set[str]) -> str | None:
-    """The candidate content element that an opening tag is, without words that number it; else None."""
-    if tag not in CONTAINERS or names & NEVER_WORDS or not (CONTENT_WORDS & names or tag in ("article", "main")):
-        return None
-    return ".".join([tag, *sorted(w for w in names if not any(c.isdigit() for c in w))])
-
-
-def masses(page: str) -> dict[str, int]:
-    """Characters of text in each candidate content element of a page, outside boilerplate elements."""
-    out: dict[str, int] = {}
-    opened: list[tuple[str, str | None]] = []
-    skip, skip_tag, at = 0, "", 0
-    for m in TOKEN.finditer(page):
-        if not skip and m.start() > at and (n := len("".join(page[at : m.start()].split()))):
-            for c in {c for _, c in opened if c}:
-                out[c] = out.get(c, 0) + n
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if skip:
-            if tag == skip_tag:
-                skip += -1 if m[2] else 1
-        elif m[2]:
-            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == tag), None)
-            if k is not None:
-                del opened[k:]
-        elif tag and tag not in VOID:
-            names = named(m[4])
-            if tag in NEVER or (names & NEVER_WORDS and tag not in ("html", "body")):
-                skip, skip_tag = 1, tag
-            elif tag in CONTAINERS:
-                opened.append((tag, container(tag, names)))
-    return out
-
-
-def content_element(wrapper: list, mass: dict[str, int]) -> str:
-    """The host's content element among the wrapper's containers, by text mass; else the body."""
-    nodes = {container(t.split(".")[0], set(t.split(".")[1:])) for t in flat(wrapper) if not t.startswith("/")}
-    held = {c: mass[c] for c in nodes if c and mass.get(c)}
-    most = max(held.values(), default=0)
-    rank = {"article": 0, "main": 1}
-    # Article before main before named containers; of these, the smallest is the most specific.
-    best = sorted((rank.get(c.split(".")[0], 2), n, c) for c, n in held.items() if 2 * n >= most)
-    if not best:
-        return "body"
-    return best[0][2].split(".")[0] if best[0][0] < 2 else best[0][2]
-
-
-def _load(s: str) -> list:
-    import ast
-
-    return ast.literal_eval(s)
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, element): the expression of each host and its content element."""
-
-    def skeletons(batches):
-        for b in batches:
-            counts: dict[tuple, int] = {}
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key = (host or "", repr(fold(stream(page or ""))))
-                counts[key] = counts.get(key, 0) + 1
-            yield pa.RecordBatch.from_pylist(
-                [dict(host=h, skeleton=s, n=n) for (h, s), n in counts.items()],
-                schema=pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("n", pa.int64())]),
-            )
-
-    def weights(batches):
-        for b in batches:
-            counts: dict[tuple, int] = {}
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for c, n in masses(page or "").items():
-                    counts[host or "", c] = counts.get((host or "", c), 0) + n
-            yield pa.RecordBatch.from_pylist(
-                [dict(host=h, node=c, mass=n) for (h, c), n in counts.items()],
-                schema=pa.schema([("host", pa.string()), ("node", pa.string()), ("mass", pa.int64())]),
-            )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["n", "skeleton"], ascending=[False, True])
-        whole: list | None = None
-        for s in ordered["skeleton"]:
-            other = _load(s)
-            whole = other if whole is None else align(whole, other)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [repr(whole)], "n": [int(pdf["n"].sum())]})
-
-    hosted = pages.select(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1).alias("host"), F.col("html").cast("string"))
-    node = hosted.mapInArrow(weights, "host string, node string, mass long").groupBy("host", "node").agg(F.sum("mass").alias("mass"))
-    mass = node.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("mass").alias("masses"))
-    counted = (
-        hosted.mapInArrow(skeletons, "host string, skeleton string, n long")
-        .groupBy("host", "skeleton")
-        .agg(F.sum("n").alias("n"))
-    )
-    schema = "host string, skeleton string, n long"
-    salted = counted.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(16)))
-    parts = salted.groupBy("host", "salt").applyInPandas(lambda p: merge(p[["host", "skeleton", "n"]]), schema)
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge(pdf[["host", "skeleton", "n"]])
-        held = pdf["nodes"].iloc[0]
-        mass = {} if held is None else dict(zip(held, pdf["masses"].iloc[0]))
-        out["element"] = [content_element(_load(out["skeleton"].iloc[0]), mass)]
-        return out
-
-    done = parts.join(mass, "host", "left").groupBy("host").applyInPandas(final, schema + ", element string")
-    return done.select("host", F.col("skeleton").alias("wrapper"), "element")
-
-
-def main_blocks(page: str, element: str, strict: bool = True) -> list[str] | None:
-    """Blocks inside the content element; None where the page has no such element.
-
-    A strict reading takes no element that is named as boilerplate as the content element.
-    """
-    name, _, words = element.partition(".")
-    need = set(words.split(".")) if words else set()
-    blocks, now = [], []
-    inside = skip = 0
-    skip_tag = root_tag = ""
-    found = False
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(slot, text) of every block that may be an article's, in page order."""
+    out: list[tuple[str, str]] = []
+    now: list[str] = []
+    # Open elements: tag, slot of the nearest block element, whether its text never counts, 1 in a header and 2 in its title.
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
     at = 0
 
     def close():
         s = " ".join("".join(now).split())
         now.clear()
-        if s:
-            blocks.append(s)
+        if s and not stack[-1][2] and stack[-1][3] != 1:
+            out.append((stack[-1][1], s))
 
     for m in TOKEN.finditer(page):
-        if inside and not skip and m.start() > at:
+        if m.start() > at:
             now.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
-        if skip:
-            if tag == skip_tag:
-                skip += -1 if m[2] else 1
-            continue
-        if not m[2] and tag not in VOID:
-            names = named(m[4])
-            root = not inside and tag == name and need <= names
-            never = tag in NEVER or (names & NEVER_WORDS and tag not in ("html", "body"))
-            if never and (strict or not root):
+        if m[2]:
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            if tag in BLOCKS or (k and stack[k][2] and not stack[k - 1][2]):
                 close()
-                skip, skip_tag = 1, tag
+            if not k:
                 continue
-            if root:
-                inside, root_tag, found = 1, tag, True
-                continue
-        if inside and tag == root_tag:
-            inside += -1 if m[2] else 1
-            close()
+            if tag in BLOCKS or stack[k][2] or not any(e[0] in BLOCKS for e in stack[k + 1 :]):
+                del stack[k:]
+            else:
+                # An inline element ends alone, the blocks in it go on.
+                del stack[k]
             continue
-        if tag == "br":
-            now.append(" ")
-        elif tag in BLOCKS:
+        if tag in VOID:
+            if tag == "hr":
+                close()
+            elif tag == "br":
+                now.append(" ")
+            continue
+        names = named(m[4])
+        never = stack[-1][2] or tag in NEVER or (tag not in ("html", "body") and not names.isdisjoint(NEVER_WORDS))
+        block = tag in BLOCKS
+        if block or (never and not stack[-1][2]):
             close()
-    if inside and not skip and at < len(page):
+        if block:
+            kinds, stop = ENDS.get(tag, (None, None))
+            for k in range(len(stack) - 1, 0, -1):
+                if kinds and stack[k][0] in kinds:
+                    del stack[k:]
+                elif stack[k][0] == "p" and tag != "option":
+                    del stack[k:]
+                    break
+                elif stack[k][0] in (stop or SCOPE):
+                    break
+            never = stack[-1][2] or tag in NEVER or (tag not in ("html", "body") and not names.isdisjoint(NEVER_WORDS))
+        _, slot, _, head = stack[-1]
+        if block and len(stack) < DEPTH:
+            words = sorted(w for w in names if w.isalpha() and len(w) < 20)
+            slot = f"{slot}/{'.'.join([tag, *words])}"
+            if tag == HEADER or HEADER in names:
+                head = max(head, 1)
+            if tag == "h1" and head == 1 and ("/article" in slot or "/main" in slot):
+                head = 2
+        stack.append((tag, slot, never, head))
+    if at < len(page):
         now.append(entities.unescape(page[at:]))
     close()
-    return blocks if found else None
+    return out
+
+
+def text_key(slot: str, text: str) -> int:
+    k = xxhash.xxh64_intdigest(f"{slot}\0{text}".encode("utf-8", "surrogatepass"))
+    return k - (1 << 64) if k >> 63 else k
+
 
+def prefixes(slot: str) -> list[str]:
+    """Containers that hold a slot, from the outermost."""
+    parts = slot.split("/")[1:]
+    return ["/" + "/".join(parts[: i + 1]) for i, p in enumerate(parts) if p.split(".")[0] in CONTAINERS]
 
-def main_text(page: str | None, element: str | None) -> str:
-    if not page:
-        return ""
-    for e in dict.fromkeys([element or "body", "article", "main"]):
-        blocks = None if e == "body" else main_blocks(page, e)
-        if blocks is not None:
-            return "\n\n".join(blocks)
-    # An article named like boilerplate (has-sidebar) counts where it holds more text than the rest of the page.
-    found = [main_blocks(page, "body"), main_blocks(page, "article", False), main_blocks(page, "main", False)]
-    found = ["\n\n".join(blocks) for blocks in found if blocks is not None]
-    if found:
-        return max(found, key=len)
-    return "\n\n".join(main_blocks("<body>" + page, "body") or [])
+
+def host_of(url):
+    return F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^\w+://([^/?#]*)", 1)
+
+
+def slots(pages: DataFrame) -> DataFrame:
+    """(host, page, slot, text, chars, times): the slots of every page; `page` and `text` are hashes."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                rows = []
+                part = b.slice(i, 128)
+                for host, page, sig in zip(*(c.to_pylist() for c in part.columns)):
+                    met: dict[tuple, int] = {}
+                    times: dict[str, int] = {}
+                    for slot, text in blocks(page or ""):
+                        k = (slot, text_key(slot, text))
+                        met[k] = met.get(k, 0) + len(text)
+                        times[slot] = times.get(slot, 0) + 1
+                    rows += [(host, sig, slot, k, n, times[slot]) for (slot, k), n in met.items()]
+                cols = list(zip(*rows)) or [[]] * 6
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "page", "slot", "text", "chars", "times"])
+
+    hosted = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    return hosted.select("host", "html", F.xxhash64("html").alias("page")).mapInArrow(
+        run, "host string, page long, slot string, text long, chars long, times long"
+    ).dropDuplicates(["host", "page", "text"])
+
+
+def wrappers(table: DataFrame, least: int = 4, half: float = 0.5) -> DataFrame:
+    """(host, slot, text, pages, optional, repeated, template): the wrappers' slots with their texts, from slots()."""
+    host = table.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    node = table.groupBy("host", "slot", "page").agg(F.max("times").alias("times")).groupBy("host", "slot").agg(
+        F.count("*").alias("with"), F.max("times").alias("most")
+    )
+    texts = table.groupBy("host", "slot", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+    return texts.join(node, ["host", "slot"]).join(host, "host").select(
+        "host", "slot", "text", "pages", "chars", (F.col("with") < F.col("all")).alias("optional"), (F.col("most") > 1).alias("repeated"),
+        ((F.col("all") >= least) & (F.col("pages") >= half * F.col("all"))).alias("template"),
+    )
+
+
+def hosts(wrapper: DataFrame, share: float = 0.6) -> DataFrame:
+    """(host, main, template): main node and template texts of each host.
+
+    A template text is on half of a host's pages, so there are at most twice as many as a page has texts.
+    """
+    parts = F.slice(F.split("slot", "/"), 2, DEPTH)
+    kinds = F.array(*[F.lit(c) for c in sorted(CONTAINERS)])
+    held = F.transform(parts, lambda p, i: F.when(F.array_contains(kinds, F.substring_index(p, ".", 1)), F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/"))))
+    containers = F.filter(held, lambda p: p.isNotNull())
+    template = wrapper.where("template").groupBy("host").agg(F.collect_list("text").alias("template"))
+    mass = wrapper.where("not template").groupBy("host", "slot").agg(F.sum("chars").alias("chars"))
+    whole = mass.groupBy("host").agg(F.sum("chars").alias("whole"))
+    node = mass.select("host", "chars", F.explode(containers).alias("node")).groupBy("host", "node").agg(F.sum("chars").alias("chars"))
+    # Nodes with over half of all data lie within each other, so the longest is the deepest.
+    main = node.join(whole, "host").where(F.col("chars") >= share * F.col("whole")).groupBy("host").agg(F.max_by("node", F.length("node")).alias("main"))
+    return whole.select("host").join(main, "host", "left").join(template, "host", "full").select("host", "main", "template")
+
+
+def within(slot: str, node: str) -> bool:
+    return slot.startswith(node) and slot[len(node) : len(node) + 1] in ("", "/")
+
+
+def own_main(found: list[tuple[str, str]], share: float = 0.6) -> str:
+    """The main node of one page: its article or main with most text, else the deepest container with most of it."""
+    mass: dict[str, int] = {}
+    for slot, text in found:
+        for p in prefixes(slot):
+            mass[p] = mass.get(p, 0) + len(text)
+    whole = sum(len(t) for _, t in found)
+    for tag in ("article", "main"):
+        best = max((p for p in mass if p.rsplit("/", 1)[-1].split(".")[0] == tag), key=lambda p: (mass[p], -len(p)), default=None)
+        if best and 3 * mass[best] >= whole:
+            return best
+    return max((p for p in mass if mass[p] >= share * whole), key=len, default="")
+
+
+def main_text(page: str | None, main: str | None, template: frozenset[int]) -> str:
+    found = blocks(page or "")
+    inside = [b for b in found if within(b[0], main)] if main else []
+    if not inside or not re.search(r"/(article|main)\b", main):
+        # Within a plain container, or without the main node, a page's own article or main goes first.
+        own = own_main(inside or found)
+        inside = [b for b in inside or found if within(b[0], own)]
+    data = [t for s, t in inside if text_key(s, t) not in template] if template else [t for _, t in inside]
+    return "\n\n".join(data or [t for _, t in inside])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page."""
-    hosts = written(wrappers(pages), "html-wrappers").select("host", "element")
+    wrapper = written(wrappers(written(slots(pages), "html-slots")), "html-wrappers")
+    known = written(hosts(wrapper), "html-hosts")
 
     def run(batches):
+        none: frozenset[int] = frozenset()
+        last, kept = None, none
         for b in batches:
-            texts = [main_text(p, e) for p, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                texts = []
+                for page, main, template in zip(*(part.column(c).to_pylist() for c in (2, 3, 4))):
+                    if template != last:
+                        last, kept = template, frozenset(template or none)
+                    texts.append(main_text(page, main, kept))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
 
     keyed = pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"),
-        F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/?#]*)", 1).alias("host"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
+        host_of(F.col("url")).alias("host"),
     )
-    return keyed.join(hosts, "host", "left").select("page_id", "url", "html", "element").mapInArrow(
+    return keyed.join(known, "host", "left").select("page_id", "url", "html", "main", "template").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
 

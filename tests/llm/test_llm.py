@@ -230,6 +230,50 @@ def test_html_content_element(spark):
     assert got == want | {20: "whole\n\ntext", 30: "still here", 31: "a longer text of the page"}
 
 
+def test_html_wrapper_decides(spark):
+    """A sign-up text in no telling element is template on a host; a paragraph that copies share is not."""
+    def page(i, top="Subscribe text of the site"):
+        return f"<html><body><div><p>{top}</p></div><div class='x{i}'><h1>Title {i}</h1><p>Paragraph {i} about item {i * 7}</p><p>shared end</p></div></body></html>"
+
+    many = [(i, "http://h/%d" % i, page(i).replace("shared end", "shared end" if i < 2 else "own end %d" % i)) for i in range(6)]
+    copies = [(100 + i, "http://c/%d" % i, page(1)) for i in range(6)]
+    df = spark.createDataFrame([*many, *copies], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(df).collect()}
+    assert all("Subscribe" not in got[i] and f"Title {i}\n\nParagraph {i} about item {i * 7}" in got[i] for i in range(6))
+    assert got[0].endswith("shared end") and got[3].endswith("own end 3")
+    # Copies of one page show no template: all of it stays.
+    assert all(got[100 + i] == got[100] and got[100].startswith("Subscribe") for i in range(6))
+    nodes = html_wrappers.wrappers(html_wrappers.slots(df.where("page_id < 100"))).collect()
+    assert {r.slot for r in nodes if r.template} == {"/html/body/div/p"} and all(r.repeated for r in nodes if r.slot == "/html/body/div.x0/p")
+    assert all(r.optional for r in nodes if r.slot.startswith("/html/body/div.x"))
+    assert html_wrappers.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article><p class='notice'>x<p>Real one<p>Real two</article>", "Real one\n\nReal two"),
+    ("<article><ul><li class='ad'>x<li>Real item</ul><p>After</article>", "Real item\n\nAfter"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>b</article>", "Title\n\nb"),
+    ("<article><p title=it's>hello</p><p>w</article>", "hello\n\nw"),
+    ("<article>A<b>bold <i>it</b> x</i><p>q</article>", "Abold it x\n\nq"),
+    ("<div>" * 300 + "deep" + "</div>" * 300, "deep"),
+    ("&lt;b&gt; &amp;amp; caf&eacute;", "<b> &amp; café"),
+])
+def test_html_pages(html, want):
+    assert html_wrappers.main_text(html, None, frozenset()) == want
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a b=\"", "<!", "<!--", "<p x='", "<script ", "<b>", "</p>", "<td>"])
+def test_html_is_linear(bad):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        t = time.process_time()
+        html_wrappers.blocks(bad * n if bad not in ("<b>", "<td>") else bad * (n // 100) + "x")
+        took.append(time.process_time() - t)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_scores(docs):
     rows = attention_lm.score(docs, BYTE).collect()
     assert len(rows) == len(sample()) and all(r.score < 0 for r in rows)
