@@ -1,6 +1,6 @@
 """Cumulative-snapshot collapse of logged conversations.
 
-A turn's hash covers its number, role and text. The running xor of a conversation's turn hashes is
+A turn's hash covers its number, role and text, with flags for nulls. The running xor of a conversation's turn hashes is
 the hash of each of its prefixes (two independent 64-bit hashes). A conversation whose whole hash is
 a proper prefix hash of a longer one is a snapshot and goes by anti-join; of identical conversations
 the smallest conv_id stays. Turns of the rest are rendered in place, one row a turn, so no
@@ -22,15 +22,20 @@ from .common import load, written
 BLOCK = 4096
 
 
+def told_apart(*first):
+    """Columns of role and text for a hash; hashes skip nulls, so a flag tells null from any value."""
+    pair = [c for name in ("role", "text") for c in (F.col(name).isNull(), F.coalesce(F.col(name), F.lit("")))]
+    return [*first, *pair]
+
+
 def turn_hashes(turns: DataFrame) -> DataFrame:
-    role, text = F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))
     return (
         turns.where("conv_id is not null and turn is not null")
         .select(
             F.col("conv_id").cast("long").alias("conv_id"),
             F.col("turn").cast("long").alias("turn"),
-            F.xxhash64("turn", role, text).alias("a"),
-            F.xxhash64(F.lit("second"), text, role, "turn").alias("b"),
+            F.xxhash64(*told_apart(F.col("turn"))).alias("a"),
+            F.xxhash64(*reversed(told_apart(F.lit("second"), F.col("turn")))).alias("b"),
         )
         .groupBy("conv_id", "turn", "a", "b")
         .agg(F.lit(1).alias("once"))
@@ -83,7 +88,7 @@ def collapse(turns: DataFrame) -> DataFrame:
     )
     role = F.coalesce("role", F.lit("unknown"))
     rendered = F.concat(F.lit("<|"), role, F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    same = F.xxhash64("role", "text")
+    same = F.struct(F.xxhash64(*told_apart()), F.xxhash64(*reversed(told_apart())))
     return (
         once.join(maximal(turns), "conv_id")
         .withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "turn", same).orderBy(F.lit(1))))

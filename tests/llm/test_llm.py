@@ -160,6 +160,14 @@ def test_chat(spark):
     assert chat_collapse.collapse(df.limit(0)).count() == 0
 
 
+def test_chat_nulls(spark):
+    """A null is no value: neither an equal text in the other column nor the character zero."""
+    rows = [(1, 0, None, "a"), (1, 0, "a", None), (2, 0, "u", None), (3, 0, "u", "\0"), (3, 1, None, None), (4, 0, None, None), (5, 0, "unknown", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.role, r.n_turns) for r in chat_collapse.collapse(df).collect())
+    assert got == [(1, 0, "a", 2), (1, 0, "unknown", 2), (2, 0, "u", 1), (3, 0, "u", 2), (3, 1, "unknown", 2), (4, 0, "unknown", 1), (5, 0, "unknown", 1)]
+
+
 def sets(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
