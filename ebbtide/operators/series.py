@@ -67,24 +67,33 @@ def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataF
     )
 
 
-def as_of(prices: DataFrame, fx: DataFrame) -> DataFrame:
-    """Prices (symbol, ccy, date, price) in euros by the last rate (ccy, date, rate), else the next one."""
-    rows = prices.select("ccy", "date", "symbol", "price", F.lit(None).cast("double").alias("rate")).unionByName(
-        fx.select("ccy", "date", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("double").alias("price"), "rate")
-    )
-    w = Window.partitionBy("ccy").orderBy("date")
-    past = F.last("rate", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    later = F.first("rate", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return rows.withColumn("used", F.coalesce(past, later)).where("symbol is not null").select(
-        "symbol", "date", "ccy", (F.col("price") * F.when(F.col("ccy").isin("EUR", ""), 1.0).otherwise(F.col("used"))).alias("eur")
+def covariance(returns: DataFrame, block: int = 256) -> DataFrame:
+    """(x, y, cov, corr) of every pair of symbols with common weeks.
+
+    Symbols are dealt into blocks by hash, `block` weeks of one block at most meet in a task: rows are
+    joined by (block of x, block of y, week), so no week with many symbols stands alone.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.count("*") / block))
+    size = returns.select("symbol").distinct().agg(n.cast("int").alias("blocks"))
+    rows = returns.join(F.broadcast(size)).withColumn("at", F.pmod(F.xxhash64("symbol"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = rows.select("symbol", "week", "r", F.col("at").alias("i"), F.explode(every).alias("j")).alias("a")
+    b = rows.select("symbol", "week", "r", F.explode(every).alias("i"), F.col("at").alias("j")).alias("b")
+    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.week") == F.col("b.week"))
+    return a.join(b, same).where("a.symbol <= b.symbol").groupBy(F.col("a.symbol").alias("x"), F.col("b.symbol").alias("y")).agg(
+        F.covar_samp("a.r", "b.r").alias("cov"), F.corr("a.r", "b.r").alias("corr")
     )
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    a, b = returns.alias("a"), returns.alias("b")
-    return a.join(b, F.col("a.week") == F.col("b.week")).where("a.symbol <= b.symbol").groupBy(
-        F.col("a.symbol").alias("x"), F.col("b.symbol").alias("y")
-    ).agg(F.covar_samp("a.r", "b.r").alias("cov"))
+def means(returns: DataFrame) -> DataFrame:
+    return returns.groupBy("symbol").agg(F.avg("r").alias("mu"))
+
+
+def summed_drawdowns(returns: DataFrame) -> DataFrame:
+    """(symbol, week, cum, dd): sums of returns from 0, uncompounded, and their distance from the peak, 0 included."""
+    upto = Window.partitionBy("symbol").orderBy("week").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = returns.withColumn("cum", F.sum("r").over(upto))
+    return cum.select("symbol", "week", "cum", (F.greatest(F.lit(0.0), F.max("cum").over(upto)) - F.col("cum")).alias("dd"))
 
 
 def regression(fund: DataFrame, proxy: DataFrame, least: int = 8) -> DataFrame:

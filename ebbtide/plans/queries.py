@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import series as S
+from ..operators import currency as M, series as S
 from ..sources.panel import prices, table, ticks
 
 PRICES = "p as (select o_orderpriority symbol, o_orderdate::date date, sum(o_totalprice::decimal(18,2))::double / count(*) price from orders group by 1, 2)"
@@ -34,7 +34,7 @@ def fx_as_of(s, d):
     day = F.col("o_orderdate").cast("date")
     fx = o.where("o_orderstatus = 'O'").groupBy("ccy", day.alias("date")).agg((F.max("o_totalprice") / 1000).alias("rate"))
     px = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").cast("string").alias("symbol"), "ccy", day.alias("date"), F.col("o_totalprice").alias("price"))
-    return S.as_of(px, fx)
+    return M.as_of(px, fx)
 
 
 def candidates(s, d):
@@ -61,10 +61,10 @@ QUERIES = {
     "common_window": lambda s, d: _r(S.common_window(prices(s, d)).select("symbol", "date", "price"), "price"),
     "drawdown_curve": lambda s, d: _r(S.drawdowns(_returns(s, d)).select("symbol", "week", "dd"), "dd"),
     "metrics_summary": metrics,
-    "covariance": lambda s, d: _r(S.covariance(_returns(s, d)), "cov"),
+    "covariance": lambda s, d: _r(S.covariance(_returns(s, d)).drop("corr"), "cov"),
     "regression": proxy,
     "unsmoothed_returns": lambda s, d: _r(S.unsmoothed(_returns(s, d)), "r"),
-    "walk_forward_folds": lambda s, d: S.walk_forward(_returns(s, d), 104, 26, 26).groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"), F.min("week").alias("lo"), F.max("week").alias("hi")),
+    "walk_forward_folds": lambda s, d: S.walk_forward(_returns(s, d)).groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"), F.min("week").alias("lo"), F.max("week").alias("hi")),
     "fx_as_of": fx_as_of,
     "top_candidates": candidates,
     "upsert_prices": merged,
@@ -87,8 +87,8 @@ select symbol, n, round(case when n >= 8 and v > 0 then c / v else 1 end, 6) bet
 f as (select symbol, case when count(*) >= 4 then coalesce(greatest(0, least(0.9, covar_pop(r, b) / nullif(stddev_pop(r) filter (b is not null) * stddev_pop(b), 0))), 0) else 0 end phi from l group by 1)
 select symbol, week, round(coalesce((r - phi * b) / (1 - phi), r), 6) r from l join f using (symbol)""",
     "walk_forward_folds": f"""{BASE}, i as (select *, row_number() over (partition by symbol order by week) - 1 i, count(*) over (partition by symbol) t from r),
-f as (select symbol, week, i, k.f fold from i, range(0, 1000) k(f) where t > 104 and k.f * 26 + 105 <= t and i >= k.f * 26 and i < k.f * 26 + 130)
-select symbol, fold, case when i < fold * 26 + 104 then 'train' else 'test' end as role, count(*) n, min(week) lo, max(week) hi from f group by 1, 2, 3""",
+f as (select symbol, week, i, k.f fold from i, range(0, 1000) k(f) where t > 260 and k.f * 52 + 261 <= t and i >= k.f * 52 and i < k.f * 52 + 312)
+select symbol, fold, case when i < fold * 52 + 260 then 'train' else 'test' end as role, count(*) n, min(week) lo, max(week) hi from f group by 1, 2, 3""",
     "fx_as_of": """with o as (select o_orderkey::varchar symbol, 'C' || n_regionkey ccy, o_orderdate::date date, o_totalprice price, o_orderstatus st from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey),
 f as (select ccy, date, max(price) / 1000 rate from o where st = 'O' group by 1, 2)
 select symbol, o.date, o.ccy, price * coalesce(a.rate, (select min_by(rate, f.date) from f where f.ccy = o.ccy and f.date >= o.date)) eur

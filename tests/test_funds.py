@@ -1,0 +1,124 @@
+"""Candidates, currencies, compositions, histories and backfills on small cases with known results."""
+
+import datetime
+
+import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ebbtide.operators import backfill, candidates as C, composition as K, currency as M, evaluation as V, history as H
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+
+
+def day(n, start="2020-01-01"):
+    return datetime.date.fromisoformat(start) + datetime.timedelta(days=n)
+
+
+def test_names(spark):
+    rows = [
+        ("Live Cattle ETC", True, "actions/autre"), ("Copper ETC", True, "actions/autre"), ("Physical Gold", False, "actions/autre"), ("Core Commodity CRB", False, "actions/autre"),
+        ("Fonds Monétaire Court Terme", False, "monétaire"), ("Euro Bond", False, "oblig"), ("FTSE EPRA Europe", False, "immobilier"), ("MSCI Emerging Asia", False, "actions émergents/thème"),
+        ("Topix", False, "actions Japon"), ("CAC 40", False, "actions Europe"), ("S&P 500", False, "actions US"), ("MSCI World", False, "actions monde"), (None, False, "actions/autre"), ("", False, "actions/autre"),
+    ]
+    got = spark.createDataFrame(rows, "name string, e boolean, c string").select(C.exotic(F.col("name")), C.asset_class(F.col("name")), "e", "c").collect()
+    assert all(r[0] == r.e and r[1] == r.c for r in got)
+
+
+def test_selected_scores(spark):
+    rows = [(1, "a", "3"), (2, "a", "x"), (3, "a", None), (4, "a", "5"), (5, None, "1"), (6, "b", "2"), (7, "a", "-1")]
+    df = spark.createDataFrame(rows, "ord long, classe string, score string").withColumn("years", F.lit("9"))
+    got = sorted((r.classe, r["rank"], r.ord, r.class_order) for r in C.selected(df, 3).collect())
+    assert got == [("?", 1, 5, 5), ("a", 1, 4, 1), ("a", 2, 1, 1), ("a", 3, 2, 1), ("b", 1, 6, 6)]
+    assert C.selected(df, 3, 10).count() == 0 and C.selected(df.limit(0)).count() == 0
+
+
+def test_currencies(spark):
+    cat = [("PA", "fr1", "x", "EUR", 1), ("EUFUND", " FR1", "y", "usd", 2), ("EUFUND", "FR2", "z", "", 3), ("PA", "FR2", "z", "sek", 4), ("NO", "FR3", "w", "NOK", 5), ("XETRA", None, "c", "gbp", 6)]
+    rows = spark.createDataFrame(cat, "exchange string, isin string, code string, currency string, ord long")
+    ins = spark.createDataFrame([(1, "fr1", None, None), (2, "FR2", None, None), (3, "FR3", None, "LSE"), (4, None, "C", "US"), (5, "", "", "ZZ")], "id int, isin string, code string, exchange string")
+    got = {r.id: r.ccy for r in M.resolved(ins, rows).collect()}
+    assert got == {1: "USD", 2: "SEK", 3: "GBP", 4: "GBP", 5: "EUR"}
+
+
+def test_as_of_rates(spark):
+    px = spark.createDataFrame([("a", "usd", day(i), 100.0) for i in (0, 1, 3, 4, 400)] + [("p", "GBX", day(2), 1000.0), ("e", "EUR", day(0), 7.0), ("n", "NOK", day(0), 7.0)], "symbol string, ccy string, date date, price double")
+    fx = spark.createDataFrame([("USD", day(1), 1.0), ("USD", day(1), 0.5), ("USD", day(4), 1.5), ("GBP", day(0), 1.2)], "ccy string, date date, rate double")
+    for rows in (200_000, 0):
+        got = {(r.symbol, r.date): r.eur for r in M.as_of(px, fx, rows).collect()}
+        assert [got["a", day(i)] for i in (0, 1, 3, 4, 400)] == [100, 100, 100, 150, 150]
+        assert got["p", day(2)] == pytest.approx(12.0) and got["e", day(0)] == 7.0 and got["n", day(0)] is None
+
+
+def test_composition(spark):
+    report = """Lettre du fonds 100 %
+Notations AAA 12 %
+Répartition par classes d'actifs
+  Actions Europe   41,5 %   +1,2 %
+  Obligations      38 %     Dollar 30 %
+  Liquidités   20,5%
+  Actions Europe   3 %
+  Emprunts d'Etat  9 %
+  0,5 % en or
+Répartition sectorielle
+  Actions santé    55 %"""
+    docs = spark.createDataFrame([(1, report), (2, "Ce fonds vise 100% d'actions et 35% de rendement sur la période"), (3, None), (4, "")], "doc_id long, text string")
+    comp = K.compositions(docs)
+    got = {r.label: round(r.w, 4) for r in comp.where("doc_id = 1").collect()}
+    assert got == {"actions europe": 0.415, "obligations": 0.38, "liquidités": 0.205}
+    assert {r.doc_id: r.reliable for r in K.quality(comp).collect()}.get(1) is True
+    assert not any(r.reliable for r in K.quality(comp).where("doc_id <> 1").collect())
+    assert {r.factor: round(r.w, 4) for r in K.basket(comp.where("doc_id = 1")).collect()} == {"EUROPE": 0.415, "BONDS": 0.38, "CASH": 0.205}
+    assert K.compositions(docs.limit(0)).count() == 0
+
+
+def test_json_weights(spark):
+    text = '{"a": [{"Label": "Cash ", "Pct": 20}, {"nom": "Or", "poids": 0.3, "sub": {"name": "cash", "value": 0.9}}, 5, null], "label": "x", "part": "abc"}'
+    df = spark.createDataFrame([(1, text), (2, "[1, 2]"), (3, "nonsense"), (4, None)], "doc_id long, json string")
+    assert {(r.doc_id, r.label): r.w for r in K.json_weights(df).collect()} == {(1, "cash"): 0.2, (1, "or"): 0.3}
+
+
+def test_splice_of_few_points(spark):
+    week = lambda i: day(7 * i, "2019-01-04")
+    proxy = spark.createDataFrame([(0, week(i), 0.01 * (i % 5 - 2)) for i in range(60)], "proxy int, week date, p double")
+    fund = lambda n, lo: spark.createDataFrame([("f", 0, week(i), 0.02 * (i % 5 - 2) + 0.001) for i in range(lo, lo + n)], "symbol string, proxy int, week date, r double")
+    fee = 1.01 ** (1 / 52) - 1
+    short = backfill.spliced(fund(5, 50), proxy, 0.01).collect()
+    assert len(short) == 60 and not any(r.real for r in short)
+    assert {round(r.r, 9) for r in short} == {round(0.01 * (k - 2) - fee, 9) for k in range(5)}
+    # Enough points, but few in common: the proxy itself before them, without a fee.
+    apart = {r.week: r for r in backfill.spliced(fund(10, 55), proxy, 0.01).collect()}
+    assert apart[week(0)].r == pytest.approx(-0.02) and apart[week(57)].real and len(apart) == 65
+    fit = backfill.fitted(fund(30, 30), proxy).first()
+    assert fit.n == 30 and fit.alpha == pytest.approx(0.001) and fit.confidence == 83 and fit.level == "data"
+    assert backfill.fitted(fund(30, 30), proxy, smoothed=True).first().confidence == 50
+
+
+def test_parsers(spark):
+    csv = spark.createDataFrame([("a", "Date,Open,Close\n2020-01-02,1,2\n2020-01-02,1,3\nbad,1,4\n2020-01-03,1,N/D\n"), ("b", "<html>"), ("c", None), ("d", "")], "symbol string, body string")
+    assert [tuple(r) for r in H.from_csv(csv).collect()] == [("a", datetime.date(2020, 1, 2), 3.0)]
+    js = spark.createDataFrame([("a", '[{"date": "2020-01-02", "close": 2.0}, {"date": "2020-01-03", "adjusted_close": 1.5, "close": 9}]'), ("b", "[]"), ("c", '{"x": 1}'), ("d", None)], "symbol string, body string")
+    got = sorted((r.symbol, r.ok, r.price) for r in H.from_answers(js).collect() if r.price or r.symbol != "a")
+    assert got == [("a", True, 1.5), ("a", True, 2.0), ("b", True, None), ("c", False, None), ("d", False, None)]
+
+
+def test_recommendation(spark):
+    def rec(ratio, c1, c2):
+        r = spark.createDataFrame([("min_cdar", ratio)], "method string, ratio double")
+        c = spark.createDataFrame([("min_cdar", c1), ("hrp", c2)], "method string, calmar double")
+        return tuple(V.recommended(r, c).first())
+
+    assert rec(1.4, 0.5, 0.5) == ("min_cdar", "holds") and rec(1.41, 0.9, 0.5) == ("hrp", "overfits")
+    assert rec(None, 0.4, 0.5) == ("hrp", "less robust") and rec(1.0, None, 0.5) == ("hrp", "less robust") and rec(1.0, 0.1, None) == ("min_cdar", "holds")
+
+
+def test_store(spark):
+    px = spark.createDataFrame([("a", day(i), 1.0) for i in range(5)] + [("b", day(0), 1.0)], "symbol string, date date, price double")
+    stored = px.where(f"symbol = 'a' and date <= date '{day(2)}'")
+    assert sorted((r.symbol, r.date) for r in H.new_days(px, stored).collect()) == [("a", day(2)), ("a", day(3)), ("a", day(4)), ("b", day(0))]
+    assert [r.symbol for r in H.to_fetch(px, stored).collect()] == ["b"]
+    cat = spark.createDataFrame([("I1", "c", "World Equity Fund"), ("I2", "d", "World Bond")], "isin string, code string, name string")
+    assert [r.isin for r in H.search(cat, "world fund").collect()] == ["I1"]
