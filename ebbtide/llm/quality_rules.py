@@ -1,73 +1,74 @@
 """Quality rules: base word rules, then a hashed n-gram likelihood ratio.
 
-Word uni- and bigrams hash to a fixed number of buckets. Two multinomials are counted: the trusted
-target (documents labelled quality 1) and the raw corpus (all documents). A document's score is its
-mean log ratio per n-gram, with the target smoothed towards the raw corpus. A document passes when
-its score reaches the threshold, which is the value that best separates labelled good from bad rows
-while losing at most `lose` of the good ones. The labelled sample is at most `max_labels` rows, the
-smallest by hash; corpus counts and verdicts cover every row and every whole text.
-
-Null or empty texts have no words and fail; without labels the ratio keeps all; repeated rows get
-equal verdicts; ties with the threshold are kept; an empty table gives no rows.
+Word uni- and bigrams hash to a fixed number of buckets (2^18, a documented width: tables of that size are
+summed by shuffle and shipped). Two multinomials are counted: the trusted target (documents labelled
+quality 1) and the raw corpus (all documents). A document's score is its mean log ratio per n-gram, with
+the target smoothed towards the raw corpus by 2^14 n-grams. A document passes when its score reaches the threshold, which
+is the value that best separates labelled good from bad rows while losing at most `lose` of the good ones,
+each good one scored without its own counts.
+The labelled sample is at most `max_labels` rows, the smallest by hash; corpus counts and verdicts cover
+every row and every whole text.
+
+Null or empty texts have no words and fail; very long texts are read whole, in blocks; without labels the
+ratio keeps all; repeated rows get equal verdicts; ties with the threshold are kept; an empty table gives
+no rows; columns of any name pass through keep_good().
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, load
+from .common import load
+from .wordhash import mixed, word_hashes
 
-BUCKETS = 1 << 14
+BITS = 18
+BUCKETS, PRIOR = 1 << BITS, 1 << 14
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = " \t\n\x0b\x0c\r"
+VISIBLE = re.compile(r"[^\x20\x09-\x0D]")
+BATCH = 128
+TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Hasher(dict):
-    """Bounded memo of word hashes."""
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text, as they are written."""
+    h, k = word_hashes(texts, lower=False)
+    return np.split(h, np.cumsum(k)[:-1]) if len(k) else []
 
-    def __missing__(self, w):
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        return h
 
+def ngram_buckets(h: np.ndarray) -> np.ndarray:
+    both = np.concatenate([h, mixed(h[:-1] * TWO + h[1:])])
+    return (both >> np.uint64(64 - BITS)).astype(np.int64)
 
-def ngram_buckets(words: list[str], memo: Hasher) -> np.ndarray:
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.concatenate([h * np.uint64(0x94D049BB133111EB), two]) >> np.uint64(64 - 14)
 
-
-def base_figures(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
-    """The base rules' counts for one whole text."""
-    n = len(words)
-    symbols = sum(map(text.count, SYMBOLS))
+def base_figures(text: str, h: np.ndarray) -> tuple[int, int, int, int, int]:
+    """The base rules' counts for one whole text with the hashes of its words."""
+    n = len(h)
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line in seen:
-            dup += WORD.search(line) is not None
+            dup += VISIBLE.search(line) is not None
         else:
             seen.add(line)
     repeat = 0
-    if n >= 3:
-        names: dict[str, int] = {}
-        i = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, n)
-        k = len(names)
-        if k < 2_000_000:
-            _, inv, count = np.unique((i[:-2] * k + i[1:-1]) * k + i[2:], return_inverse=True, return_counts=True)
-        else:
-            _, inv, count = np.unique(np.stack([i[:-2], i[1:-1], i[2:]], 1), axis=0, return_inverse=True, return_counts=True)
-        again = count[inv.ravel()] > 1
+    if n >= 4:
+        three = mixed(mixed(h[:-2] * TWO + h[1:-1]) * THREE + h[2:])
+        order = np.argsort(three)
+        same = three[order[1:]] == three[order[:-1]]
+        again = np.zeros(n - 2, bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
         hit = np.zeros(n, bool)
         for d in range(3):
             hit[d : n - 2 + d] |= again
         repeat = int(hit.sum())
-    return n, sum(map(len, words)), symbols, dup, repeat
+    return n, len(text) - sum(map(text.count, SEPARATORS)), sum(map(text.count, SYMBOLS)), dup, repeat
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
@@ -87,14 +88,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, lose: flo
     """(log ratio per bucket, threshold)."""
 
     def count(batches):
-        memo, raw, good = Hasher(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for text, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = ngram_buckets(WORD.findall(text or ""), memo).astype(np.int64)
-                c = np.bincount(g, minlength=BUCKETS)
-                raw += c
-                if q == 1:
-                    good += c
+        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for big in batches:
+            for i in range(0, big.num_rows, BATCH):
+                b = big.slice(i, BATCH)
+                hashes, quality = words_of(b.column(0)), b.column(1).to_pylist()
+                for into, some in ((raw, hashes), (good, [h for h, q in zip(hashes, quality) if q == 1])):
+                    if some:
+                        into += np.bincount(np.concatenate([ngram_buckets(h) for h in some]), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
@@ -104,21 +105,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, lose: flo
         .mapInArrow(count, "bucket long, raw long, good long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-        .collect()
+        .toPandas()
     )  # at most BUCKETS rows
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted:
-        raw[r.bucket], good[r.bucket] = r.raw, r.good
+    at = counted["bucket"].to_numpy(np.int64)
+    raw[at], good[at] = counted["raw"], counted["good"]
     if not good.sum():
         return np.zeros(BUCKETS), -np.inf
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    p_good = (good + BUCKETS * p_raw) / (good.sum() + BUCKETS)
+    p_good = (good + PRIOR * p_raw) / (good.sum() + PRIOR)
     ratio = np.log(p_good) - np.log(p_raw)
-    scored = _score(rows.where("quality is not null"), ratio).where("n_words > 0")
-    hist = scored.groupBy("quality", F.round("score", 3).alias("s")).count().collect()  # a bounded sample's histogram
+    shared = docs.sparkSession.sparkContext.broadcast((good, p_raw, ratio))
+
+    def sample_scores(batches):
+        good, p_raw, ratio = shared.value
+        for big in batches:
+            for i in range(0, big.num_rows, BATCH):
+                b = big.slice(i, BATCH)
+                quality = b.column(1).to_pylist()
+                score = [_left_out(h, good, p_raw) if q == 1 else float(ratio[ngram_buckets(h)].mean()) if len(h) else None for h, q in zip(words_of(b.column(0)), quality)]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score, pa.float64())], ["quality", "score"])
+
+    scored = rows.where("quality is not null").select("text", "quality").mapInArrow(sample_scores, "quality int, score double").where("score is not null")
+    hist = scored.groupBy("quality", F.round("score", 4).alias("s")).count().collect()  # a bounded sample's histogram
     return ratio, _threshold([(r.s, r.quality, r["count"]) for r in hist], lose)
 
 
+def _left_out(h: np.ndarray, good: np.ndarray, p_raw: np.ndarray) -> float | None:
+    """A target document's score without its own counts, as documents without a label are scored."""
+    if not len(h):
+        return None
+    at, n = np.unique(ngram_buckets(h), return_counts=True)
+    ratio = np.log((good[at] - n + PRIOR * p_raw[at]) / (good.sum() - n.sum() + PRIOR)) - np.log(p_raw[at])
+    return float((ratio * n).sum() / n.sum())
+
+
 def _threshold(hist, lose: float) -> float:
     good, bad = sum(n for _, q, n in hist if q == 1), sum(n for _, q, n in hist if q != 1)
     if not good or not bad:
@@ -137,24 +158,22 @@ def _threshold(hist, lose: float) -> float:
 
 
 def _score(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """rows' own columns, the base figures and the score."""
-    names = rows.columns
+    """rows' own columns but text, the base figures and the score."""
+    keep = [n for n in rows.columns if n != "text"]
+    shared = rows.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
-        memo = Hasher()
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                words = WORD.findall(text or "")
-                g = ngram_buckets(words, memo) if words else ()
-                out.append((*base_figures(text or "", words), float(ratio[g].mean()) if words else 0.0))
-            cols = list(zip(*out)) if out else [[]] * 6
-            extra = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.float64())]
-            keep = [n for n in names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in keep] + extra,
-                keep + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"],
-            )
+        ratio = shared.value
+        for big in batches:
+            for i in range(0, big.num_rows, BATCH):
+                b = big.slice(i, BATCH)
+                texts = b.column("text")
+                out = [(*base_figures(t or "", h), float(ratio[ngram_buckets(h)].mean()) if len(h) else 0.0) for t, h in zip(texts.to_pylist(), words_of(texts))]
+                cols = list(zip(*out)) if out else [[]] * 6
+                extra = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.float64())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(n) for n in keep] + extra, keep + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+                )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(run, f"{kept}, {BASE}, score double")
@@ -173,19 +192,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that pass, with all their own columns, decided row by row in one map."""
     ratio, cut = fit(docs, labels, **params)
+    shared, place = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns.index("text")
 
     def run(batches):
-        memo = Hasher()
-        for b in batches:
-            mask = []
-            for text in b.column("text").to_pylist():
-                words = WORD.findall(text or "")
-                n, _, _, _, repeat = base_figures(text or "", words)
-                failed = n < 50 or 100 * repeat > 50 * n
-                mask.append(not failed and float(ratio[ngram_buckets(words, memo)].mean()) >= cut)
-            yield b.filter(pa.array(mask, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        ratio = shared.value
+        for big in batches:
+            for i in range(0, big.num_rows, BATCH):
+                b = big.slice(i, BATCH)
+                texts, mask = b.column(place), []
+                for t, h in zip(texts.to_pylist(), words_of(texts)):
+                    n = len(h)
+                    passed = n >= 50 and float(ratio[ngram_buckets(h)].mean()) >= cut
+                    mask.append(passed and 100 * base_figures(t or "", h)[4] <= 50 * n)
+                yield b.filter(pa.array(mask, pa.bool_()))
+
+    # Columns pass through under plain names, as names may hold points.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):
