@@ -24,8 +24,7 @@ from .common import ascii_lower, load, own_columns, written
 
 # As in the contract, but for texts whose A-Z are not yet lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SHINGLE = 3
+SHINGLE, HEAD = 3, 0
 
 
 def words(text: Column) -> Column:
@@ -58,11 +57,12 @@ def row_key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")]
 
 
-def hits(docs: DataFrame, bench: DataFrame, size: int = 13, broadcast_windows: int = 200_000) -> DataFrame:
-    """(doc_id, th, start, len, item): verified windows of the items in each different (doc_id, text)."""
+def hits(docs: DataFrame, bench: DataFrame, size: int = 13, broadcast_windows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, th, start, len, item), (doc_id, th, n_words)): verified windows of the items in each different
+    (doc_id, text), and every row's number of words, from the same scan."""
     each = written(windows(bench, size).select("item", F.xxhash64("win").alias("win_id"), "win"), "decon-items")
     wins = written(each.select("win_id", "win").distinct().withColumn("k", F.least(F.lit(SHINGLE), F.size("win"))), "decon-windows")
-    kinds = [r.k for r in wins.select("k").distinct().collect()]  # at most SHINGLE values
+    kinds = [r.k for r in wins.select("k").distinct().collect()] or [SHINGLE]  # at most SHINGLE values
     small = wins.count() <= broadcast_windows
     hint = F.broadcast if small else (lambda df: df)
     tokens = wins.where("false").select("win_id", F.lit(0).alias("j"), F.lit(0).cast("long").alias("token"))
@@ -72,17 +72,25 @@ def hits(docs: DataFrame, bench: DataFrame, size: int = 13, broadcast_windows: i
             wins.where(F.col("k") == k).select("win_id", F.posexplode(F.slice(shingle_hashes(lowered(F.col("win")), k), F.lit(1), last)).alias("j", "token"))
         )
     split = docs.select(*row_key(), words(F.col("text")).alias("words")).withColumn("low", lowered(F.col("words")))
-    wanted = tokens.select("token").distinct()
+    # Place -1 of every row, with a token of its own, brings its number of words.
+    wanted = tokens.select("token").union(docs.sparkSession.range(1).select(F.lit(HEAD).cast("long").alias("token"))).distinct()
     around = F.slice("words", F.greatest(F.col("pos") - size + 2, F.lit(1)), 2 * size)
     shape = "doc_id long, th long, pos int, n int, before int, around array<string>, token long"
     seen = docs.sparkSession.createDataFrame([], shape)
     for k in kinds:
-        places = split.select("doc_id", "th", "words", F.posexplode(shingle_hashes(F.col("low"), k)).alias("pos", "token"))
-        held = places.join(hint(wanted), "token", "left_semi")
+        hashed = shingle_hashes(F.col("low"), k)
+        if k == kinds[0]:
+            hashed = F.concat(F.array(F.lit(HEAD).cast("long")), hashed)
+        places = split.select("doc_id", "th", "words", F.posexplode(hashed).alias("pos", "token"))
+        if k == kinds[0]:
+            places = places.withColumn("pos", F.col("pos") - 1)
+        held = places.join(hint(wanted), "token", "left_semi").where((F.col("pos") >= 0) == (F.col("token") != HEAD))
         seen = seen.unionByName(
             held.select("doc_id", "th", "pos", F.size("words").alias("n"), F.least(F.col("pos"), F.lit(size - 1)).alias("before"), around.alias("around"), "token")
         )
     seen = written(seen, "decon-places")
+    counted = seen.where("pos < 0").select("doc_id", "th", F.col("n").alias("n_words"))
+    seen = seen.where("pos >= 0")
     df = seen.groupBy("token").agg(F.count("*").alias("df"))
     rarest = (
         tokens.join(df, "token", "left")
@@ -100,7 +108,7 @@ def hits(docs: DataFrame, bench: DataFrame, size: int = 13, broadcast_windows: i
         .select("doc_id", "th", start.alias("start"), "len", "win_id", "win")
     )
     # The window's words, not only their hash, tell items apart.
-    return found.join(hint(each), ["win_id", "win"]).select("doc_id", "th", "start", "len", "item").distinct()
+    return found.join(hint(each), ["win_id", "win"]).select("doc_id", "th", "start", "len", "item").distinct(), counted
 
 
 def figures(found: DataFrame) -> DataFrame:
@@ -117,9 +125,9 @@ def figures(found: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """Contract figures per document; a document is contaminated from one hit word in twenty."""
-    found = written(figures(hits(docs, bench, **params)), "decon-found")
+    found, counted = hits(docs, bench, **params)
+    found = written(figures(found), "decon-found")
     none = F.array().cast("array<string>")
-    counted = docs.select(*row_key(), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).alias("n_words"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("d.th").eqNullSafe(F.col("f.th"))
     return counted.alias("d").join(found.alias("f"), same, "left").select(
         "d.doc_id", "d.th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")
