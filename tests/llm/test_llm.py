@@ -131,6 +131,23 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_groups(spark):
+    """Equal texts share a shard unless they alone exceed one; repeated rows of one key are divided, too."""
+    rng = random.Random(2)
+    rows = [(i, "t%d " % rng.randrange(10**9) * rng.randint(1, 40)) for i in range(3000)]
+    rows += [(10_000 + i, "copy %d " % (i % 60) * 30) for i in range(600)] + [(7, "same row " * 9)] * 1500 + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(df, shards=8, range_rows=300).collect()
+    total, where, size, slots = sum(r["size"] for r in got), {}, {}, {}
+    for r in got:
+        where.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+        size[r.text_crc32, r["size"]] = size.get((r.text_crc32, r["size"]), 0) + r["size"]
+        slots.setdefault(r.shard, []).append((r.slot, r["size"]))
+    assert len(got) == len(rows) and all(len(where[k]) == 1 for k in where if size[k] <= total / 8)
+    assert sorted(slots) == list(range(8)) and all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
+    assert all(abs(sum(b for _, b in v) - total / 8) < 0.02 * total / 8 for v in slots.values())
+
+
 def brute_figures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -152,6 +169,41 @@ def test_quality(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Scores, threshold and verdicts against a plain count of n-grams; labelled rows that were not fitted are told apart."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(11)
+    good, bad = ["g%d" % i for i in range(300)], ["b%d" % i for i in range(300)]
+    texts, truth = [], []
+    for i in range(160):
+        own, other = (good, bad) if i % 2 else (bad, good)
+        texts.append(" ".join(rng.choices(own, k=80) + rng.choices(other, k=25)))
+        truth.append(i % 2)
+    df = spark.createDataFrame([(i, t, "a.b") for i, t in enumerate(texts)], "doc_id long, text string, `x.y` string").repartition(3)
+    labels = spark.createDataFrame([(i, truth[i], 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    grams = lambda t: [w for w in t.split()] + list(zip(t.split(), t.split()[1:]))
+    raw, trusted = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i < 80 and truth[i]:
+            trusted.update(grams(t))
+    m, q, n, r = quality_rules.BUCKETS, quality_rules.PRIOR, sum(raw.values()), sum(trusted.values())
+    p_raw = {g: (c + 0.5) / (n + 0.5 * m) for g, c in raw.items()}
+    ratio = {g: math.log((trusted[g] + q * p_raw[g]) / (r + q)) - math.log(p_raw[g]) for g in raw}
+    want = [sum(ratio[g] for g in grams(t)) / len(grams(t)) for t in texts]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(df, labels).collect()}
+    # Few of these n-grams share a bucket of 2^18.
+    assert np.mean([abs(got[i].score - want[i]) for i in range(160)]) < 0.03
+    _, cut = quality_rules.fit(df, labels)
+    assert all(got[i].kept == (not got[i].base_failed and got[i].score >= cut) for i in range(160))
+    held = [got[i].kept == bool(truth[i]) for i in range(80, 160)]
+    assert sum(held) / len(held) >= 0.95
+    kept = quality_rules.keep_good(df, labels)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i in range(160) if got[i].kept)
+
+
 def test_chat(spark):
     rows = [(1, 0, "u", "a"), (1, 1, "b", "x"), (2, 0, "u", "a"), (2, 1, "b", "x"), (2, 2, "u", None), (3, 0, "u", "a"), (4, 0, "u", "z"), (5, 0, "u", "z"), (6, 0, None, ""), (None, 0, "u", "a"), (2, 1, "b", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -335,6 +387,80 @@ def test_network_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-4, abs=1e-4)
 
 
-def test_pipeline(spark):
+FIELDS = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "`_cls` int", "`a.b` string", "id int", "th int", "comp string"]
+
+
+def corpus():
+    """Documents for the pipeline: good and bad ones, copies, edited copies, benchmark passages, nulls and repeated rows."""
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(3000)]
+    item = " ".join("q%d" % i for i in range(30))
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(60)]
+    texts += [" ".join(t.split()[:-1] + ["edit%d" % i]) for i, t in enumerate(texts[:15])] + texts[20:25]
+    texts += [t + " " + item for t in texts[30:35]] + [t + " q1 q2 q3" for t in texts[35:38]]
+    texts += [" ".join(rng.choices(["bad%d" % i for i in range(300)], k=100)) for _ in range(20)]
+    texts += [None, "", "too short", "again " * 200, " ".join(rng.choices(words, k=5000))]
+    rows = [(i, t, "en", "s", 1, 7, "x", 3, None, "c") for i, t in enumerate(texts)]
+    return [*rows, rows[2], rows[2], (None, texts[40], None, None, None, None, None, None, None, None)], item
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage's decisions against brute force on its own input, with clashing and dotted column names."""
+    rows, item = corpus()
+    docs = spark.createDataFrame(rows, ", ".join(FIELDS)).repartition(3)
+    names = docs.columns
+    good = [i for i, r in enumerate(rows[:-3]) if i < 60 and i % 3]
+    bad = [i for i, r in enumerate(rows[:-3]) if (r[1] or "").startswith("bad")][:10]
+    spark.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 0) for i in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: (str(r[0]), str(r[1]))
+    kept = None
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = sorted(map(tuple, docs.collect()), key=key)
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == names
+        kept = sorted(map(tuple, docs.collect()), key=key)
+        if name == "quality_rules":
+            ratio, cut = quality_rules.fit(spark.createDataFrame(before, ", ".join(FIELDS)), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            want = []
+            for r in before:
+                n, *_, repeat = brute_figures(r[1]) if len((r[1] or "").split()) < 2000 else (5000, 0)
+                import pyarrow as pa
+
+                h = quality_rules.words_of(pa.array([r[1]], pa.string()))[0]
+                if n >= 50 and 100 * repeat <= 50 * n and ratio[quality_rules.ngram_buckets(h)].mean() >= cut:
+                    want.append(r)
+            assert kept == want and not any((r[1] or "").startswith("bad") for r in kept) and len(kept) > 70
+        elif name == "ngram_jaccard_join":
+            s = [sets(r[1]) for r in before]
+            comp = list(range(len(before)))
+            for i in range(len(before)):
+                for j in range(i):
+                    both = len(s[i] & s[j])
+                    if s[i] and 100 * both >= 80 * (len(s[i]) + len(s[j]) - both):
+                        a, b = comp[i], comp[j]
+                        comp = [b if c == a else c for c in comp]
+            groups = {}
+            for c, r in zip(comp, before):
+                groups.setdefault(c, []).append(r)
+            # One of each group stays: the smallest doc_id, nulls first.
+            best = {c: min(g, key=lambda r: (r[0] is not None, r[0] or 0)) for c, g in groups.items()}
+            assert kept == sorted(best.values(), key=key) and len(kept) < len(before) - 15
+        else:
+            def hit(t):
+                w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+                q = item.split()
+                wins = {tuple(q[i : i + 13]) for i in range(len(q) - 12)}
+                covered = {i + d for i in range(len(w) - 12) if tuple(w[i : i + 13]) in wins for d in range(13)}
+                return bool(covered) and 20 * len(covered) >= len(w)
+
+            assert kept == [r for r in before if not hit(r[1])] and len(kept) < len(before)
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum(len(tokens("byte_bpe_50k.json", r[1])) + 1 for r in kept)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
