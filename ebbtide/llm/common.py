@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
 import uuid
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's setting, else (local tests only) a temporary one."""
+    """The folder all executors share: the session's setting, else (in local mode, as in tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
