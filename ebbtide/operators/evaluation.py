@@ -51,3 +51,13 @@ def recommended(ratios: DataFrame, calmars: DataFrame, first: str = "min_cdar",
     calm = F.col("c1").isNotNull() & (F.col("c2").isNull() | (F.col("c1") >= F.col("c2")))
     reason = F.when(kept & calm, "holds").when(~kept, "overfits").otherwise("less robust")
     return row.select(F.when(kept & calm, first).otherwise(other).alias("method"), reason.alias("reason"))
+
+
+def grid(lo: Column, hi: Column, n: int) -> Column:
+    """n values from lo to hi at equal steps, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + (hi - lo) * i / (n - 1))
+
+
+def percent(c: Column, places: int = 1) -> Column:
+    """A share as per cent with a sign for the reader; a dash for null."""
+    return F.coalesce(F.format_string(f"%.{places}f %%", 100 * c), F.lit("–"))

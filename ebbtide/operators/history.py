@@ -83,3 +83,28 @@ def first_dates(prices: DataFrame) -> DataFrame:
     start = prices.groupBy("symbol").agg(F.min("date").alias("start"))
     bound = start.groupBy("start").agg(F.min("symbol").alias("_b")).agg(F.max_by("_b", "start").alias("_b"))
     return start.join(F.broadcast(bound)).select("symbol", "start", (F.col("symbol") == F.col("_b")).alias("binding"))
+
+
+def identifiers(pages: DataFrame, pattern: str) -> DataFrame:
+    """(page_id, ident): what the pattern's first group finds first in a page; null where it finds nothing."""
+    return pages.select("page_id", F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 1), F.lit("")).alias("ident"))
+
+
+def merged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, value) of two maps of unique keys; the right one wins."""
+    r = right.select("key", F.col("value").alias("_r"), F.lit(True).alias("_in"))
+    return left.join(r, "key", "full").select("key", F.when(F.col("_in"), F.col("_r")).otherwise(F.col("value")).alias("value"))
+
+
+def date_union(*panels: DataFrame) -> DataFrame:
+    """Every date that any panel has, once."""
+    out = panels[0].select("date")
+    for p in panels[1:]:
+        out = out.union(p.select("date"))
+    return out.distinct()
+
+
+def universe_symbols(rows: DataFrame) -> DataFrame:
+    """(symbol, universes): rows (key, universe array) turned round, symbols in capitals, names once and in order."""
+    each = rows.select(F.upper(F.trim("key")).alias("symbol"), F.explode("universe").alias("u"))
+    return each.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("u")), ",").alias("universes"))

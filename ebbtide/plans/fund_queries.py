@@ -256,7 +256,40 @@ def _extremes(s, d):
     return weekly_extremes(t)
 
 
+def _adaptive(s, d):
+    n = S.weekly_returns(ticks(s, d)).groupBy("symbol").agg(F.count("*").alias("n"))
+    train, test = V.adaptive_windows(F.col("n"))
+    return n.select("symbol", train.cast("long").alias("train"), test.cast("long").alias("test"))
+
+
+def _merged(s, d):
+    sup = table(s, d, "supplier")
+    left = sup.where("s_suppkey % 3 < 2").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"))
+    return H.merged(left, sup.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("new "), "s_name")).alias("value")))
+
+
+def _grid(s, d):
+    m = S.summary(S.weekly_returns(ticks(s, d)))
+    return _r(m.select("symbol", F.posexplode(V.grid(F.col("cdar"), F.col("max_dd"), 14)).alias("point", "budget")), "budget")
+
+
+def _universes(s, d):
+    sup = table(s, d, "supplier").select(F.concat(F.lit(" s"), F.col("s_nationkey")).alias("key"), F.array(F.concat(F.lit("u"), F.col("s_suppkey") % 3), F.lit("all")).alias("universe"))
+    return H.universe_symbols(sup)
+
+
+LINK = 'href="/([A-Za-z0-9]+)"'
+
 QUERIES = {
+    "catalogue_search": lambda s, d: H.search(table(s, d, "supplier").select(F.col("s_suppkey").alias("isin"), F.col("s_nationkey").alias("code"), F.col("s_name").alias("name")), "supplier 1"),
+    "page_identifiers": lambda s, d: H.identifiers(table(s, d, "pages"), LINK),
+    "adaptive_windows": _adaptive,
+    "merged_maps": _merged,
+    "date_union": lambda s, d: H.date_union(prices(s, d), ticks(s, d)),
+    "budget_grid": _grid,
+    "shown_percentages": lambda s, d: S.summary(S.weekly_returns(ticks(s, d))).select("symbol", V.percent(F.col("max_dd"), 2).alias("shown")),
+    "universe_symbols": _universes,
+    "active_contracts": lambda s, d: table(s, d, "customer").where("c_acctbal > 0 and c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("contract"), F.col("c_name").alias("name")),
     "currency_resolution": _resolved,
     "foreign_currency_counts": lambda s, d: M.foreign_counts(_resolved(s, d)),
     "candidate_classes": lambda s, d: _candidates(s, d).select("isin", "classe", "exotic"),
@@ -303,6 +336,15 @@ def _proxies(s, d):
 
 
 ORACLE_SQL = {
+    "catalogue_search": "select s_suppkey isin, s_nationkey code, s_name as \"name\" from supplier where contains(lower(s_name || ' ' || s_nationkey || ' ' || s_suppkey), 'supplier') and contains(lower(s_name || ' ' || s_nationkey || ' ' || s_suppkey), '1') order by isin, code limit 10",
+    "page_identifiers": f"select page_id, nullif(regexp_extract(coalesce(html, ''), '{LINK}', 1), '') ident from pages",
+    "adaptive_windows": f"with {TICKS}, {WEEKS}, {RETURNS}, n as (select symbol, count(*) n from r group by 1) select symbol, least(260, greatest(104, n // 2))::bigint train, (case when n > 220 then 52 else greatest(20, n // 6) end)::bigint test from n",
+    "merged_maps": "select s_suppkey as key, case when s_suppkey % 2 = 0 then case when s_suppkey % 5 > 0 then 'new ' || s_name end else s_name end as value from supplier where s_suppkey % 3 < 2 or s_suppkey % 2 = 0",
+    "date_union": "select o_orderdate::date date from orders union select l_shipdate::date from lineitem",
+    "budget_grid": f"with {TICKS}, {WEEKS}, {RETURNS}, {EQ}, c as (select symbol, quantile_cont(dd, 0.95) cut from d group by 1), m as (select symbol, round(max(dd), 4) x, round(avg(dd) filter (dd >= cut), 4) c from d join c using (symbol) group by 1) select symbol, k::int as point, round(c + (x - c) * k / 13, 6) budget from m, range(14) g(k)",
+    "shown_percentages": f"with {TICKS}, {WEEKS}, {RETURNS}, {EQ}, m as (select symbol, round(max(dd), 4) x from d group by 1) select symbol, coalesce(printf('%.2f %%', 100 * x), '–') shown from m",
+    "universe_symbols": "select 'S' || s_nationkey symbol, string_agg(distinct u, ',' order by u) universes from (select s_nationkey, unnest(['u' || (s_suppkey % 3), 'all']) u from supplier) group by 1",
+    "active_contracts": "select c_custkey contract, c_name as \"name\" from customer where c_acctbal > 0 and c_mktsegment = 'BUILDING'",
     "currency_resolution": f"with {CATALOGUE} select id, ccy from res",
     "foreign_currency_counts": f"with {CATALOGUE} select ccy, count(*) n from res where ccy <> 'EUR' group by 1",
     "candidate_classes": f"with {CANDIDATES} select isin, classe, exotic from cand",
