@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, load, own_columns, written
+from .common import drop, load, own_columns, tidy, written
 from .wordhash import mixed, word_hashes
 
 WORDS = 5
@@ -83,7 +83,7 @@ def frequency_table(docs: DataFrame, bits: int = 18) -> np.ndarray:
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(c[at])], ["bucket", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^bits rows
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^bits rows
     c = np.zeros(1 << bits)
     c[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
     mean = max(c.mean(), 1.0)
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     pre.append(x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) if fresh else None)
                     keys.append(key)
                     met.add(key)
-                if len(met) > 1_000_000:
+                if len(met) > 200_000:
                     met.clear()
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
     text = F.col("text").cast("string")
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("th"), text)
-    return narrow.mapInArrow(run, "rid long, doc_id long, th long, n_shingles long, cls binary, pre array<long>")
+    return narrow.mapInArrow(tidy(run), "rid long, doc_id long, th long, n_shingles long, cls binary, pre array<long>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.filter(pa.array((bitmap[k >> 5] >> (k & 31).astype(np.uint32)) & 1 == 1)).select(["doc_id", "th", "text"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
-    some = some.where("text is not null").select("doc_id", "th", "text", F.pmod(key, F.lit(1 << 23)).alias("k")).mapInArrow(run, "doc_id long, th long, text string")
+    some = some.where("text is not null").select("doc_id", "th", "text", F.pmod(key, F.lit(1 << 23)).alias("k")).mapInArrow(tidy(run), "doc_id long, th long, text string")
     found = some.alias("s").join(rep.alias("r"), F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.th") == F.col("r.th")))
     return found.select(F.col("r.rid").alias("id"), "s.text").dropDuplicates(["id"])
 
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, tidy
 from .tokenids import encoder, tokenizer_path
 
 
@@ -222,7 +222,7 @@ def pack(
             yield batch()
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), loss_from.alias("loss_from"))
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, tidy
 from .wordhash import mixed, word_hashes
 
 BITS = 18
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, lose: flo
     rows = _labelled(docs, labels, max_labels)
     counted = (
         rows.select("text", "quality")
-        .mapInArrow(count, "bucket long, raw long, good long")
+        .mapInArrow(tidy(count), "bucket long, raw long, good long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
         .toPandas()
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, lose: flo
                 score = [_left_out(h, good, p_raw) if q == 1 else float(ratio[ngram_buckets(h)].mean()) if len(h) else None for h, q in zip(words_of(b.column(0)), quality)]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score, pa.float64())], ["quality", "score"])
 
-    scored = rows.where("quality is not null").select("text", "quality").mapInArrow(sample_scores, "quality int, score double").where("score is not null")
+    scored = rows.where("quality is not null").select("text", "quality").mapInArrow(tidy(sample_scores), "quality int, score double").where("score is not null")
     hist = scored.groupBy("quality", F.round("score", 4).alias("s")).count().collect()  # a bounded sample's histogram
     return ratio, _threshold([(r.s, r.quality, r["count"]) for r in hist], lose)
 
@@ -176,7 +176,7 @@ def _score(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
                 )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{kept}, {BASE}, score double")
+    return rows.mapInArrow(tidy(run), f"{kept}, {BASE}, score double")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -208,7 +208,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
     # Columns pass through under plain names, as names may hold points.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, parts, written
+from .common import load, parts, tidy, written
 from .tokenids import encoder, tokenizer_path
 
 SHARD = (
@@ -240,7 +240,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranged = narrow.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return written(ranged.mapInArrow(run, SHARD), "repair")
+    return written(ranged.mapInArrow(tidy(run), SHARD), "repair")
 
 
 SCHEMA = pa.schema(
@@ -287,7 +287,7 @@ def read_shards(shards: DataFrame, range_tokens: int = 1 << 16) -> DataFrame:
                 )
 
     return based.select("shard_start", "doc_ids", "doc_lengths", "rules", "expansions", "sequence").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, tidy
 from .tokenids import counter, prove_whole, tokenizer_path
 
 
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 

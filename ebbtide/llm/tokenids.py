@@ -27,7 +27,7 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 # Separators that Python's split() takes for white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-MEMO_LIMIT, MEMO_KEPT = 800_000, 200_000
+MEMO_LIMIT, MEMO_KEPT = 500_000, 150_000
 
 
 # Characters that every regex library puts into the same classes.
