@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL where it exists."""
 
 from . import (
-    attention_lm, chat_collapse, chat_repair, decontaminate, html_wrappers, ngram_join, packing, quality_rules, repair_store, sharding,
-    token_counts, warc_bundles,
+    attention_lm, chat_collapse, chat_repair, collocations, decontaminate, html_wrappers, ngram_join, packing, quality_rules,
+    repair_store, sharding, token_counts, warc_bundles,
 )
 
 QUERIES = {
@@ -17,9 +17,10 @@ QUERIES = {
     "op9_decontamination": decontaminate.query,
     "op10_token_counts": token_counts.query,
     "op11_chat_repair": chat_repair.query,
+    "op12_collocations": collocations.query,
     "op13_warc_bundles": warc_bundles.query,
 }
 ORACLE_SQL = {
     "op7_chat_formatting": chat_collapse.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op11_chat_repair": chat_repair.ORACLE_SQL,
-    "op13_warc_bundles": warc_bundles.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL, "op13_warc_bundles": warc_bundles.ORACLE_SQL,
 }
