@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, drop, load, ship, tidy, trim, written
 
 DEPTH = 4
+SHARD_WORDS = 1 << 23
 END = 255  # a byte that UTF-8 never has marks piece ends
 TABLE = bytearray(range(256))
 TABLE[65:91] = TABLE[97:123]
@@ -47,11 +48,14 @@ LONGER = "w1 long, w2 long, w3 long, w4 long, n long"
 
 
 def packed(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """Bytes of equal weight together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T), 1)
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ class FmIndex:
         return of, word, Phrases(side.start(word, phrases.low[of]), back[keep], size[keep])
 
 
-def shards(docs: DataFrame, shard_words: int = 1 << 21) -> DataFrame:
+def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Rows of word ids (shard, ids) and of vocabularies (shard, lang, word, local, n)."""
 
     def run(batches):
@@ -297,28 +301,55 @@ def longer(indexes: DataFrame, frequent: DataFrame) -> DataFrame:
     return indexes.groupBy("shard").cogroup(frequent.withColumnRenamed("shard", "held_by").groupBy("held_by")).applyInArrow(run, LONGER)
 
 
-def counts(docs: DataFrame, least: int = 30, shard_words: int = 1 << 21) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_words(vocabulary: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, lang, word, a) of the words that reach `least`, and (shard, local, id) where they are.
+
+    A word's id is a hash; if two frequent words share one, all are hashed anew.
+    """
+    everywhere = Window.partitionBy("lang", "word")
+    there = written(
+        vocabulary.select("shard", "lang", "word", "local", F.sum("n").over(everywhere).alias("a"), (F.min("shard").over(everywhere) == F.col("shard")).alias("first"))
+        .where(F.col("a") >= least),
+        "phrases-words-there", compression="zstd",
+    )
+    for seed in count():
+        named = there.withColumn("id", F.xxhash64(F.lit(seed), "lang", "word"))
+        words = written(named.where("first").select("id", "lang", "word", "a"), "phrases-words", compression="zstd")
+        if words.groupBy("id").count().where("count > 1").isEmpty():
+            return words, named.select("shard", "local", "id")
+
+
+def summed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows dealt by first word and a sixteenth of the second ones, and keys that this serves.
+
+    A shard's rows come sorted by first word and so stay in runs, which moves in half the bytes.
+    """
+    dealt = rows.withColumn("deal", F.pmod("w2", F.lit(16))).repartition("w1", "deal")
+    return dealt, ["w1", "deal", *keys[1:]]
+
+
+def counts(docs: DataFrame, least: int = 30, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals): (id, lang, word, a), (w array of ids, a) of two to four words, (lang, n)."""
     ship(docs.sparkSession)
     numbered = written(shards(docs, shard_words), "phrases-shards", compression="zstd")
     vocabulary = numbered.where("ids is null").select("shard", "lang", "word", "local", "n")
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = written(
-        vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"),
-        "phrases-words",
-    )
-    local = vocabulary.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
+    totals = written(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    words, local = frequent_words(vocabulary, least)
     found = written(pairs(numbered.where("ids is not null").select("shard", "ids"), local), "phrases-pairs", compression="zstd")
-    totals = written(totals, "phrases-totals")
     drop(numbered)
-    everywhere = Window.partitionBy("w1", "w2")
+    drop(local)
+    dealt, keys = summed(found.where("n is not null").select("shard", "w1", "w2", "n"), ["w1", "w2"])
+    everywhere = Window.partitionBy(*keys)
     two = written(
-        found.where("n is not null").select("shard", "w1", "w2", F.sum("n").over(everywhere).alias("a")).where(F.col("a") >= least), "phrases-frequent",
+        dealt.select("shard", "w1", "w2", F.sum("n").over(everywhere).alias("a"), (F.min("shard").over(everywhere) == F.col("shard")).alias("first"))
+        .where(F.col("a") >= least),
+        "phrases-frequent", compression="zstd",
     )
     more = longer(found.where("n is null").select("shard", "ahead", "back", "words"), two.select("shard", "w1", "w2"))
-    more = more.groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    dealt, keys = summed(more, ["w1", "w2", "w3", "w4"])
+    more = dealt.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     w4 = F.array("w1", "w2", "w3", "w4")
-    phrases = two.groupBy("w1", "w2").agg(F.max("a").alias("a")).select(F.array("w1", "w2").alias("w"), "a").unionByName(
+    phrases = two.where("first").select(F.array("w1", "w2").alias("w"), "a").unionByName(
         more.select(F.when(F.col("w4").isNull(), F.array("w1", "w2", "w3")).otherwise(w4).alias("w"), "a")
     )
     phrases = written(phrases, "phrases-counted")
@@ -349,7 +380,7 @@ def scored(words: DataFrame, phrases: DataFrame) -> DataFrame:
     return kept.join(spelled, "w").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "cut.k")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, shard_words: int = 1 << 21) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Each lang's first `top` phrases: lang, rank, phrase, a, l, r, n, score."""
     words, phrases, totals = counts(docs, least, shard_words)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
