@@ -58,6 +58,14 @@ def levelled(proxy: DataFrame, realised: DataFrame, annual_fee: float = 0.0, per
     return proxy.join(realised.join(mean, "proxy"), "proxy").select("symbol", "week", (F.col("p") + shift).alias("r"))
 
 
-def basket(factors: DataFrame, weights: DataFrame, fee: float = 0.0) -> DataFrame:
-    """(fund, week, r): weighted sum of the factors present in each week, less the period fee."""
-    return factors.join(weights, "symbol").groupBy("fund", "week").agg((F.sum(F.col("r") * F.col("w")) - fee).alias("r"))
+def basket(factors: DataFrame, weights: DataFrame, fee: float = 0.0, realised: DataFrame | None = None, periods: int = 52) -> DataFrame:
+    """(fund, week, r): weighted sum of the factors present in each week, less the period fee.
+
+    A fund in `realised` (fund, annual) is moved so that its mean after the fee is that of its net yearly return.
+    """
+    raw = factors.join(weights, "symbol").groupBy("fund", "week").agg(F.sum(F.col("r") * F.col("w")).alias("r"))
+    if realised is None:
+        return raw.withColumn("r", F.col("r") - fee)
+    shift = F.pow(1 + F.col("annual"), F.lit(1.0 / periods)) - 1 - F.col("mean")
+    moved = raw.groupBy("fund").agg(F.avg("r").alias("mean")).join(realised, "fund", "left").select("fund", F.coalesce(shift, F.lit(-fee)).alias("shift"))
+    return raw.join(moved, "fund").select("fund", "week", (F.col("r") + F.col("shift")).alias("r"))

@@ -42,10 +42,10 @@ def weekly_returns(prices: DataFrame, over_gaps: bool = True) -> DataFrame:
 
 
 def drawdowns(returns: DataFrame) -> DataFrame:
-    """Equity from 1, its running peak (from the first period on) and positive drawdown."""
+    """Equity from 1, its running peak (from the first period on) and positive drawdown; after a total loss from the start it is null."""
     upto = Window.partitionBy("symbol").orderBy("week").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     eq = returns.withColumn("equity", F.product(1 + F.col("r")).over(upto))
-    return eq.withColumn("peak", F.max("equity").over(upto)).withColumn("dd", 1 - F.col("equity") / F.col("peak"))
+    return eq.withColumn("peak", F.max("equity").over(upto)).withColumn("dd", 1 - F.try_divide("equity", "peak"))
 
 
 def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataFrame:
@@ -68,7 +68,7 @@ def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataF
 
 
 def covariance(returns: DataFrame, block: int = 256) -> DataFrame:
-    """(x, y, cov, corr) of every pair of symbols with common weeks.
+    """(x, y, cov, corr) of every pair of symbols with common weeks; the correlation with a constant series is null.
 
     Symbols are dealt into blocks by hash, `block` weeks of one block at most meet in a task: rows are
     joined by (block of x, block of y, week), so no week with many symbols stands alone.
@@ -80,8 +80,9 @@ def covariance(returns: DataFrame, block: int = 256) -> DataFrame:
     a = rows.select("symbol", "week", "r", F.col("at").alias("i"), F.explode(every).alias("j")).alias("a")
     b = rows.select("symbol", "week", "r", F.explode(every).alias("i"), F.col("at").alias("j")).alias("b")
     same = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.week") == F.col("b.week"))
+    scale = F.stddev_pop("a.r") * F.stddev_pop("b.r")
     return a.join(b, same).where("a.symbol <= b.symbol").groupBy(F.col("a.symbol").alias("x"), F.col("b.symbol").alias("y")).agg(
-        F.covar_samp("a.r", "b.r").alias("cov"), F.corr("a.r", "b.r").alias("corr")
+        F.covar_samp("a.r", "b.r").alias("cov"), F.try_divide(F.covar_pop("a.r", "b.r"), F.nullif(scale, F.lit(0.0))).alias("corr")
     )
 
 
@@ -122,9 +123,18 @@ def unsmoothed(returns: DataFrame) -> DataFrame:
     )
 
 
+def week_spine(returns: DataFrame, key: str = "panel", step: int = 7) -> DataFrame:
+    """(key, week): every week from the first to the last of each key, with or without rows."""
+    ends = returns.groupBy(key).agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+    return ends.select(key, F.explode(F.sequence("lo", "hi", F.make_interval(days=F.lit(step)))).alias("week"))
+
+
 def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum per (portfolio, week); absent assets count zero."""
-    return returns.join(weights, "symbol").groupBy("portfolio", "week").agg(F.sum(F.col("r") * F.col("w")).alias("r"))
+    """Weighted sum per (portfolio, week) over every week of the panel; absent assets and null returns count zero."""
+    weeks = returns.select("week").distinct()
+    every = weights.select("portfolio").distinct().join(weeks)
+    held = returns.join(weights, "symbol").groupBy("portfolio", "week").agg(F.sum(F.col("r") * F.col("w")).alias("r"))
+    return every.join(held, ["portfolio", "week"], "left").select("portfolio", "week", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def walk_forward(returns: DataFrame, train: int = 260, test: int = 52, step: int = 52) -> DataFrame:

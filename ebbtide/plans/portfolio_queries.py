@@ -73,7 +73,6 @@ QUERIES = {
     "backfill_fit": fits,
     "backfill_splice": splices,
     "weights_min_cdar": lambda s, d: allocate.weights(_panel(s, d), "min_cdar"),
-    "weights_hrp": lambda s, d: allocate.weights(_panel(s, d), "hrp"),
     "weights_min_variance": lambda s, d: allocate.weights(_panel(s, d), "min_variance"),
     "frontier": lambda s, d: allocate.frontier(_panel(s, d), 14),
     "bootstrap_projection": lambda s, d: simulate.project(S.weekly_returns(prices(s, d)), 520, 2000),
@@ -108,8 +107,9 @@ d as (select *, 1 - eq / max(eq) over (partition by symbol, sim order by step) d
 z as (select symbol, sim, max_by(eq, step) m, max(dd) x, pow(max_by(eq, step), 0.1) - 1 g from d group by 1, 2)
 select symbol, {", ".join(f"round(quantile_cont({c}, {q}), 6) {n}_p{round(q * 100)}" for c, n, qs in (("m", "multiple", (0.05, 0.5, 0.95)), ("g", "rate", (0.05, 0.5, 0.95)), ("x", "mdd", (0.5, 0.95, 0.99))) for q in qs)},
 round(avg((m < 1)::int), 6) loss from z group by 1""",
-    "portfolio_returns": f"""{BASE}, w as (select distinct symbol, portfolio, case portfolio when 'equal' then 0.2::double else 1.0::double / length(symbol) end w from p, (values ('equal'), ('short_name')) n(portfolio))
-select portfolio, week, round(sum(r * w), 6) r from r join w using (symbol) group by 1, 2""",
+    "portfolio_returns": f"""{BASE}, w as (select distinct symbol, portfolio, case portfolio when 'equal' then 0.2::double else 1.0::double / length(symbol) end w from p, (values ('equal'), ('short_name')) n(portfolio)),
+h as (select portfolio, week, sum(r * w) r from r join w using (symbol) group by 1, 2)
+select portfolio, week, round(coalesce(r, 0), 6) r from (select distinct portfolio from w) cross join (select distinct week from r) left join h using (portfolio, week)""",
     "canonical_currency": """with c as (select upper(trim([' gbx', 'usd', 'GBP0', 'eur ', 'pence'][(o_orderkey % 5 + 1)::int])) c from orders)
 select case when c in ('GBX', 'GBP0', 'PENCE') then 'GBP' else c end ccy, case when c in ('GBX', 'GBP0', 'PENCE') then 0.01::double else 1.0::double end factor, count(*) n from c group by 1, 2""",
     "returns_after_fee": f"{BASE} select symbol, week, round((1 + r) * (1 - (pow(1.012, 1 / 52.0) - 1)) - 1, 6) r from r",

@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.series import upsert
+from ..sources.store import VersionedPrices
 
 
 def sync(stream: DataFrame, target: str, checkpoint: str):
-    """Merge every micro-batch of (symbol, date, price, ord) into versions of a Parquet table under `target`.
+    """Merge every micro-batch of (symbol, date, price, ord) into the versioned table at `target`.
 
-    A batch writes version=<batch id + 1> from the version before, so a repeated batch rewrites the same
-    result. Rows without symbol, date or a finite price are left out. Call awaitTermination() on the result.
+    Batch k is merge k + 1: it rewrites the months of its rows and no others, and a repeated batch rewrites
+    the same files. Call awaitTermination() on the result.
     """
-    schema = "symbol string, date date, price double, ord long"
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.where("symbol is not null and date is not null and price is not null and not isnan(price)")
-        old = spark.read.schema(schema).parquet(f"{target}/version={n}") if n else spark.createDataFrame([], schema)
-        upsert(old, new.select("symbol", "date", "price", "ord"), ["symbol", "date"], F.col("ord")).write.mode("overwrite").parquet(f"{target}/version={n + 1}")
+        VersionedPrices(batch.sparkSession, target).merge(batch, n + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
