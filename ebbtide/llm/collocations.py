@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, drop, load, ship, tidy, trim, written
 
 DEPTH = 4
-SHARD_WORDS = 1 << 23
+SHARD_WORDS = 1 << 22
+LOCAL = 28  # bits of a word's number within a shard
 END = 255  # a byte that UTF-8 never has marks piece ends
 TABLE = bytearray(range(256))
 TABLE[65:91] = TABLE[97:123]
@@ -158,7 +159,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        number = count(TaskContext.get().partitionId() << 32)
+        number = count(TaskContext.get().partitionId() << 12)
         fresh = count(1)
         known: dict[str, dict[bytes, int]] = {}
         held, filled = [], 0
@@ -176,6 +177,8 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         def flush():
             nonlocal held, filled, fresh
             ids = np.concatenate(held)
+            if ids.max(initial=0) >> LOCAL:
+                raise ValueError(f"over 2^{LOCAL} different words between two ends of a piece")
             tables = [(lang, [w for w in d if w != MARK], np.array([i for w, i in d.items() if w != MARK], np.int64)) for lang, d in known.items()]
             at = 0
             while at < len(ids):
@@ -225,7 +228,7 @@ LONG = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "w4", "n")])
 
 
 def only(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The sequence with the sorted ids `known` numbered from 1, all others as piece ends, which stand once."""
+    """The sequence with the ids `known` numbered from 1, in their order, all others as piece ends, which stand once."""
     number = np.zeros(max(int(ids.max()), int(known.max())) + 1, np.int32)
     number[known] = np.arange(1, len(known) + 1)
     ids = np.r_[0, number[ids], 0]
@@ -239,7 +242,7 @@ def pairs(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
         if not ours.num_rows or not words.num_rows:
             return PAIR.empty_table()
         local, name = (words[c].to_numpy() for c in ("local", "id"))
-        order = np.argsort(local)
+        order = np.argsort(name)
         local, name = local[order], name[order]
         ids = only(unpacked(ours["ids"][0].as_py(), np.int32), local)
         index = FmIndex.of(ids)
@@ -269,8 +272,8 @@ def longer(indexes: DataFrame, frequent: DataFrame) -> DataFrame:
             return LONG.empty_table()
         index = FmIndex(*(unpacked(ours[c][0].as_py(), np.int32) for c in ("ahead", "back")))
         name = unpacked(ours["words"][0].as_py(), np.int64)
-        sort, wide = np.argsort(name), len(name) + 1
-        number = lambda c: sort[np.searchsorted(name, known[c].to_numpy(), sorter=sort)] + 1
+        wide = len(name) + 1
+        number = lambda c: np.searchsorted(name, known[c].to_numpy()) + 1
         allowed = np.sort(number("w1") * wide + number("w2"))
 
         def frequent_pair(a, b):
@@ -304,19 +307,14 @@ def longer(indexes: DataFrame, frequent: DataFrame) -> DataFrame:
 def frequent_words(vocabulary: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(id, lang, word, a) of the words that reach `least`, and (shard, local, id) where they are.
 
-    A word's id is a hash; if two frequent words share one, all are hashed anew.
+    A word's id is the first shard that has it and its number there, so common words have small ids.
     """
     everywhere = Window.partitionBy("lang", "word")
-    there = written(
-        vocabulary.select("shard", "lang", "word", "local", F.sum("n").over(everywhere).alias("a"), (F.min("shard").over(everywhere) == F.col("shard")).alias("first"))
-        .where(F.col("a") >= least),
-        "phrases-words-there", compression="zstd",
-    )
-    for seed in count():
-        named = there.withColumn("id", F.xxhash64(F.lit(seed), "lang", "word"))
-        words = written(named.where("first").select("id", "lang", "word", "a"), "phrases-words", compression="zstd")
-        if words.groupBy("id").count().where("count > 1").isEmpty():
-            return words, named.select("shard", "local", "id")
+    first = F.min(F.struct("shard", "local")).over(everywhere)
+    there = vocabulary.select("shard", "lang", "word", "local", F.sum("n").over(everywhere).alias("a"), first.alias("first")).where(F.col("a") >= least)
+    id_ = F.shiftleft("first.shard", LOCAL) + F.col("first.local")
+    there = written(there.select("shard", "lang", "word", "local", "a", id_.alias("id"), (F.col("first.shard") == F.col("shard")).alias("first")), "phrases-words-there", compression="zstd")
+    return written(there.where("first").select("id", "lang", "word", "a"), "phrases-words", compression="zstd"), there.select("shard", "local", "id")
 
 
 def summed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
