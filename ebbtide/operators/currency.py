@@ -40,13 +40,15 @@ def foreign_counts(instruments: DataFrame) -> DataFrame:
 
 
 def dollars_to_euros(prices: DataFrame, eurusd: DataFrame) -> DataFrame:
-    """(symbol, date, price) divided by the last dollar rate (date, rate) up to the day; days before the first rate drop out."""
-    table = carried(eurusd.select(F.lit("EURUSD").alias("ccy"), "date", "rate")).drop("ccy", "after")
-    last = table.agg(F.max("month").alias("hi"))
-    rows = prices.join(F.broadcast(last)).withColumn("month", F.least(F.trunc("date", "MM"), "hi")).join(table, "month", "left")
-    past = F.try_element_at(F.filter("rates", lambda r: r["date"] <= F.col("date")), F.lit(-1))["rate"]
-    used = F.coalesce(past, F.col("before"))
-    return rows.withColumn("used", used).where("used is not null").select("symbol", "date", (F.col("price") / F.col("used")).alias("price"))
+    """(symbol, date, price) divided by the dollar rate (date, rate) of the symbol's last day that has one.
+
+    Rates of days on which the symbol has no price do not count; days before its first rate drop out. Of two
+    rates of one day the larger counts. A symbol has one row a day at most, so its history is a small window.
+    """
+    rate = eurusd.where("rate is not null").groupBy("date").agg(F.max("rate").alias("rate"))
+    upto = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = prices.join(rate, "date", "left").withColumn("used", F.last("rate", ignorenulls=True).over(upto))
+    return used.where("used is not null").select("symbol", "date", F.try_divide("price", "used").alias("price"))
 
 
 def carried(fx: DataFrame) -> DataFrame:

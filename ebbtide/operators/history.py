@@ -24,14 +24,17 @@ def from_csv(files: DataFrame, day: str = "Date", price: str = "Close") -> DataF
 
 
 def from_answers(answers: DataFrame) -> DataFrame:
-    """(symbol, ok, date, price) of JSON answers (symbol, body): a list of days is one row a day, adjusted close before close.
+    """(symbol, ok, date, price) of JSON answers (symbol, body): a list of days is one row a day, adjusted close, else close.
 
+    The close counts only where a day has no adjusted close at all; one that is null is a day without a price.
     An empty list is a good answer without days: one row with nulls. Anything else is a refusal: ok is false.
     """
-    day = "array<struct<date:date,adjusted_close:double,close:double>>"
-    parts = answers.select("symbol", F.coalesce(F.ltrim("body").startswith("["), F.lit(False)).alias("ok"), F.from_json("body", day).alias("days"))
+    parts = answers.select(
+        "symbol", F.coalesce(F.ltrim("body").startswith("["), F.lit(False)).alias("ok"), F.from_json("body", "array<map<string,string>>").alias("days")
+    )
     each = parts.select("symbol", "ok", F.explode_outer(F.when(F.col("ok"), F.col("days"))).alias("x"))
-    return each.select("symbol", "ok", "x.date", F.coalesce("x.adjusted_close", "x.close").alias("price"))
+    key = F.when(F.map_contains_key("x", F.lit("adjusted_close")), "adjusted_close").otherwise("close")
+    return each.select("symbol", "ok", F.try_element_at("x", F.lit("date")).try_cast("date").alias("date"), F.try_element_at("x", key).try_cast("double").alias("price"))
 
 
 def base_100(returns: DataFrame) -> DataFrame:

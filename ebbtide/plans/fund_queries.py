@@ -108,9 +108,9 @@ def _reports(s, d):
 
 LINES = f"""ln as (select p_partkey // 30 doc_id, p_partkey i, {_sql_pick(LABELS, "p_partkey + p_partkey // 30")} lb, (p_partkey * 7 % 45) || ',' || (p_partkey % 10) v from part),
 l0 as (select doc_id, i, case when lb like 'Répartition%' then lb when lb = 'prose' then v || ' % en actions monde' when i % 9 = 0 then lb || '   +' || v || ' %' else '  ' || lb || '   ' || v || ' %   +1,2 %' end line from ln),
-hd as (select doc_id, min(i) start from l0 where regexp_matches(trim(line), '{_regex(K.ALLOCATION)}') group by 1),
-sp as (select doc_id, min(i) stop from l0 join hd using (doc_id) where i > start and i <= start + 60 and regexp_matches(line, '{_regex(K.OTHER)}') and not regexp_matches(trim(line), '{_regex(K.ALLOCATION)}') group by 1),
-blk as (select doc_id, i, line from l0 left join hd using (doc_id) left join sp using (doc_id) where start is null or (i > start and i <= start + 60 and i < coalesce(stop, 1000000000) and not regexp_matches(trim(line), '{_regex(K.ALLOCATION)}'))),
+hd as (select doc_id, min(i) start from l0 where regexp_matches(trim(line), '(?i){_regex(K.ALLOCATION)}') group by 1),
+sp as (select doc_id, min(i) stop from l0 join hd using (doc_id) where i > start and i <= start + 60 and regexp_matches(line, '(?i){_regex(K.OTHER)}') and not regexp_matches(trim(line), '(?i){_regex(K.ALLOCATION)}') group by 1),
+blk as (select doc_id, i, line from l0 left join hd using (doc_id) left join sp using (doc_id) where start is null or (i > start and i <= start + 60 and i < coalesce(stop, 1000000000) and not regexp_matches(trim(line), '(?i){_regex(K.ALLOCATION)}'))),
 fd as (select doc_id, i, regexp_matches(line, '{_regex(K.LABEL_FIRST)}') f, case when f then regexp_extract(line, '{_regex(K.LABEL_FIRST)}', 1) else regexp_extract(line, '{_regex(K.NUMBER_FIRST)}', 2) end raw,
   case when f then regexp_extract(line, '{_regex(K.LABEL_FIRST)}', 2) else regexp_extract(line, '{_regex(K.NUMBER_FIRST)}', 1) end val from blk where regexp_matches(line, '{_regex(K.LABEL_FIRST)}') or regexp_matches(line, '{_regex(K.NUMBER_FIRST)}')),
 lb as (select doc_id, i, lower(regexp_replace(trim(raw, ' .:-'), '\\s+', ' ', 'g')) as "label", replace(val, ',', '.')::double val from fd),
@@ -120,10 +120,15 @@ FACTOR = " ".join(f"when contains(\"label\", '{p}') then '{f}'" for p, f in K.FA
 
 
 def _json(s, d):
-    p = F.col("p_partkey")
-    part = F.to_json(F.struct(F.concat(F.lit("Part "), p % 5).alias("Libelle"), (p % 90).cast("double").alias("poids")))
-    text = F.when(p % 6 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"fund": {"items": ['), part, F.lit(', {"name": " Cash ", "value": 0.25}, {"name": "none"}]}, "label": "Top", "pct": 1.2}')))
-    return table(s, d, "part").select(p.alias("doc_id"), text.alias("json"))
+    """(doc_id, json): a customer's orders as nested parts, some of whose weights are texts, out of bounds or missing."""
+    o = F.col("o_orderkey")
+    weight = F.when(o % 5 == 0, F.concat(F.lit('"'), (o % 90).cast("string"), F.lit('"'))).when(o % 7 == 0, F.lit("null")).otherwise((o % 130).cast("string"))
+    inner = F.concat(F.lit('{"deep": [[{"value": '), (o % 97 / 100).cast("string"), F.lit(', "NAME": " '), F.col("o_orderstatus"), F.lit('"}]]}'))
+    part = F.concat(F.lit('{"poids": '), weight, F.lit(', "sub": '), inner, F.lit(', "Libelle": "'), F.col("o_orderpriority"), F.lit('", "label": "x"}'))
+    rows = table(s, d, "orders").select("o_custkey", F.struct(o.alias("o"), part.alias("p")).alias("part"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["p"]), ", ")
+    body = F.when(F.col("o_custkey") % 6 == 0, F.concat(F.lit("no json ["), all_)).otherwise(F.concat(F.lit('{"fund": ['), all_, F.lit('], "name": "Top", "pct": true}')))
+    return rows.groupBy("o_custkey").agg(body.alias("json")).select(F.col("o_custkey").alias("doc_id"), "json")
 
 
 def _folds(s, d):
@@ -159,7 +164,7 @@ def _euro(s, d):
     sup = table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), _pick(("EUR", "usd", "GBX", "sek"), F.col("s_nationkey")).alias("ccy"))
     px = S.min_history(ticks(s, d), 60).join(sup, "symbol")
     day = F.col("o_orderdate").cast("date")
-    fx = table(s, d, "orders").where("o_orderkey % 50 = 0").groupBy(_pick(("USD", "GBP", "SEK"), F.col("o_custkey")).alias("ccy"), day.alias("date")).agg((F.max("o_totalprice") / 100000).alias("rate"))
+    fx = table(s, d, "orders").groupBy(_pick(("USD", "GBP", "SEK"), F.col("o_custkey")).alias("ccy"), day.alias("date")).agg((F.max("o_totalprice") / 100000).alias("rate"))
     euro = M.as_of(px, fx).where("eur is not null").select("symbol", "date", F.col("eur").alias("price"))
     from ..functions.money import after_fee
 
@@ -190,11 +195,11 @@ def _funds(s, d):
     return table(s, d, "supplier").select(F.concat(F.lit("F"), F.col("s_suppkey")).alias("isin"))
 
 
-QUOTED = f"{TICKS}, q as (select 'F' || (substr(symbol, 2)::bigint // 2) || '.' || {_sql_pick(('LSE', 'US', 'PA'), 'substr(symbol, 2)::bigint')} symbol, date, price from p), dp as (select symbol, count(*) points from q group by 1 having count(*) >= 200), cs as (select 'F' || s_suppkey isin, symbol, points from supplier join (values ('EUFUND', 1), ('US', 2), ('PA', 3), ('XETRA', 4), ('LSE', 5)) f(suffix, place) on true join dp on symbol = 'F' || s_suppkey || '.' || suffix qualify row_number() over (partition by s_suppkey order by place) = 1)"
+QUOTED = f"{TICKS}, q as (select 'F' || (substr(symbol, 2)::bigint // 2) || '.' || {_sql_pick(('LSE', 'US', 'PA'), 'substr(symbol, 2)::bigint')} symbol, date, price from p), dp as (select symbol, count(*) points from q group by 1 having count(*) >= 100), cs as (select 'F' || s_suppkey isin, symbol, points from supplier join (values ('EUFUND', 1), ('US', 2), ('PA', 3), ('XETRA', 4), ('LSE', 5)) f(suffix, place) on true join dp on symbol = 'F' || s_suppkey || '.' || suffix qualify row_number() over (partition by s_suppkey order by place) = 1)"
 
 
 def _found(s, d):
-    return H.cascade(_funds(s, d), _quoted(s, d), 200)
+    return H.cascade(_funds(s, d), _quoted(s, d))
 
 
 def _basket(s, d):
@@ -211,7 +216,7 @@ def _points(s, d):
 def _pick_points(s, d):
     m = S.summary(S.weekly_returns(ticks(s, d))).where("cagr is not null")
     k = F.expr("cast(substr(symbol, 2) as long)")
-    return C.frontier_pick(m.select((k % 4).alias("panel"), k.alias("point"), F.round("max_dd", 2).alias("max_dd"), F.round("cagr", 2).alias("cagr")), 0.9)
+    return C.frontier_pick(m.select((k % 4).alias("panel"), k.alias("point"), F.round("max_dd", 4).alias("max_dd"), F.round("cagr", 2).alias("cagr")), 0.985)
 
 
 METRICS = f"""with {TICKS}, {WEEKS}, {RETURNS}, {EQ}, m as (select symbol, round(pow(max_by(equity, week), 52.0 / count(*)) - 1, 4) cagr, round(stddev_samp(r) * sqrt(52), 4) vol, round(max(dd), 4) max_dd from d group by 1)"""
@@ -240,7 +245,9 @@ def _benchmark(s, d):
 
 
 def _dollars(s, d):
-    fx = table(s, d, "orders").where("o_orderkey % 40 = 0 and o_orderdate > '1993-01-01'").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.max("o_totalprice") / 100000).alias("rate"))
+    """Priorities' prices, by a rate on the days on which goods were shipped for over 90,000."""
+    big = F.when(F.max("l_extendedprice") > 90000, F.max("l_extendedprice") / 100000)
+    fx = table(s, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(big.alias("rate"))
     return _r(M.dollars_to_euros(prices(s, d), fx), "price")
 
 
@@ -360,15 +367,25 @@ select id, symbol, coalesce(nullif(isin, ''), nullif(code, ''), symbol) as key,
     "benchmark_weights": "with u as (select s_suppkey symbol, case when s_suppkey % 4 = 0 then 0.25::double else 0 end w from supplier where s_suppkey % 3 <> 1) select symbol, round(case when sum(w) over () > 0 then w / sum(w) over () else 1.0 / count(*) over () end, 6) w from u",
     "euro_returns": f"""with {TICKS.replace("p as", "p0 as", 1)}, sp as (select 'S' || s_suppkey symbol, {_sql_pick(("EUR", "USD", "GBP", "SEK"), "s_nationkey")} ccy, case when s_nationkey % 4 = 2 then 0.01::double else 1 end f from supplier),
 p1 as (select symbol, date, ccy, price * f price from p0 join sp using (symbol) where symbol in (select symbol from p0 group by 1 having count(*) >= 60)),
-x as (select {_sql_pick(("USD", "GBP", "SEK"), "o_custkey")} ccy, o_orderdate::date date, max(o_totalprice) / 100000 rate from orders where o_orderkey % 50 = 0 group by 1, 2), x0 as (select ccy, min_by(rate, date) r0 from x group by 1),
+x as (select {_sql_pick(("USD", "GBP", "SEK"), "o_custkey")} ccy, o_orderdate::date date, max(o_totalprice) / 100000 rate from orders group by 1, 2), x0 as (select ccy, min_by(rate, date) r0 from x group by 1),
 p as (select symbol, p1.date, price * case when p1.ccy = 'EUR' then 1 else coalesce(x.rate, r0) end price from p1 asof left join x on x.ccy = p1.ccy and p1.date >= x.date left join x0 on x0.ccy = p1.ccy where p1.ccy = 'EUR' or coalesce(x.rate, r0) is not null),
 {WEEKS}, {RETURNS} select symbol, week, round((1 + r) * (1 - (pow(1.006, 1 / 52.0) - 1)) - 1, 6) r from r""",
-    "dollars_to_euros": "with p as (select o_orderpriority symbol, o_orderdate::date date, sum(o_totalprice::decimal(18,2))::double / count(*) price from orders group by 1, 2), x as (select o_orderdate::date date, max(o_totalprice) / 100000 rate from orders where o_orderkey % 40 = 0 and o_orderdate > '1993-01-01' group by 1) select symbol, p.date, round(price / rate, 6) price from p asof join x on p.date >= x.date",
+    "dollars_to_euros": """with p as (select o_orderpriority symbol, o_orderdate::date date, sum(o_totalprice::decimal(18,2))::double / count(*) price from orders group by 1, 2),
+x as (select l_shipdate::date date, max(l_extendedprice) / 100000 rate from lineitem group by 1 having max(l_extendedprice) > 90000),
+u as (select symbol, p.date, price, last_value(rate ignore nulls) over (partition by symbol order by p.date) rate from p left join x on x.date = p.date)
+select symbol, date, round(price / rate, 6) price from u where rate is not null""",
     "compositions": f'with {LINES} select doc_id, "label", round(w, 6) w from comp',
     "composition_quality": f"with {LINES}, g as (select doc_id, count(*) n, sum(w) s from comp group by 1) select doc_id, n, round(s, 4) total, n >= 2 and s between 0.85 and 1.12 reliable from g",
     "composition_baskets": f'with {LINES}, f as (select doc_id, case {FACTOR} end factor, w from comp), g as (select doc_id, factor, sum(w) w from f where factor is not null group by 1, 2) select doc_id, factor, round(w / sum(w) over (partition by doc_id), 6) w from g',
-    "json_compositions": """with p as (select p_partkey doc_id, p_partkey % 5 k, p_partkey % 90 v from part where p_partkey % 6 <> 0)
-select doc_id, 'part ' || k as "label", round(case when v > 1.5 then v / 100.0::double else v end, 6) w from p where v > 0 union all select doc_id, 'cash', 0.25 from p""" + """ union all select doc_id, 'top', 1.2 from p where 1.2 <= 1.001""",
+    "json_compositions": f"""with o as (select o_custkey, o_orderkey o, '{{"poids": ' || case when o % 5 = 0 then '"' || (o % 90) || '"' when o % 7 = 0 then 'null' else (o % 130)::varchar end
+  || ', "sub": {{"deep": [[{{"value": ' || (o % 97 / 100.0::double) || ', "NAME": " ' || o_orderstatus || '"}}]]}}, "Libelle": "' || o_orderpriority || '", "label": "x"}}' part from orders),
+t as (select o_custkey doc_id, '{{"fund": [' || string_agg(part, ', ' order by o) || '], "name": "Top", "pct": true}}' j from o where o_custkey % 6 <> 0 group by 1),
+k as (select doc_id, v.id, v.parent, lower(v.key) key, v.type, v.value from t, json_tree(t.j) v where v.parent is not null),
+nm as (select doc_id, parent, value ->> '$' name from k where key in ({", ".join(f"'{x}'" for x in K.NAME_KEYS)}) qualify row_number() over (partition by doc_id, parent order by id) = 1),
+wt as (select doc_id, parent, type, value from k where key in ({", ".join(f"'{x}'" for x in K.WEIGHT_KEYS)}) qualify row_number() over (partition by doc_id, parent order by id) = 1),
+z as (select doc_id, parent, lower(trim(name)) lb, case when type = 'BOOLEAN' then case when value::varchar = 'true' then 1 else 0 end when type not in ('VARCHAR', 'NULL', 'OBJECT', 'ARRAY') then value::double end w from nm join wt using (doc_id, parent)),
+y as (select doc_id, parent, lb, case when w > 1.5 then w / 100 else w end w from z)
+select doc_id, lb as "label", round(min_by(w, parent), 6) w from y where w > 0 and w <= 1.001 group by 1, 2""",
     "oos_returns": f"{FOLDS} select method, i, fold, week, round(r, 6) r from oos",
     "fold_metrics": f"{FOLDS} select method, fold, insample_cdar, oos_maxdd from fold_m",
     "honesty_ratio": f"{FOLDS} select method, insample_cdar, oos_maxdd, ratio from hon",
@@ -392,7 +409,7 @@ union all select distinct o_custkey, o_custkey % 7 <> 0, null::date, null::doubl
     "new_days": f"with {TICKS}, l as (select symbol, max(date) l from p where date < date '1997-01-01' group by 1) select symbol, date, price from p left join l using (symbol) where l is null or date >= l",
     "basket_returns": f"with {TICKS}, {WEEKS}, {RETURNS} select substr(symbol, 2)::bigint % 5 fund, week, round(sum(r * 0.1) - 0.0002, 6) r from r group by 1, 2",
     "merged_points": f"{METRICS} select round(round(vol, 1), 3) vol, round(round(cagr, 1), 3) cagr, string_agg(symbol, ' + ' order by symbol) names, count(*) n from m where cagr is not null group by 1, 2",
-    "frontier_pick": f"{METRICS}, fp as (select substr(symbol, 2)::bigint point, round(max_dd, 2) x, round(cagr, 2) g from m where cagr is not null) select point % 4 panel, first(point order by g desc, point) point from fp where x <= 0.9 group by 1",
+    "frontier_pick": f"{METRICS}, fp as (select substr(symbol, 2)::bigint point, max_dd x, round(cagr, 2) g from m where cagr is not null) select point % 4 panel, first(point order by g desc, point) point from fp where x <= 0.985 group by 1",
     "leaderboard": f"{METRICS.replace('round(max(dd), 4) max_dd', 'round(case when max(dd) > 1e-9 then (pow(max_by(equity, week), 52.0 / count(*)) - 1) / max(dd) end, 3) calmar')} select symbol id, calmar, coalesce(nullif(calmar, 0), -1) score from m",
     "weekly_extremes": "select 'S' || l_suppkey symbol, l_shipdate::date + ((12 - isodow(l_shipdate)) % 7)::int as week, max(l_extendedprice) high, min(l_extendedprice) low, count(*) n from lineitem group by 1, 2",
     "levelled_backfill": f"""with {TICKS}, {WEEKS}, {RETURNS}, x as (select substr(symbol, 2)::bigint % 5 proxy, week, avg(r) p from r group by 1, 2), m as (select proxy, avg(p) mean from x group by 1)
