@@ -6,10 +6,11 @@ a proper prefix hash of a longer one is a snapshot and goes by anti-join; of ide
 the smallest conv_id stays. Turns of the rest are rendered in place, one row a turn, so no
 conversation is gathered. Turns move as hashes; texts move once, in the last join.
 
-Very long conversations are split into blocks of turn numbers before the running xor. Exact repeats
-of a turn row count once. Turns that share a number but differ are all kept, ordered by role and text.
-Null role renders as `unknown`, null text as empty; rows with a null conv_id or turn are dropped as
-belonging to no conversation. An empty table gives no rows; other columns are not read.
+Very long conversations are split into blocks of turn numbers before the running xor; within one the sort
+spills. Exact repeats of a turn row count once. Rows that share a turn number but differ are all kept,
+ordered by a digest of role and text, and a prefix may end between them. Null role renders as `unknown`,
+null text as empty; rows with a null conv_id or turn are dropped as belonging to no conversation. An empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,25 +29,31 @@ def told_apart(*first):
     return [*first, *pair]
 
 
+def tie_order():
+    """A digest of role and text by which rows of one turn number are ordered, so that no text is moved for it."""
+    role = F.coalesce(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role")), F.lit("-"))
+    return F.md5(F.concat(role, F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("-"))).cast("binary"))
+
+
 def turn_hashes(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, tie, a, b, block): the different rows of every conversation."""
     return (
         turns.where("conv_id is not null and turn is not null")
         .select(
             F.col("conv_id").cast("long").alias("conv_id"),
             F.col("turn").cast("long").alias("turn"),
+            tie_order().alias("tie"),
             F.xxhash64(*told_apart(F.col("turn"))).alias("a"),
             F.xxhash64(*reversed(told_apart(F.lit("second"), F.col("turn")))).alias("b"),
         )
-        .groupBy("conv_id", "turn", "a", "b")
-        .agg(F.lit(1).alias("once"))
-        .groupBy("conv_id", "turn")
-        .agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("n"))
+        .groupBy("conv_id", "turn", "tie", "a", "b")
+        .agg(F.lit(1).alias("n"))
         .withColumn("block", F.floor(F.col("turn") / BLOCK))
     )
 
 
 def prefixes(hashed: DataFrame) -> DataFrame:
-    """(conv_id, turn, a, b, n): hash and length of the prefix up to each turn number."""
+    """(conv_id, turn, a, b, n): hash and length of the prefix up to each row."""
     blocks = hashed.groupBy("conv_id", "block").agg(
         F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("n").alias("n")
     )
@@ -57,7 +64,7 @@ def prefixes(hashed: DataFrame) -> DataFrame:
         F.coalesce(F.bit_xor("b").over(past), F.lit(0)).alias("b0"),
         F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n0"),
     )
-    upto = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "block").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, 0)
     inside = hashed.select(
         "conv_id", "block", "turn",
         F.bit_xor("a").over(upto).alias("a1"), F.bit_xor("b").over(upto).alias("b1"), F.sum("n").over(upto).alias("n1"),
@@ -103,7 +110,8 @@ def query(spark, sf_dir):
 
 ORACLE_SQL = r"""
 with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
-c as (select conv_id, list({'turn': turn, 'role': role, 'text': text} order by turn, role, text) l from t group by 1),
+c as (select conv_id, list({'turn': turn, 'role': role, 'text': text}
+  order by turn, md5(coalesce(length(role) || ':' || role, '-') || coalesce(':' || text, '-'))) l from t group by 1),
 d as (select min(conv_id) conv_id, l from c group by l),
 p as (select distinct l[1:k.n] l from d, unnest(range(1, len(l))) as k(n)),
 m as (select conv_id, len(l) n_turns from d where l not in (select l from p))

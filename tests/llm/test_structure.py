@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import chat_repair, warc_bundles
+from ebbtide.llm import chat_collapse, chat_repair, warc_bundles
 
 TURNS = "conv_id long, turn long, role string, text string, gone boolean, fault string, audit string"
 
@@ -216,3 +216,18 @@ def test_files(spark, bundles, tmp_path):
 
 def test_no_pages(spark):
     assert warc_bundles.read(warc_bundles.write(spark.createDataFrame([], PAGES))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_collapse_equals_its_sql_on_ties(spark, seed):
+    rng = random.Random(seed)
+    base = [(rng.choice([0, 0, 1, 1, 2, None]), rng.choice(["u", "a", None, ""]), rng.choice(["a", "b", "1:a", None])) for _ in range(7)]
+    turns = [(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 0, "u", "b"), (2, 1, "b", "x"), (3, 0, "u", "b"), (4, -5000, "u", "a"), (5, -5000, "u", "a"), (5, 9000, "u", "a")]
+    for conv in range(10, 90):
+        own = rng.sample(base, rng.randrange(1, 6))
+        turns += [(rng.choice([conv, conv, None]), *t) for t in own + own[:1]]
+    got = sorted((tuple(r.asDict()[c] for c in ("conv_id", "n_turns", "rendered", "role", "turn")) for r in chat_collapse.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).collect()), key=str)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = sorted(con.sql(chat_collapse.ORACLE_SQL).select("conv_id", "n_turns", "rendered", "role", "turn").fetchall(), key=str)
+    assert got == want and got
