@@ -26,11 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder, which outlives lost executors."""
+    """Cut lineage through a Parquet table in the shared folder, which outlives lost executors.
+
+    The write is a query of its own; when the table is there, Spark deletes the shuffle files that led to it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.parquet(path)
 
 
