@@ -72,3 +72,19 @@ def leaderboard(runs: DataFrame, score: Column) -> DataFrame:
     """Runs by score, best first; missing or zero scores count -1; ties by id."""
     key = F.coalesce(F.nullif(score, F.lit(0.0)), F.lit(-1.0))
     return runs.withColumn("score", key).orderBy(F.desc("score"), "id")
+
+
+def shortlist(candidates: DataFrame, covers: str = "2008-09-01", prefix: int = 12, per_class: int = 5, without: tuple[str, ...] = ("monétaire",)) -> DataFrame:
+    """(classe, rank, symbol, name, score) of candidates (symbol, name, classe, start, score) that were there before a crisis.
+
+    Shares of one fund have names that begin alike: of names that agree in their first `prefix` letters and
+    digits, case aside, the best score stays (ties: first symbol), whatever its class; then come the best
+    `per_class` of each class. Money-market funds, names and scores that are missing and late starts drop out.
+    """
+    name = F.substring(F.upper(F.regexp_replace("name", r"[^\p{L}\p{N}]", "")), 1, prefix)
+    fit = candidates.where((F.col("start") <= F.lit(covers).cast("date")) & F.col("score").isNotNull() & ~F.isnan("score") & ~F.coalesce("classe", F.lit("")).isin(*without))
+    one = fit.withColumn("share", F.nullif(name, F.lit(""))).where("share is not null").groupBy("share").agg(
+        F.min_by(F.struct("symbol", "name", "classe", "score"), F.struct(-F.col("score"), "symbol")).alias("c")
+    ).select("c.*")
+    w = Window.partitionBy("classe").orderBy(F.desc("score"), "symbol")
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_class).select("classe", "rank", "symbol", "name", "score")

@@ -15,7 +15,7 @@ def spark():
     return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 
 
-@pytest.mark.parametrize("name", sorted(E.core.ORACLE_SQL | E.more.ORACLE_SQL | E.funds.ORACLE_SQL | E.panels.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(E.core.ORACLE_SQL | E.more.ORACLE_SQL | E.funds.ORACLE_SQL | E.panels.ORACLE_SQL | E.batches.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
