@@ -83,7 +83,7 @@ def paged_orders(s, d):
     plain = table(s, d, "orders")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
     path = f"{d}/orders.parquet"
-    rows = paged.read_pages(s, path if "://" in path else f"file://{path}", schema).where("o_orderpriority = '1-URGENT'")
+    rows = paged.read_pages(s, path if "://" in path else f"file://{path}", schema, equal={"o_orderpriority": "1-URGENT"})
     return rows.select("o_orderkey", "o_custkey", "o_totalprice")
 
 

@@ -5,6 +5,8 @@ The classes are made when they are registered, so executors get them by value an
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 PAGE, CHUNK = 1000, 800
@@ -13,16 +15,18 @@ PAGE, CHUNK = 1000, 800
 def register(spark: SparkSession) -> None:
     """Make the formats `paged` and `chunked` known to a session.
 
-    paged: options path (a Parquet file or folder by a URI of pyarrow's file systems), schema (DDL) and page
-    (rows a page). One partition is one page, so pages are read in parallel and a lost one is read again alone.
-    Equality filters on columns are the source's: it counts the rows that pass them and pages over those only.
-    A page reads the row groups that hold it. Rows keep the table's order.
+    paged: options path (a Parquet file or folder by a URI of pyarrow's file systems), schema (DDL), page (rows a
+    page) and equal (a JSON object of columns and values). One partition is one page, so pages are read in
+    parallel and a lost one is read again alone. The source filters: it counts the rows that are equal and pages
+    over those only. The filter is an option and not one that Spark pushes, as Spark keeps a pushed filter with
+    the table and would apply it to every later query on the same frame. A page reads the row groups that hold
+    it. Rows keep the table's order.
 
     chunked: options path and chunk (rows a file). Tasks write JSON-lines files under names of their own; the
     commit lists those of the tasks that counted in `_chunks-<id>`, by one rename, so a chunk that a retried task wrote
     again is listed once and a reader that follows the lists never sees another. An aborted write deletes its files.
     """
-    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
     class Page(InputPartition):
         def __init__(self, start: int, stop: int):
@@ -30,14 +34,8 @@ def register(spark: SparkSession) -> None:
 
     class Reader(DataSourceReader):
         def __init__(self, options, schema):
-            self.path, self.page, self.schema, self.equal = options["path"], int(options.get("page", PAGE)), schema, []
-
-        def pushFilters(self, filters):
-            for f in filters:
-                if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                    self.equal.append((f.attribute[0], f.value))
-                else:
-                    yield f
+            self.path, self.page, self.schema = options["path"], int(options.get("page", PAGE)), schema
+            self.equal = list(json.loads(options.get("equal", "{}")).items())
 
         def _fragments(self):
             """(fragment of one row group, its rows), in the table's order."""
@@ -101,7 +99,6 @@ def register(spark: SparkSession) -> None:
             return store, root
 
         def write(self, batches):
-            import json
             import uuid
 
             from pyspark import TaskContext
@@ -153,11 +150,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Chunked)
 
 
-def read_pages(spark: SparkSession, path: str, schema: str, page: int = PAGE):
-    """A table by pages; filters on it that compare a column for equality reach the source."""
+def read_pages(spark: SparkSession, path: str, schema: str, page: int = PAGE, equal: dict | None = None):
+    """A table by pages, of the rows whose columns equal the values given."""
     register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("paged").option("path", path).option("schema", schema).option("page", page).load()
+    return spark.read.format("paged").option("path", path).option("schema", schema).option("page", page).option("equal", json.dumps(equal or {})).load()
 
 
 def write_chunks(df, path: str, chunk: int = CHUNK) -> None:
