@@ -333,17 +333,20 @@ def counts(docs: DataFrame, least: int = 30, shard_words: int = SHARD_WORDS) ->
     vocabulary = numbered.where("ids is null").select("shard", "lang", "word", "local", "n")
     totals = written(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     words, local = frequent_words(vocabulary, least)
-    found = written(pairs(numbered.where("ids is not null").select("shard", "ids"), local), "phrases-pairs", compression="zstd")
+    found = pairs(numbered.where("ids is not null").select("shard", "ids"), local)
+    kind = F.when(F.col("n").isNull(), "index").otherwise("pairs")
+    found = written(found.withColumn("kind", kind), "phrases-pairs", by="kind", compression="zstd")
     drop(numbered)
     drop(local)
-    dealt, keys = summed(found.where("n is not null").select("shard", "w1", "w2", "n"), ["w1", "w2"])
+    dealt, keys = summed(found.where("kind = 'pairs'").select("shard", "w1", "w2", "n"), ["w1", "w2"])
     everywhere = Window.partitionBy(*keys)
     two = written(
         dealt.select("shard", "w1", "w2", F.sum("n").over(everywhere).alias("a"), (F.min("shard").over(everywhere) == F.col("shard")).alias("first"))
         .where(F.col("a") >= least),
         "phrases-frequent", compression="zstd",
     )
-    more = longer(found.where("n is null").select("shard", "ahead", "back", "words"), two.select("shard", "w1", "w2"))
+    drop(found, "kind=pairs")
+    more = longer(found.where("kind = 'index'").select("shard", "ahead", "back", "words"), two.select("shard", "w1", "w2"))
     dealt, keys = summed(more, ["w1", "w2", "w3", "w4"])
     more = dealt.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     w4 = F.array("w1", "w2", "w3", "w4")

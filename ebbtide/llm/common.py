@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder, which outlives lost executors.
+def written(df: DataFrame, name: str, by: str | None = None, **options) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, which outlives lost executors; `by` a column, in parts.
 
     The write is a query of its own; when the table is there, Spark deletes the shuffle files that led to it.
     """
@@ -39,10 +39,10 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if by else spark.read.parquet(path)  # no part, no file, if there is no row
 
 
 def trim() -> None:
@@ -68,12 +68,12 @@ def tidy(run):
     return tidied
 
 
-def drop(table: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more; a copy that is gone is no error."""
+def drop(table: DataFrame, part: str = "") -> None:
+    """Delete a table made by written(), or a part of it, that nothing reads any more; a copy that is gone is no error."""
     spark = table.sparkSession
     jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if path.startswith(shared_dir(spark)) or path.startswith(f"file://{shared_dir(spark)}"):
+        if part in path and (path.startswith(shared_dir(spark)) or path.startswith(f"file://{shared_dir(spark)}")):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
