@@ -178,7 +178,7 @@ def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     others out of the shuffle; the join decides.
     """
     cls = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("rid", "doc_id", "th")).alias("r"))
-    rep = written(cls.select("r.*").join(wanted.select(F.col("id").alias("rid")).distinct(), "rid", "left_semi"), "join-reps")
+    rep = written(cls.select("r.*").join(wanted.select(F.col("id").alias("rid")).distinct(), "rid", "left_semi"), "join-reps", compression="zstd")
     key = F.xxhash64("doc_id", "th")
     cells = rep.select(F.pmod(key, F.lit(1 << 23)).alias("k")).groupBy(F.floor(F.col("k") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 32 as int))")).alias("v"))
     held = cells.toPandas()  # at most 2^18 rows
@@ -373,16 +373,16 @@ def centred(pre: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(rows with class, id to component of linked classes, tables of the texts of all classes met in pairs)."""
-    signed = written(signatures(docs, frequency_table(docs)), "join-sets")
-    pre = written(shared_prefixes(signed), "join-shared")
-    rows = written(signed.drop("pre"), "join-rows")
+    signed = written(signatures(docs, frequency_table(docs)), "join-sets", compression="zstd")
+    pre = written(shared_prefixes(signed), "join-shared", compression="zstd")
+    rows = written(signed.drop("pre"), "join-rows", compression="zstd")
     drop(signed)
     hub = written(centred(pre), "join-hub")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = [written(texts_of(docs, rows, ids(hub)), "join-texts")]
+    texts = [written(texts_of(docs, rows, ids(hub)), "join-texts", compression="zstd")]
     links = written(verified(hub, texts[0]), "join-links")
     comp = components(links)
-    member = written(open_tokens(pre, comp), "join-open")
+    member = written(open_tokens(pre, comp), "join-open", compression="zstd")
     drop(pre)
     x, y = member.alias("x"), member.alias("y")
     rest = (
@@ -397,7 +397,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     drop(member)
     if not rest.isEmpty():
         new = ids(rest).distinct().join(texts[0].select("id"), "id", "left_anti")
-        texts.append(written(texts_of(docs, rows, new), "join-texts"))
+        texts.append(written(texts_of(docs, rows, new), "join-texts", compression="zstd"))
         more = written(verified(rest, texts[0].union(texts[1])), "join-more")
         if not more.isEmpty():
             comp = components(links.union(more))
