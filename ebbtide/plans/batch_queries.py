@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import comparison, contracts, journal, reports, series as S
+from ..operators import comparison, contracts, journal, loader, reports, series as S
 from ..sources import paged
 from ..sources.panel import table, ticks
 from ..sources.shared import shared_folder
@@ -87,7 +87,31 @@ def paged_orders(s, d):
     return rows.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def _menu(s, d):
+    """Pairs of suppliers as menus; currencies by ISIN where the catalogue has them, else by venue."""
+    n = F.col("s_suppkey")
+    menu = table(s, d, "supplier").select(
+        F.floor(n / 2).alias("panel"), F.concat(F.lit(" s"), n).alias("isin"), F.lit(None).cast("string").alias("code"),
+        F.when(n % 3 == 0, "LSE").when(n % 3 == 1, "US").alias("exchange"), F.col("s_name").alias("name"), F.lit("c").alias("classe"), n.alias("ord"),
+    )
+    listed = table(s, d, "supplier").where("s_suppkey % 4 = 0").select(
+        F.lit("XETRA").alias("exchange"), F.concat(F.lit("S"), n).alias("isin"), F.lit("").alias("code"), F.when(n % 8 == 0, "sek").otherwise("GBX").alias("currency"), n.alias("ord")
+    )
+    day = F.col("o_orderdate").cast("date").alias("date")
+    ccy = F.element_at(F.array(*map(F.lit, ("USD", "GBP", "SEK"))), (F.col("o_custkey") % 3 + 1).cast("int")).alias("ccy")
+    fx = table(s, d, "orders").groupBy(ccy, day).agg((F.max("o_totalprice") / 100000).alias("rate"))
+    px = ticks(s, d).withColumn("symbol", F.concat("symbol", F.lit(".EUFUND")))
+    return loader.kept_lines(menu, px, listed), px, fx
+
+
+def euro_panel(s, d):
+    lines, px, fx = _menu(s, d)
+    return _r(loader.euro_panel(lines, px, fx, 0.006), "r")
+
+
 QUERIES = {
+    "euro_panel": euro_panel,
+    "euro_panel_lines": lambda s, d: _menu(s, d)[0].select("panel", "key", "symbol", "isin", "name", "ccy", "points"),
     "contract_batch": contract_batch,
     "journal_runs": journal_runs,
     "journal_index": journal_index,
@@ -106,7 +130,17 @@ sh as (select profile, asset, ord, q / sum(q) over (partition by profile) w from
 SUMMARY = f"""{TICKS}, {WEEKS}, {RETURNS}, {EQ},
 sm as (select symbol, substr(symbol, 2)::bigint fund, round(pow(max_by(equity, week), 52.0 / count(*)) - 1, 4) cagr, round(max(dd), 4) max_dd,
   round(case when max(dd) > 1e-9 then (pow(max_by(equity, week), 52.0 / count(*)) - 1) / max(dd) end, 3) calmar from d group by 1)"""
+MENU = f"""{TICKS.replace("p as", "p0 as", 1)}, pt as (select symbol, count(*) points from p0 group by 1 having count(*) >= 60),
+ml as (select s_suppkey // 2 panel, 'S' || s_suppkey as key, s_name as name, points,
+  case when s_suppkey % 8 = 0 then 'SEK' when s_suppkey % 4 = 0 then 'GBX' when s_suppkey % 3 = 0 then 'GBP' when s_suppkey % 3 = 1 then 'USD' else 'EUR' end ccy from supplier join pt on symbol = 'S' || s_suppkey)"""
 ORACLE_SQL = {
+    "euro_panel_lines": f"with {MENU} select panel, key, key || '.EUFUND' as symbol, key isin, name, ccy, points from ml",
+    "euro_panel": f"""with {MENU}, x as (select ['USD', 'GBP', 'SEK'][o_custkey % 3 + 1] ccy, o_orderdate::date date, max(o_totalprice) / 100000 rate from orders group by 1, 2),
+x0 as (select ccy, min_by(rate, date) r0 from x group by 1), p1 as (select panel, key, date, price * case when ccy = 'GBX' then 0.01 else 1 end price, case when ccy = 'GBX' then 'GBP' else ccy end ccy from p0 join ml on key = symbol),
+eu as (select panel, key, p1.date, price * case when p1.ccy = 'EUR' then 1 else coalesce(x.rate, r0) end price from p1 asof left join x on x.ccy = p1.ccy and p1.date >= x.date left join x0 on x0.ccy = p1.ccy),
+fd as (select panel, date from eu group by 1, 2 having count(distinct key) = (select count(*) from ml where ml.panel = eu.panel)),
+p as (select panel || '|' || key symbol, date, price from eu join fd using (panel, date)), {WEEKS}, {RETURNS}
+select split_part(symbol, '|', 1)::bigint panel, split_part(symbol, '|', 2) as key, week, round((1 + r) * (1 - (pow(1.006, 1 / 52.0) - 1)) - 1, 6) r from r""",
     "contract_batch": f"""with {TICKS.replace("p as", "p0 as", 1)}, ct as (select distinct c_custkey contract from customer),
 mn as (select contract, 'S' || ((contract * (k + 1) + k) % 97) symbol, case when contract % 7 = 0 and k = 1 then null else k + 1 end w from ct, range(3) r(k) where contract % 11 <> 0 and (contract % 5 <> 0 or k = 0)),
 p1 as (select symbol, date, case when substr(symbol, 2)::bigint % 10 = 3 and day(date) = 1 then -1 else price end price from p0),
