@@ -30,7 +30,7 @@ def test_matches_sql(spark, name):
                 return None
             if isinstance(v, float):
                 return round(v, 5) + 0.0
-            return str(v)[:10] if c in ("week", "date", "start", "end", "lo", "hi", "last") else v
+            return str(v)[:10] if c in ("week", "date", "start", "end", "lo", "hi", "last", "fetched_on") else v
 
         return sorted((tuple(plain(c, v) for c, v in zip(cols, r)) for r in df[cols].itertuples(index=False)), key=str)
 
