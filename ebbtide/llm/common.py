@@ -36,12 +36,16 @@ def written(df: DataFrame, name: str, by: str | None = None, **options) -> DataF
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    # With a writer open for each part, rows need no sort by part.
+    wanted = {CLEAN_UP: "true"} | ({"spark.sql.maxConcurrentOutputFileWriters": "8"} if by else {})
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.options(**options).parquet(path, partitionBy=by)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path) if by else spark.read.parquet(path)  # no part, no file, if there is no row
 
 
