@@ -69,7 +69,7 @@ def test_journal_numbers_on(spark, top):
 
 
 def test_comparisons(spark):
-    lines = spark.createDataFrame([("p", "b", 2, 0.6, "réel"), ("p", "a", 1, 0.4, "réel (EODHD)"), ("q", "b", 9, 0.0004, "reconstruit"), ("q", "c", 3, 1.0, None), ("q", "d", 4, 0.0001, "modélisé"), ("z", "e", 0, 1.0, "")], "profile string, asset string, ord int, w double, source string")
+    lines = spark.createDataFrame([("p", "b", 2, 0.6, "réel"), ("p", "a", 1, 0.4, "réel (marché)"), ("q", "b", 9, 0.0004, "reconstruit"), ("q", "c", 3, 1.0, None), ("q", "d", 4, 0.0001, "modélisé"), ("z", "e", 0, 1.0, "")], "profile string, asset string, ord int, w double, source string")
     assert [(r.asset, r.place) for r in comparison.asset_order(lines).orderBy("place").collect()] == [("e", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4)]
     assert sorted(map(tuple, comparison.allocation_matrix(lines, ["p", "q"]).collect())) == [("a", 0.4, 0.0, 0.4), ("b", 0.6, 0.0004, 0.6), ("c", 0.0, 1.0, 1.0)]
     assert [r.kind for r in comparison.provenance(lines).orderBy("profile", "ord").collect()] == ["real", "real", None, "modelled", "rebuilt", None]
