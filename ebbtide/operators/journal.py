@@ -21,7 +21,9 @@ def extracted(results: DataFrame) -> DataFrame:
     """The flat record of each result (result JSON string, note, hypothesis); what a result lacks is null, a source `?`."""
 
     def at(path: str, kind: str = "double") -> Column:
-        return F.try_variant_get("v", f"$.{path}", kind)
+        x = F.try_variant_get("v", f"$.{path}", kind)
+        # A variant holds -0.0 as a decimal, which has no sign; the text has it.
+        return F.when(x == 0, F.coalesce(F.get_json_object("result", f"$.{path}").try_cast("double"), x)).otherwise(x) if kind == "double" else x
 
     out = [F.coalesce(at("meta.source", "string"), F.lit("?")).alias("source"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("hypothesis", F.lit("")).alias("hypothesis")]
     out += [at(f"meta.{c}", k).alias(c) for c, k in (("start", "string"), ("end", "string"), ("years", "double"), ("n_assets", "long"))]
@@ -62,8 +64,11 @@ def load(spark, path: str) -> DataFrame:
 
 
 def percent(x: Column) -> Column:
-    """+1.2% of 0.012, halves away from zero; a dash for what is missing."""
-    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.format_string("%+.1f%%", x * 100))
+    """+1.2% of 0.012, halves of 1000 x as a double away from zero, -0.0% below zero; a dash for what is missing."""
+    tenths = F.abs(x * 100) * 10
+    # Doubles from 2^52 on are whole.
+    whole = F.when(tenths < float(1 << 52), F.floor(tenths + 0.5).cast("double")).otherwise(tenths)
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.format_string("%+.1f%%", F.signum(x) * whole / 10))
 
 
 def ranked(journal: DataFrame) -> DataFrame:

@@ -48,6 +48,12 @@ def drawdowns(returns: DataFrame) -> DataFrame:
     return eq.withColumn("peak", F.max("equity").over(upto)).withColumn("dd", 1 - F.try_divide("equity", "peak"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded, with the sign of a small negative number kept in -0.0."""
+    y = F.round(x, digits)
+    return F.when((y == 0) & (x < 0), F.lit(-0.0)).otherwise(y)
+
+
 def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataFrame:
     """CAGR, volatility, Sharpe, maximum drawdown, CDaR and Calmar per symbol."""
     dd = drawdowns(returns)
@@ -60,10 +66,10 @@ def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataF
         F.avg(F.when(F.col("dd") >= F.col("cut"), F.col("dd"))).alias("cdar"),
     )
     return base.select(
-        "symbol", F.round("cagr", 4).alias("cagr"), F.round("vol", 4).alias("vol"),
-        F.round(F.try_divide(F.col("cagr"), F.nullif(F.col("vol"), F.lit(0.0))), 3).alias("sharpe"),
+        "symbol", rounded(F.col("cagr"), 4).alias("cagr"), F.round("vol", 4).alias("vol"),
+        rounded(F.try_divide(F.col("cagr"), F.nullif(F.col("vol"), F.lit(0.0))), 3).alias("sharpe"),
         F.round("max_dd", 4).alias("max_dd"), F.round("cdar", 4).alias("cdar"),
-        F.round(F.when(F.col("max_dd") > 1e-9, F.col("cagr") / F.col("max_dd")), 3).alias("calmar"),
+        rounded(F.when(F.col("max_dd") > 1e-9, F.col("cagr") / F.col("max_dd")), 3).alias("calmar"),
     )
 
 

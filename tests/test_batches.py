@@ -68,6 +68,20 @@ def test_journal_numbers_on(spark, top):
     assert [r.id - 1 for r in ranked] == want and (ranked[0].cagr, ranked[0].maxdd) == ("+1.2%", "—")
 
 
+def test_percentages_round_doubles_and_keep_the_sign_of_zero(spark, top):
+    from ebbtide.operators.series import summary
+
+    xs = [1.0365, 0.6335, -0.0765, -0.5285, 0.012, -0.00003, 0.0, -0.0, None, float("nan"), 2e20]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(journal.percent(F.col("x")).alias("p")).collect()]
+    assert got == ["+103.7%", "+63.4%", "-7.7%", "-52.9%", "+1.2%", "-0.0%", "+0.0%", "-0.0%", "—", "—", "+20000000000000000000000.0%"]
+    flat = spark.createDataFrame([("a", day(0), 0.1), ("a", day(7), 1 / 1.1 - 1 - 1e-9)], "symbol string, week date, r double")
+    assert str(summary(flat).first().cagr) == "-0.0"
+    deep = {"portefeuilles": {"profil_equilibre": {"in_sample": {"cagr": -0.0, "max_drawdown": 0.0, "calmar": -0.0}}}}
+    journal.append(spark, f"{top}/zero", spark.createDataFrame([(1, json.dumps(deep), None, None)], "k int, result string, note string, hypothesis string"), ["k"])
+    row = journal.ranked(journal.load(spark, f"{top}/zero")).first()
+    assert (row.cagr, row.maxdd, str(row.calmar)) == ("-0.0%", "+0.0%", "-0.0")
+
+
 def test_comparisons(spark):
     lines = spark.createDataFrame([("p", "b", 2, 0.6, "réel"), ("p", "a", 1, 0.4, "réel (marché)"), ("q", "b", 9, 0.0004, "reconstruit"), ("q", "c", 3, 1.0, None), ("q", "d", 4, 0.0001, "modélisé"), ("z", "e", 0, 1.0, "")], "profile string, asset string, ord int, w double, source string")
     assert [(r.asset, r.place) for r in comparison.asset_order(lines).orderBy("place").collect()] == [("e", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4)]
