@@ -32,8 +32,13 @@ def weekly_last(prices: DataFrame) -> DataFrame:
 
 def weekly_returns(prices: DataFrame, over_gaps: bool = True) -> DataFrame:
     """Simple returns between kept weeks; without over_gaps only between neighbouring weeks."""
+    return between_weeks(weekly_last(prices), over_gaps)
+
+
+def between_weeks(weeks: DataFrame, over_gaps: bool = True) -> DataFrame:
+    """Returns (symbol, week, r) of weekly prices (symbol, week, price)."""
     w = Window.partitionBy("symbol").orderBy("week")
-    out = weekly_last(prices).select(
+    out = weeks.select(
         "symbol", "week", F.lag("week").over(w).alias("before"), F.try_divide(F.col("price"), F.lag("price").over(w)).alias("q")
     ).where("q is not null")
     if not over_gaps:
@@ -54,17 +59,21 @@ def rounded(x: Column, digits: int) -> Column:
     return F.when((y == 0) & (x < 0), F.lit(-0.0)).otherwise(y)
 
 
-def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataFrame:
-    """CAGR, volatility, Sharpe, maximum drawdown, CDaR and Calmar per symbol."""
-    dd = drawdowns(returns)
-    tail = dd.groupBy("symbol").agg(F.percentile("dd", F.lit(alpha)).alias("cut"))
+def equity_metrics(periods: int = 52) -> list[Column]:
+    """Unrounded CAGR, volatility and maximum drawdown of rows of drawdowns(), as aggregates."""
     total = F.max_by("equity", "week")
-    base = dd.join(tail, "symbol").groupBy("symbol").agg(
+    return [
         F.when(total > 0, F.pow(total, F.lit(float(periods)) / F.count("*")) - 1).alias("cagr"),
         (F.stddev_samp("r") * F.sqrt(F.lit(float(periods)))).alias("vol"),
         F.max("dd").alias("max_dd"),
-        F.avg(F.when(F.col("dd") >= F.col("cut"), F.col("dd"))).alias("cdar"),
-    )
+    ]
+
+
+def summary(returns: DataFrame, alpha: float = 0.95, periods: int = 52) -> DataFrame:
+    """CAGR, volatility, Sharpe, maximum drawdown, CDaR and Calmar per symbol."""
+    dd = drawdowns(returns)
+    tail = dd.groupBy("symbol").agg(F.percentile("dd", F.lit(alpha)).alias("cut"))
+    base = dd.join(tail, "symbol").groupBy("symbol").agg(*equity_metrics(periods), F.avg(F.when(F.col("dd") >= F.col("cut"), F.col("dd"))).alias("cdar"))
     return base.select(
         "symbol", rounded(F.col("cagr"), 4).alias("cagr"), F.round("vol", 4).alias("vol"),
         rounded(F.try_divide(F.col("cagr"), F.nullif(F.col("vol"), F.lit(0.0))), 3).alias("sharpe"),

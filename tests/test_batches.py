@@ -148,3 +148,16 @@ def test_chunks_are_written_once(spark, top):
     assert len(read()) == 2500
     paged.write_chunks(rows.limit(5), f"file://{top}/c", 800)
     assert len(read()) == 2505
+
+
+def test_equal_menus_are_measured_once(spark, monkeypatch):
+    px = [(s, day(7 * i), str(100 + (i * k) % 7)) for k, s in enumerate(("A", "B", "C"), 1) for i in range(12)]
+    menu = [(f"c{c:02d}", s, w) for c in range(30) for s, w in (("A", "1"), ("B", "2") if c % 2 else ("C", "3"))]
+    tables = ([(f"c{c:02d}",) for c in range(30)], "contract string"), (menu, "contract string, symbol string, weight string"), (px, "symbol string, date date, price string")
+    series, plain = [], contracts.drawdowns
+    monkeypatch.setattr(contracts, "drawdowns", lambda r: series.append(r.select("symbol").distinct().count()) or plain(r))
+    run = lambda: sorted(map(tuple, contracts.measured(*(spark.createDataFrame(*t) for t in tables)).collect()))
+    few = run()
+    monkeypatch.setattr(contracts, "FEW_SYMBOLS", 0)
+    assert few == run() and series == [2, 2]
+    assert all(r[1] and r[3:] == few[int(r[0][1:]) % 2][3:] for r in few)
