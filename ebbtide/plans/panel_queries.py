@@ -83,7 +83,7 @@ def stored(s, d):
     """Even suppliers are stored, then every third is asked for and fetched where it is missing: the manifest after it."""
     store, days = SeriesStore(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}"), _days(s, d)
     store.write(days.where("n % 2 = 0"), "first", "2024-01-01")
-    wanted = days.where("n % 3 = 0").select(F.lower("symbol").alias("symbol")).distinct()
+    wanted = table(s, d, "lineitem").where("l_suppkey % 3 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("symbol")).distinct()
     store.get(wanted, lambda missing: days.join(missing, "symbol", "left_semi"), "second", "2024-02-01")
     return store.manifest()
 

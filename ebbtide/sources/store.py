@@ -22,12 +22,22 @@ def code(column: str = "symbol"):
     return F.nullif(F.upper(F.trim(column)), F.lit(""))
 
 
+def complete(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The numbers k of the folders path/column=k whose writing has ended."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = fs.Path(f"{path}/{column}=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 class SeriesStore:
-    """Series (symbol, date, price) with where they come from, one partition a symbol in one Parquet folder.
+    """Series (symbol, date, price) with where they come from, one folder a write, whose files hold many symbols in order.
 
-    Writing symbols replaces their partitions as a whole and leaves all others' files as they are. The manifest
-    is derived from the rows and cannot disagree with them. Rows without a symbol or date are left out; of two
-    rows of one day the larger price counts; a symbol without rows is not stored.
+    Writing symbols replaces them as a whole and leaves all files as they are: a symbol's rows are those of the
+    last write that has it, and a write is seen as a whole or not at all. So files follow the rows, not the
+    symbols; replaced rows stay in their files. One writer at a time. The manifest is derived from the rows and
+    cannot disagree with them. Rows without a symbol or date are left out; of two rows of one day the larger
+    price counts; a symbol without rows is not stored.
     """
 
     SCHEMA = "date date, price double, source string, fetched_on date, symbol string"
@@ -35,19 +45,23 @@ class SeriesStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _written(self) -> DataFrame:
+        """Rows of all writes, with `write`."""
+        schema, paths = f"{self.SCHEMA}, write int", [f"{self.path}/write={n}" for n in complete(self.spark, self.path, "write")]
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def read(self) -> DataFrame:
-        if not is_there(self.spark, self.path):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        rows = self._written()
+        # Symbols of one write alone, most of them, take no part in the join.
+        again = rows.groupBy(F.col("symbol").alias("s")).agg(F.min("write").alias("first"), F.max("write").alias("last")).where("first < last")
+        return rows.join(again, (F.col("symbol") == F.col("s")) & (F.col("write") < F.col("last")), "left_anti").drop("write")
 
     def write(self, series: DataFrame, source: str = "", fetched_on: str | None = None) -> None:
         rows = series.select(code().alias("symbol"), F.col("date").cast("date").alias("date"), F.col("price").cast("double").alias("price"))
-        rows = rows.where("symbol is not null and date is not null").groupBy("symbol", "date").agg(F.max("price").alias("price"))
+        rows = rows.where("symbol is not null and date is not null").repartition("symbol").groupBy("symbol", "date").agg(F.max("price").alias("price"))
         rows = rows.select("date", "price", F.lit(source).alias("source"), F.lit(fetched_on).cast("date").alias("fetched_on"), "symbol")
-        # Tasks that hold whole symbols write one file for each.
-        rows.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "symbol"
-        ).parquet(self.path)
+        n = max(complete(self.spark, self.path, "write"), default=0) + 1
+        rows.sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(f"{self.path}/write={n}")
 
     def manifest(self) -> DataFrame:
         """(symbol, points, start, end, source, fetched_on)."""
@@ -59,7 +73,7 @@ class SeriesStore:
     def missing(self, wanted: DataFrame) -> DataFrame:
         """Wanted (symbol) that are not stored."""
         asked = wanted.select(code().alias("symbol")).where("symbol is not null").distinct()
-        return asked.join(self.read().select("symbol").distinct(), "symbol", "left_anti")
+        return asked.join(self._written().select("symbol").distinct(), "symbol", "left_anti")
 
     def get(self, wanted: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None = None, source: str = "", fetched_on: str | None = None, refetch: bool = False) -> DataFrame:
         """(symbol, date, price, from_cache) of the wanted symbols; what is missing is fetched and stored first.
@@ -100,10 +114,7 @@ class VersionedPrices:
 
     def latest(self) -> int:
         """The last merge whose list is complete; 0 before the first."""
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        where = fs.Path(f"{self.path}/log/version=*/_SUCCESS")
-        found = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
-        return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+        return max(complete(self.spark, f"{self.path}/log", "version"), default=0)
 
     def months(self, n: int | None = None) -> DataFrame:
         """(month, at, rows, last): the list of a merge, one row a month."""

@@ -133,3 +133,15 @@ def test_rows_behind_the_watermark_are_dropped(spark, top):
     ]
     got = sorted((r.id, r.peak) for r in replay(frames, f"{top}/r", "5 minutes").collect())
     assert got == [(1, 5.0), (2, 8.0), (4, 8.0), (5, 8.0)]
+
+
+def test_files_follow_rows_and_the_last_write_counts(spark, top):
+    store = SeriesStore(spark, f"{top}/s")
+    store.write(spark.createDataFrame([(f"s{k}", day(i), 1.0) for k in range(60) for i in range(3)], PRICES), "old")
+    assert len(files(f"{top}/s")) <= 4
+    store.write(spark.createDataFrame([("s7", day(9), 2.0)], PRICES), "new")
+    # What an unfinished write leaves is not seen.
+    spark.createDataFrame([("S8", day(1), 9.0)], PRICES).write.parquet(f"{top}/s/write=3")
+    Path(f"{top}/s/write=3/_SUCCESS").unlink()
+    got = {r.symbol: (r.points, r.source) for r in store.manifest().collect()}
+    assert len(got) == 60 and got["S7"] == (1, "new") and all(v == (3, "old") for s, v in got.items() if s != "S7")
