@@ -2,70 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = "symbol string, id long, at timestamp, value double, peak double, dd double"
+ROW = "symbol string, id long, at timestamp, value double"
+PEAK, MARK = "symbol string, peak double", "mark long"
 
 
-def running_drawdown(ticks: DataFrame, late: str = "1 day") -> DataFrame:
-    """(symbol, id, at, value, peak, dd) of a stream (symbol, id, at timestamp, value).
+def running_drawdown(ticks: DataFrame, folder: str, late: str = "1 day"):
+    """Append (symbol, id, at, value, peak, dd) of a stream (symbol, id, at timestamp, value) to `folder`/out.
 
-    A row is final once the watermark has reached its time: until then it waits in its symbol's state, so the
-    result does not depend on batches, only on times and, for equal times, ids. Rows that arrive behind the
-    watermark are dropped, as Spark does for every stateful operator. The state of a symbol is its peak and
-    the rows of the last `late` span. Rows without symbol, time or a finite value are left out; the drawdown
-    from a peak of at most 0 is null. Needs the RocksDB state store.
+    A row is final once the watermark, `late` behind the latest time met, has reached its time: until then it
+    waits in the state, so the result does not depend on batches, only on times and, for equal times, ids. Rows
+    that arrive at or behind the watermark are dropped. The state is the peaks of all symbols, the waiting rows
+    and the watermark, as tables of each batch; a batch reads those of the one before and writes its own, so one
+    that is repeated writes the same again, and all symbols of a batch are one join and one window. Rows without
+    symbol, time or a finite value are left out; the drawdown from a peak of at most 0 is null. Call
+    awaitTermination() on the result.
     """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-    # A class of this function's own travels to executors by value.
-    class Running(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.waiting = handle.getListState("waiting", "at timestamp, us long, id long, value double")
-            self.peak = handle.getValueState("peak", "peak double")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            first = None
-            for batch in rows:
-                us = batch["us"].tolist()
-                self.waiting.appendList(list(zip(batch["at"].tolist(), us, batch["id"].tolist(), batch["value"].tolist())))
-                first = min([*us, *([first] if first is not None else [])])
-            if first is not None:
-                self.handle.registerTimer(-(-first // 1000))
-            return iter(())
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-            import pandas as pd
-
-            mark = timerValues.getCurrentWatermarkInMs()
-            rows = [tuple(r) for r in self.waiting.get()]
-            ready = sorted((r for r in rows if -(-r[1] // 1000) <= mark), key=lambda r: (r[1], r[2], r[3]))
-            rest = [r for r in rows if -(-r[1] // 1000) > mark]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(-(-min(r[1] for r in rest) // 1000))
-            else:
-                self.waiting.clear()
-            peak, out = self.peak.get()[0] if self.peak.exists() else None, []
-            for at, _, id_, value in ready:
-                peak = value if peak is None else max(peak, value)
-                out.append((key[0], id_, at, value, peak, 1 - value / peak if peak > 0 else None))
-            if not out:
-                return iter(())
-            self.peak.update((peak,))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-            return iter((frame.astype({"id": "int64", "value": "float64", "peak": "float64", "dd": "float64"}),))
-
-        def close(self) -> None:
-            pass
-
-    known = ticks.where("symbol is not null and at is not null and value is not null and not isnan(value)")
-    rows = known.select("symbol", F.col("id").cast("long").alias("id"), "at", F.unix_micros("at").alias("us"), F.col("value").cast("double").alias("value"))
-    return rows.withWatermark("at", late).groupBy("symbol").transformWithStateInPandas(Running(), OUT, outputMode="Append", timeMode="EventTime")
+    delay = int(pd.Timedelta(late) / pd.Timedelta(milliseconds=1))
+    us = F.unix_micros("at")
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+
+        def before(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{folder}/state/{name}/batch-{n - 1}") if n else spark.createDataFrame([], schema)
+
+        def keep(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{folder}/state/{name}/batch-{n}")
+
+        old = before("mark", MARK).first()
+        known = batch.where("symbol is not null and at is not null and value is not null and not isnan(value)")
+        known = known.select("symbol", F.col("id").cast("long").alias("id"), "at", F.col("value").cast("double").alias("value"))
+        last = known.agg(F.max(us)).first()[0]
+        marks = ([old.mark] if old else []) + ([last // 1000 - delay] if last is not None else [])
+        mark = max(marks, default=None)
+        rows = before("waiting", ROW).unionByName(known.where(us > old.mark * 1000) if old else known)
+        final = us <= mark * 1000 if marks else F.lit(False)
+        upto = Window.partitionBy("symbol").orderBy(us, "id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        peaks = before("peaks", PEAK)
+        top = rows.where(final).withColumn("top", F.max("value").over(upto)).join(peaks, "symbol", "left").withColumn("peak", F.greatest("top", "peak"))
+        dd = F.when(F.col("peak") > 0, 1 - F.col("value") / F.col("peak"))
+        out = f"{folder}/out/batch={n}"
+        top.select("symbol", "id", "at", "value", "peak", dd.alias("dd")).write.mode("overwrite").parquet(out)
+        new = spark.read.schema(OUT).parquet(out).select("symbol", "peak")
+        keep(peaks.unionByName(new).groupBy("symbol").agg(F.max("peak").alias("peak")), "peaks")
+        keep(rows.where(~final), "waiting")
+        keep(spark.createDataFrame([(mark,)] if marks else [], MARK), "mark")
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def replay(batches: list[DataFrame], folder: str, late: str = "1 day") -> DataFrame:
@@ -74,17 +62,8 @@ def replay(batches: list[DataFrame], folder: str, late: str = "1 day") -> DataFr
     After the last batch a row of no symbol's, far in the future, makes all rows final; it is never final itself.
     """
     spark = batches[0].sparkSession
-    source = "symbol string, id long, at timestamp, value double"
     end = spark.createDataFrame([("", -1, 0.0)], "symbol string, id long, value double").select("symbol", "id", F.timestamp_seconds(F.lit(1 << 33)).alias("at"), "value")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for rows in [*batches, end]:
-            rows.select("symbol", "id", "at", "value").write.mode("append").parquet(f"{folder}/in")
-            stream = running_drawdown(spark.readStream.schema(source).parquet(f"{folder}/in"), late).writeStream.format("parquet")
-            stream = stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("append")
-            stream.start(f"{folder}/out").awaitTermination()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    return spark.read.schema(OUT).parquet(f"{folder}/out")
+    for rows in [*batches, end]:
+        rows.select("symbol", "id", "at", "value").write.mode("append").parquet(f"{folder}/in")
+        running_drawdown(spark.readStream.schema(ROW).parquet(f"{folder}/in"), folder, late).awaitTermination()
+    return spark.read.schema(f"{OUT}, batch int").parquet(f"{folder}/out").drop("batch")

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.sources.store import SeriesStore, VersionedPrices
-from ebbtide.streaming.running import replay
+from ebbtide.streaming.running import OUT, ROW, replay, running_drawdown
 from ebbtide.streaming.sync import sync
 
 PRICES = "symbol string, date date, price double"
@@ -145,3 +145,15 @@ def test_files_follow_rows_and_the_last_write_counts(spark, top):
     Path(f"{top}/s/write=3/_SUCCESS").unlink()
     got = {r.symbol: (r.points, r.source) for r in store.manifest().collect()}
     assert len(got) == 60 and got["S7"] == (1, "new") and all(v == (3, "old") for s, v in got.items() if s != "S7")
+
+
+def test_a_repeated_batch_writes_the_same(spark, top):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    frames = [spark.createDataFrame([("x", k, at(10 * k), float(9 - k)), ("y", k, at(10 * k + 1), float(k))], "symbol string, id long, at timestamp, value double") for k in range(4)]
+    first = sorted(map(tuple, replay(frames, f"{top}/r", "5 minutes").collect()))
+    assert len(first) == 8
+    last = max(int(p.name) for p in Path(f"{top}/r/checkpoint/commits").iterdir() if p.name.isdigit())
+    for p in Path(f"{top}/r/checkpoint/commits").glob(f"*{last}*"):
+        p.unlink()
+    running_drawdown(spark.readStream.schema(ROW).parquet(f"{top}/r/in"), f"{top}/r", "5 minutes").awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(OUT).parquet(f"{top}/r/out").select("symbol", "id", "at", "value", "peak", "dd").collect())) == first
