@@ -7,8 +7,11 @@ aggregates, so a fund of any length is one row when it is solved, and no fund's
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.shared import settled
 
@@ -49,17 +52,48 @@ def factor_panel(returns: DataFrame, names: list[str]) -> DataFrame:
     return by.dropna().select("week", F.array(*[f"f{i}" for i in range(len(names))]).alias("f"))
 
 
-def _sums(rows: DataFrame, k: int) -> DataFrame:
-    """Per fund: n, y, yy, b (F'y) and g (F'F by rows), with one aggregate for each pair of factors."""
+def _sums(funds: DataFrame, panel: DataFrame, k: int) -> DataFrame:
+    """Per fund, with or without weeks that count: n, y, yy, b (F'y) and g (F'F by rows), with one aggregate for each pair of factors."""
+    known = F.col("y").isNotNull() & ~F.isnan("y")
+    rows = funds.select("fund", "week", F.when(known, F.col("y").cast("double")).alias("y")).join(F.broadcast(panel), "week", "left")
+    rows = rows.select("fund", F.when(F.col("f").isNotNull(), F.col("y")).alias("y"), F.when(F.col("y").isNotNull(), F.col("f")).alias("f"))
     f = [F.col("f")[i] for i in range(k)]
     cells = [F.sum(f[i] * f[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     one = rows.groupBy("fund").agg(
-        F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(f[i] * F.col("y")).alias(f"b{i}") for i in range(k)], *cells
+        F.count("y").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(f[i] * F.col("y")).alias(f"b{i}") for i in range(k)], *cells
     )
     g = F.array(*[F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for j in range(k)]) for i in range(k)])
     return one.select("fund", "n", "y", "yy", F.array(*[f"b{i}" for i in range(k)]).alias("b"), g.alias("g"))
 
 
+def _descended(k: int, strength: float, steps: int):
+    """A function on Arrow batches (n, b, g, prior, ...) that adds w after coordinate descent, all funds of a batch at once."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index
+            n = batch.column(at("n")).to_numpy(zero_copy_only=False)
+            b, prior = (np.array(batch.column(at(c)).flatten()).reshape(-1, k) for c in ("b", "prior"))
+            g, w = np.array(batch.column(at("g")).flatten().flatten()).reshape(-1, k, k), prior.copy()
+            long = np.flatnonzero(n >= 2)
+            ridge, b, g, p, x = strength / n[long], b[long], g[long], prior[long], w[long]
+            if (np.diagonal(g, axis1=1, axis2=2) + ridge[:, None] == 0).any():
+                raise ZeroDivisionError("without a ridge a factor is 0")
+            for step in range(steps):
+                j = step % k
+                dot = np.zeros(len(x))
+                for i in range(k):
+                    dot = dot + g[:, j, i] * x[:, i]
+                x[:, j] = np.maximum(0.0, (b[:, j] + ridge * p[:, j] - dot + g[:, j, j] * x[:, j]) / (g[:, j, j] + ridge))
+            w[long] = x
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, k, dtype=np.int32)), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "w"])
+
+    return run
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -73,23 +107,15 @@ def fit(funds: DataFrame, factors: DataFrame, priors: DataFrame, names: list[str
     """
     k = len(names)
     panel = factor_panel(factors, names)
-    known = funds.where("y is not null and not isnan(y)").select("fund", "week", F.col("y").cast("double").alias("y"))
     prior = priors.groupBy("fund").agg(*[F.coalesce(F.sum(F.when(F.col("factor") == n, F.col("w"))), F.lit(0.0)).alias(f"p{i}") for i, n in enumerate(names)])
     prior = prior.select("fund", F.array(*[f"p{i}" for i in range(k)]).alias("prior"))
     nothing = F.array(*[F.lit(0.0)] * k)
-    every = funds.select("fund").distinct().join(prior, "fund", "left").withColumn("prior", F.coalesce("prior", nothing))
-    rows = every.join(_sums(known.join(panel, "week"), k), "fund", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ridge = F.lit(strength) / F.col("n")
-
-    def descend(w, step):
-        j = (step % k).cast("int")
-        own = F.col("g")[j][j] + ridge
-        rest = F.col("b")[j] + ridge * F.col("prior")[j] - _dot(F.col("g")[j], w) + F.col("g")[j][j] * w[j]
-        return F.transform(w, lambda x, i: F.when(i == j, F.greatest(F.lit(0.0), rest / own)).otherwise(x))
-
-    w = F.aggregate(F.sequence(F.lit(0), F.lit(sweeps * k - 1)), F.col("prior"), descend)
+    # What has no week that counts has nothing to sum; the descent skips it, but takes whole arrays.
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    summed = _sums(funds, panel, k).select("fund", "n", "y", "yy", F.transform("b", zero).alias("b"), F.transform("g", lambda r: F.transform(r, zero)).alias("g"))
+    rows = summed.join(prior, "fund", "left").withColumn("prior", F.coalesce("prior", nothing))
     # A table of one row a fund, so that no later column repeats the descent.
-    rows = settled(rows.withColumn("w", F.when(F.col("n") >= 2, w).otherwise(F.col("prior"))), "basket-weights")
+    rows = settled(rows.mapInArrow(_descended(k, strength, sweeps * k), StructType([*rows.schema.fields, StructField("w", rows.schema["b"].dataType)])), "basket-weights")
     error = F.col("yy") - 2 * _dot(F.col("w"), F.col("b")) + _dot(F.col("w"), F.transform("g", lambda g: _dot(g, F.col("w"))))
     spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     # Sums of squares leave a trace where a fund is constant.

@@ -56,7 +56,9 @@ def _funds(s, d):
 
 def basket_fit(s, d):
     funds = _funds(s, d)
-    own = funds.select("fund").distinct().withColumn("i", F.col("fund") % len(CATEGORIES)).join(_categories(s), "i").select("fund", "factor", "w")
+    # Priors of suppliers without returns are of no fund.
+    keys = table(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("fund")).distinct()
+    own = keys.withColumn("i", F.col("fund") % len(CATEGORIES)).join(_categories(s), "i").select("fund", "factor", "w")
     return _r(baskets.fit(funds, _factors(s, d), own, FACTORS), "w", "r2")
 
 

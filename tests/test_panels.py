@@ -196,3 +196,23 @@ def test_basket_level(spark):
     got = {(r.fund, r.week): r.r for r in backfill.basket(f, w, 0.001, level).collect()}
     assert np.mean([got["f", week(i)] for i in range(5)]) == pytest.approx(1.05 ** (1 / 52) - 1)
     assert got["g", week(4)] == pytest.approx(0.019)
+
+
+def test_descent_equals_a_plain_loop(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 2, 5, 40):
+        f = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(n)]
+        y = [rng.gauss(0, 1) for _ in range(n)]
+        g = [[sum(a[i] * a[j] for a in f) + 0.0 for j in range(3)] for i in range(3)]
+        rows.append({"n": n, "b": [sum(a[i] * v for a, v in zip(f, y)) + 0.0 for i in range(3)], "g": g, "prior": [0.2, 0.5, 0.0]})
+    got = next(baskets._descended(3, 6.0, 60)(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    for r in got:
+        w = list(r["prior"])
+        for step in range(60 if r["n"] >= 2 else 0):
+            j, lam = step % 3, 6.0 / r["n"]
+            dot = sum(a * b for a, b in zip(r["g"][j], w))
+            w[j] = max(0.0, (r["b"][j] + lam * r["prior"][j] - dot + r["g"][j][j] * w[j]) / (r["g"][j][j] + lam))
+        assert r["w"] == pytest.approx(w, abs=1e-12)
