@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import after_fee, row_key
+from ..sources.shared import settled
 from . import candidates, currency
 from .series import weekly_returns
 
@@ -35,12 +36,14 @@ def euro_panel(lines: DataFrame, prices: DataFrame, fx: DataFrame, annual_fee: f
 
     A line whose currency has no rates leaves its panel without common days, as it has no price in euros.
     """
-    one = F.concat_ws("\t", F.col("panel").cast("string"), "key")
-    named = lines.select("panel", "key", "symbol", "ccy", one.alias("one"))
-    px = prices.join(named, "symbol").select(F.col("one").alias("symbol"), "ccy", "date", "price")
-    euro = currency.as_of(px, fx).where("eur is not null").withColumnRenamed("symbol", "one").join(named.select("one", "panel", "key"), "one")
-    size = lines.groupBy("panel").agg(F.count("*").alias("all"))
-    full = euro.groupBy("panel", "date").agg(F.count_distinct("key").alias("n")).join(size, "panel").where(F.col("n") == F.col("all"))
-    common = euro.join(full.select("panel", "date"), ["panel", "date"], "left_semi")
-    r = weekly_returns(common.select(F.col("one").alias("symbol"), "date", F.col("eur").alias("price")))
-    return r.withColumnRenamed("symbol", "one").join(named.select("one", "panel", "key"), "one").select("panel", "key", "week", after_fee(F.col("r"), annual_fee).alias("r"))
+    size = F.count("*").over(Window.partitionBy("panel"))
+    # A table of one row a line, as it costs a pass over all prices.
+    kept = settled(lines.where("panel is not null").select("panel", "key", "symbol", "ccy", size.alias("all")), "euro-lines")
+    px = prices.join(kept, "symbol").select(F.struct("panel", "key", "all").alias("symbol"), "ccy", "date", "price")
+    euro = currency.as_of(px, fx).where("eur is not null")
+    # The number of different lines of a panel on a day is the last one's rank.
+    day = Window.partitionBy("symbol.panel", "date")
+    ranked = euro.withColumn("n", F.dense_rank().over(day.orderBy("symbol.key")))
+    common = ranked.withColumn("n", F.max("n").over(day)).where("n = symbol.all")
+    r = weekly_returns(common.select("symbol", "date", F.col("eur").alias("price")))
+    return r.select("symbol.panel", "symbol.key", "week", after_fee(F.col("r"), annual_fee).alias("r"))

@@ -161,3 +161,16 @@ def test_equal_menus_are_measured_once(spark, monkeypatch):
     monkeypatch.setattr(contracts, "FEW_SYMBOLS", 0)
     assert few == run() and series == [2, 2]
     assert all(r[1] and r[3:] == few[int(r[0][1:]) % 2][3:] for r in few)
+
+
+def test_euro_panel_reads_prices_once(spark, top):
+    from ebbtide.operators import loader
+
+    px = [(s, day(i), float(1 + i + k)) for k, s in enumerate("abc") for i in range(30) if (i + k) % 5]
+    spark.createDataFrame(px, "symbol string, date date, price double").write.parquet(f"{top}/px")
+    lines = spark.createDataFrame([(1, "A", "a", "EUR"), (1, "B", "b", "EUR"), (2, "A", "a", "EUR"), (3, "C", "c", "XXX"), (None, "A", "a", "EUR")], "panel long, key string, symbol string, ccy string")
+    fx = spark.createDataFrame([("USD", day(0), 2.0)], "ccy string, date date, rate double")
+    out = loader.euro_panel(lines, spark.read.parquet(f"{top}/px"), fx)
+    assert out._jdf.queryExecution().executedPlan().toString().count(f"{top}/px") == 1
+    rows = {(r.panel, r.key) for r in out.collect()}
+    assert rows == {(1, "A"), (1, "B"), (2, "A")}
