@@ -12,8 +12,9 @@ once, and the mean of all units' weights begins the next round. So the result do
 the input is split, and every window of every training text trains exactly once. Scoring then takes
 all windows in masked batches; each id is scored in one window.
 
-Word base scores use exact counts of all training tokens: words common enough that there can be at
-most `head` of them are broadcast, all others are joined by shuffle on a 64-bit hash, where none is frequent.
+Each word's count and the memory's chances of its ids are computed once, by joins over exact counts of
+all contexts. Texts become numbers of words once, for training and scoring: the most frequent words, at
+most `head`, are broadcast; what is known of all others comes to each text by a join on the word.
 
 Null or empty texts are one end token; very long texts are cut into windows like others; null doc_ids
 train; repeated rows repeat and get equal scores; without training rows the network is at its start
@@ -24,20 +25,19 @@ from __future__ import annotations
 
 import math
 import os
-import uuid
 import zlib
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention_net as net
-from .common import load, parts, written
-from .subword_memory import END, IDS, INSIDE, OPENERS, SYMBOLS, Memory, entries
+from .common import drop, load, parts, tidy, written
+from .subword_memory import END, IDS, INSIDE, OPENERS, SYMBOLS, Memory, ids_of, single_counts, step_values, steps
 from .tokenids import encoder, tokenizer_path
 
 BATCH = 128
@@ -62,126 +62,217 @@ def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, h) over training texts."""
+    """(word, n, m): every word of all texts with its number in training texts and in all."""
 
     def run(batches):
-        c: Counter = Counter()
+        seen: tuple[Counter, Counter] = Counter(), Counter()
 
         def out():
-            r = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-            c.clear()
-            return r
+            held, train = seen
+            words = list(train.keys() | held.keys())
+            n = np.fromiter(map(train.__getitem__, words), np.int64, len(words))
+            m = n + np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+            train.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(m)], ["word", "n", "m"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words_of(t))
-                if len(c) > 400_000:
+            for t, trains in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[trains].update(words_of(t))
+                if len(seen[0]) + len(seen[1]) > 400_000:
                     yield out()
         yield out()
 
-    counted = texts.where(TRAINS).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.withColumn("h", F.xxhash64("word"))
-
+    counted = texts.select("text", F.expr(TRAINS).alias("trains")).mapInArrow(tidy(run), "word binary, n long, m long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-def learn_memory(words: DataFrame, path: str, total: int, ends: int, keep: int = 1 << 20) -> Memory:
-    """The counts of contexts over a `keep`-th of all words, at most a few times `keep` of them, and of all single ids."""
 
-    def run(batches):
-        held: list[tuple] = []
+def learn_memory(counts: DataFrame, path: str, ends: int) -> tuple[DataFrame, Memory]:
+    """((word, m, v) of all words, v as in packed(); memory of single ids alone), from exact counts of every context."""
 
-        def out():
-            k, n = (np.concatenate(x) for x in zip(*held))
-            uniq, at = np.unique(k, return_inverse=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(np.bincount(at, n, len(uniq)).astype(np.int64))], ["key", "n"])
+    def place(batches):
+        for big in batches:
+            for i in range(0, big.num_rows, 4096):
+                b = big.slice(i, 4096)
+                size, ids = encoded(path, b.column(0).to_pylist())
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(steps(size, ids)))
+                yield pa.RecordBatch.from_arrays([*b.columns, keys], ["word", "n", "m", "keys"])
+
+    placed = written(counts.mapInArrow(tidy(place), "word binary, n long, m long, keys array<long>"), "lm-placed", compression="zstd")
+    step = written(placed.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), "lm-steps", compression="zstd")
+    alone = single_counts(step)
+    keys = np.concatenate([(c + 2) * SYMBOLS + np.flatnonzero(n) for c, n in zip((OPENERS, INSIDE), alone)])
+    memory = Memory(keys, np.concatenate([n[n > 0] for n in alone]), ends)
+    values = written(step_values(step, memory.inside), "lm-values", compression="zstd")
+    drop(step)
+    place_of = placed.select("word", "n", "m", F.posexplode("keys").alias("pos", "key"))
+    each = place_of.join(values, "key").groupBy("word").agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("pos", "key", "go", "go_out", "log_step"))).alias("x")
+    )
 
+    def pack(batches):
         for b in batches:
-            if b.num_rows:
-                size, ids = encoded(path, b.column(0).to_pylist())
-                held.append(entries(size, ids, b.column(1).to_numpy()))
-                if sum(len(k) for k, _ in held) > 2_000_000:
-                    yield out()
-        if held:
-            yield out()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(packed(b.column(1).to_numpy(), *(lists(b.column(i)) for i in range(3, 7))), pa.binary())], ["word", "m", "v"]
+            )
 
-    counts = words.select("word", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    singles = (F.col("key") / SYMBOLS).cast("long") < 2 + max(OPENERS, INSIDE) + 1
-    got = counts.where(singles | (F.col("n") > max(1, total // keep))).toPandas()
-    return Memory(got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64), ends)
+    flat = each.select("word", "n", "m", *(F.col(f"x.{c}").alias(c) for c in ("key", "go", "go_out", "log_step")))
+    words = written(flat.mapInArrow(tidy(pack), "word binary, m long, v binary"), "lm-words", compression="zstd")
+    drop(placed)
+    drop(values)
+    return words, memory
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, number in each list); null lists are empty."""
+    return column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def packed(n: np.ndarray, keys, go, go_out, log_step) -> list[bytes]:
+    """Each word as bytes: count and log10 chance to go on and end (8 bytes each), chances of its ids after the first
+    (4 each), the same with one occurrence left out, ids (2 each)."""
+    key, size = keys
+    cut = np.append(0, np.cumsum(size)).tolist()
+    chain = np.add.reduceat(log_step[0], cut[:-1]) if len(n) else np.zeros(0)
+    head, ids = np.stack([n.astype(np.int64), chain.astype(np.float64).view(np.int64)], 1), ids_of(key).astype(np.uint16)
+    a, b = (x[0].astype(np.float32) for x in (go, go_out))
+    return [h.tobytes() + a[s : e - 1].tobytes() + b[s : e - 1].tobytes() + ids[s:e].tobytes() for h, s, e in zip(head, cut[:-1], cut[1:])]
+
+
+class Table:
+    """Words from their bytes, by number: size, indices, the memory's chances, log10 chance to go on and end, count."""
+
+    def __init__(self, v: pa.BinaryArray, memory: Memory, out: int):
+        self.memory = memory
+        cut = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64)
+        self.size = (np.diff(cut) - 8) // 10
+        at, buf = cut[:-1] - cut[0], np.frombuffer(v.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]]
+        take = lambda start, n, kind: buf[(np.repeat(start, n * kind.itemsize) + span(n * kind.itemsize))].view(kind)
+        one = np.ones(len(v), np.int64)
+        self.count, self.chain = take(at, one, np.dtype("<i8")), take(at + 8, one, np.dtype("<f8"))
+        go = take(at + 16 + out * 4 * (self.size - 1), self.size - 1, np.dtype("<f4"))
+        ids = take(at + 16 + 8 * (self.size - 1), self.size, np.dtype("<u2")).astype(np.int32)
+        self.first = np.cumsum(self.size) - self.size
+        self.index, self.known = ids.copy(), np.empty(len(ids), np.float32)
+        self.index[self.first] += IDS
+        opens = np.zeros(len(ids), bool)
+        opens[self.first] = True
+        self.known[opens], self.known[~opens] = np.maximum(memory.open[ids[opens]], 1e-12), go
+
+    def joined(self, more: "Table") -> "Table":
+        """This table with more words after it."""
+        out = object.__new__(Table)
+        out.memory, out.first = self.memory, np.concatenate([self.first, len(self.index) + more.first])
+        for x in ("size", "index", "known", "chain", "count"):
+            setattr(out, x, np.concatenate([getattr(self, x), getattr(more, x)]))
+        return out
 
+    def ids(self, number: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return ids_and_chances(self, number, n)
 
-MEMO: dict[str, "Words"] = {}
 
+def span(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, joined."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
-def memo(name: str, *given) -> "Words":
-    """The words that this worker has met under a name; one name at a time."""
-    if name not in MEMO:
-        MEMO.clear()
-        MEMO[name] = Words(*given)
-    return MEMO[name]
 
+def coded(texts: DataFrame, words: DataFrame, head: int) -> tuple[DataFrame, pa.BinaryArray]:
+    """((key, doc_id, th, held_out, numbers, at, v) of all rows, bytes of the most frequent words, `head` at most).
 
-class Words(dict):
-    """Bounded memo of words: number of each word, and by number its ids, the memory's chances, base count and hash."""
+    A number from 0 is one of the frequent words, which are shipped; -1 - i is the text's word number i of all others,
+    whose bytes come by a join: v[j] is that of number at[j].
+    """
+    often = words.groupBy("m").count().toPandas().sort_values("m", ascending=False)  # under sqrt(2 * words) rows
+    fits = often["m"][often["count"].cumsum() <= head]
+    least = int(fits.iloc[-1]) if len(fits) else 1 << 62
+    top = words.where(F.col("m") >= least).select("word", "v").toArrow()  # at most `head` words
+    frequent = texts.sparkSession.sparkContext.broadcast(whole(top["word"]))
+
+    def run(batches):
+        find = {w: i for i, w in enumerate(frequent.value.to_pylist())}.get
+        for big in batches:
+            for i in range(0, big.num_rows, BATCH):
+                b = big.slice(i, BATCH)
+                flat, n, rest, k = [], [], [], []
+                for t in b.column(3).to_pylist():
+                    ws, own = words_of(t), {}
+                    found = list(map(find, ws))
+                    if None in found:
+                        for j, f in enumerate(found):
+                            if f is None:
+                                found[j] = -1 - own.setdefault(ws[j], len(own))
+                    flat += found
+                    n.append(len(found))
+                    rest += own
+                    k.append(len(own))
+                cuts = [pa.array(np.append(0, np.cumsum(x)).astype(np.int32)) for x in (n, k)]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:3], pa.array([held_out(d) for d in b.column(1).to_pylist()], pa.bool_()), pa.ListArray.from_arrays(cuts[0], pa.array(flat, pa.int32())),
+                     pa.ListArray.from_arrays(cuts[1], pa.array(rest, pa.binary()))],
+                    ["key", "doc_id", "th", "held_out", "numbers", "rest"],
+                )
+
+    narrow = texts.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    docs = written(narrow.mapInArrow(tidy(run), "key long, doc_id long, th long, held_out boolean, numbers array<int>, rest array<binary>"), "lm-docs", compression="zstd")
+    asked = docs.select("key", F.posexplode("rest").alias("r", "word"))
+    found = written(asked.join(words.where(F.col("m") < least).select("word", "v"), "word").select("key", "r", "v"), "lm-found", compression="zstd")
+    drop(words)
+    given = found.groupBy("key").agg(F.collect_list(F.struct("r", "v")).alias("x")).select("key", F.col("x.r").alias("at"), F.col("x.v").alias("v"))
+    full = written(docs.drop("rest").join(given, "key", "left"), "lm-coded", compression="zstd")
+    drop(docs)
+    drop(found)
+    return full, whole(top["v"])
+
+
+def whole(column: pa.ChunkedArray) -> pa.BinaryArray:
+    return pa.concat_arrays([pa.array([], pa.binary()), *column.chunks])
+
+
+def numbered(b: pa.RecordBatch, table: Table, out: int) -> tuple[Table, np.ndarray, np.ndarray]:
+    """(frequent words and those of a batch that begins with (numbers, at, v), number of every word, words per text)."""
+    (number, n), (at, k) = lists(b.column(0)), lists(b.column(1))
+    size, start = len(table.size), np.cumsum(k) - k
+    slot = np.empty(len(at), np.int64)
+    slot[np.repeat(start, k) + at] = np.arange(len(at))
+    number, own = number.astype(np.int64), number < 0
+    number[own] = size + slot[(np.repeat(start, n) - 1 - number)[own]]
+    return table.joined(Table(b.column(2).flatten(), table.memory, out)) if len(at) else table, number, n
 
-    LIMIT, KEPT = 1_000_000, 200_000
 
-    def __init__(self, path: str, memory: Memory, out: int, common: dict[bytes, int] | None = None):
-        self.path, self.memory, self.out, self.common = path, memory, out, common or {}
-        self.size, self.first = np.empty(0, np.int32), np.empty(0, np.int32)
-        self.index, self.known = np.empty(0, np.int32), np.empty(0, np.float32)
-        self.chain, self.count, self.hash = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+class Words(dict):
+    """Words of texts numbered as they are met, from a memory in one process: the small version of Table."""
+
+    def __init__(self, path: str, memory: Memory, out: int):
+        self.path, self.memory, self.out = path, memory, out
+        self.size, self.first, self.index, self.known = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
 
     def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of every word, words per text)."""
-        if len(self) > self.LIMIT:
-            # The words met first are the frequent ones.
-            kept = {w: i for w, i in self.items() if i < self.KEPT}
-            self.clear()
-            self.update(kept)
-            self.size, self.first, self.chain, self.count, self.hash = (
-                x[: self.KEPT] for x in (self.size, self.first, self.chain, self.count, self.hash)
-            )
-            ids = int(self.first[-1] + self.size[-1])
-            self.index, self.known = self.index[:ids], self.known[:ids]
-        flat, n = [], []
-        for t in texts:
-            ws = words_of(t)
-            n.append(len(ws))
-            flat += ws
-        found = list(map(self.get, flat))
-        if None in found:
-            new = [i for i, f in enumerate(found) if f is None]
-            self._learn(list({flat[i] for i in new}))
-            for i in new:
-                found[i] = self[flat[i]]
-        return np.array(found, np.int32), np.array(n, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        size, ids = encoded(self.path, words)
-        known, chain = self.memory.chances(size, ids, self.out)
+        each = [words_of(t) for t in texts]
+        new = list({w for ws in each for w in ws} - self.keys())
+        size, ids = encoded(self.path, new)
         first = np.cumsum(size) - size
-        index = ids.copy()
+        index = ids.astype(np.int32)
         index[first] += IDS
-        self.first = np.append(self.first, (len(self.index) + first).astype(np.int32))
-        self.size = np.append(self.size, size.astype(np.int32))
-        self.index = np.append(self.index, index.astype(np.int32))
-        self.known = np.append(self.known, known)
-        self.chain = np.append(self.chain, chain)
-        self.count = np.append(self.count, np.array([self.common.get(w, -1) for w in words], np.int64))
-        self.hash = np.append(self.hash, np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64))
-        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.first, self.size = np.append(self.first, len(self.index) + first), np.append(self.size, size)
+        self.index, self.known = np.append(self.index, index), np.append(self.known, self.memory.chances(size, ids, self.out)[0])
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        return np.array([self[w] for ws in each for w in ws], np.int64), np.array(list(map(len, each)), np.int64)
 
     def ids(self, number: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(indices, memory's chances) of each text, with the end."""
-        size = self.size[number]
-        at = np.cumsum(size, dtype=np.int64)
-        place = np.repeat((self.first[number] - (at - size)).astype(np.int32), size) + np.arange(at[-1] if len(at) else 0, dtype=np.int32)
-        index, known = self.index[place], self.known[place]
-        cut = np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(n)])]
-        last, share = np.array([END + IDS], np.int32), np.array([self.memory.open[END]], np.float32)
-        both = [(np.append(index[a:b], last), np.append(known[a:b], share)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return [x for x, _ in both], [y for _, y in both]
+        return ids_and_chances(self, number, n)
+
+
+def ids_and_chances(table, number: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(indices, memory's chances) of each text, with the end, of a table of words."""
+    size = table.size[number]
+    at = np.cumsum(size, dtype=np.int64)
+    place = np.repeat(table.first[number] - (at - size), size) + np.arange(at[-1] if len(at) else 0)
+    index, known = table.index[place], table.known[place]
+    cut = np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(n)])]
+    last, share = np.array([END + IDS], np.int32), np.array([table.memory.open[END]], np.float32)
+    both = [(np.append(index[a:b], last), np.append(known[a:b], share)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return [x for x, _ in both], [y for _, y in both]
 
 
 def start(memory: Memory):
@@ -189,21 +280,21 @@ def start(memory: Memory):
     return net.start(share / share.sum())
 
 
-def train(texts: DataFrame, path: str, memory: Memory, n_words: int, unit_words: int = 100_000, rounds: int = 4):
+def train(docs: DataFrame, frequent: pa.BinaryArray, memory: Memory, n_words: int, unit_words: int = 100_000, rounds: int = 4):
     """(S, parameters) after all rounds."""
     s, w = start(memory)
     units = max(rounds, 1, -(-n_words // unit_words))
-    seed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = texts.where(TRAINS).select("doc_id", "text", F.pmod(seed, F.lit(units)).alias("unit"))
-    spark, steps, name = texts.sparkSession, 0, uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(memory)
+    seed = F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.xxhash64("doc_id"))
+    dealt = docs.where("not held_out").select("doc_id", "th", "numbers", "at", "v", F.pmod(seed, F.lit(units)).alias("unit"))
+    spark, steps = docs.sparkSession, 0
+    shared = spark.sparkContext.broadcast((frequent, memory))
     for r in range(rounds):
         ship = spark.sparkContext.broadcast((s, w))
         at = steps
 
         def run(batches):
             os.environ.setdefault("OMP_NUM_THREADS", "1")
-            words = memo(name, path, shared.value, 1)
+            words = Table(*shared.value, 1)
             s0, w0 = ship.value
             total, rest, done, small, places = np.zeros(s0.shape), 0.0, 0, {k: np.zeros(v.shape) for k, v in w0.items()}, 0
             ids, known, unit = [], [], None
@@ -222,8 +313,8 @@ def train(texts: DataFrame, path: str, memory: Memory, n_words: int, unit_words:
             for big in batches:
                 for i in range(0, big.num_rows, BATCH):
                     b = big.slice(i, BATCH)
-                    number, n = words.many(b.column(0).to_pylist())
-                    for u, x, y in zip(b.column(1).to_pylist(), *words.ids(number, n)):
+                    table, number, n = numbered(b, words, 1)
+                    for u, x, y in zip(b.column(3).to_pylist(), *table.ids(number, n)):
                         if u != unit and ids:
                             close()
                         unit = u
@@ -243,7 +334,7 @@ def train(texts: DataFrame, path: str, memory: Memory, n_words: int, unit_words:
 
         mine = dealt.where(F.col("unit") % rounds == r)
         k = max(1, min(parts(spark), -(-units // rounds)))
-        sorted_units = mine.repartition(k, "unit").sortWithinPartitions("unit", "doc_id", "text").select("text", "unit")
+        sorted_units = mine.repartition(k, "unit").sortWithinPartitions("unit", "doc_id", "th").select("numbers", "at", "v", "unit")
         sums = sorted_units.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in COLUMNS))
         got = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in COLUMNS]).toPandas()  # one row an index at most
         if not len(got):
@@ -263,62 +354,41 @@ def train(texts: DataFrame, path: str, memory: Memory, n_words: int, unit_words:
     return s, w
 
 
-def score(docs: DataFrame, path: str, head: int = 1 << 17, **training) -> DataFrame:
+def score(docs: DataFrame, path: str, head: int = 1 << 18, **training) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = written(word_counts(texts), "lm-words")
+    counts = written(word_counts(texts), "lm-counts", compression="zstd")
     ends = texts.where(TRAINS).count()
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     total, kinds = n_words + ends, distinct + (ends > 0)
     base = math.log10(total + 0.5 * (kinds + 1))
-    top = counts.where(F.col("n") > max(1, total // head)).select("word", "n").toPandas()  # at most `head` words
-    common = spark.sparkContext.broadcast({bytes(k): int(n) for k, n in zip(top["word"], top["n"])})
-    memory = learn_memory(counts, path, max(n_words, 1), ends)
-    s, w = train(texts, path, memory, n_words, **training)
-    model, name = spark.sparkContext.broadcast((memory, s, w)), uuid.uuid4().hex
+    words, memory = learn_memory(counts, path, ends)
+    drop(counts)
+    docs, frequent = coded(texts, words, head)
+    s, w = train(docs, frequent, memory, n_words, **training)
+    model = spark.sparkContext.broadcast((frequent, memory, s, w))
 
     def run(batches):
         os.environ.setdefault("OMP_NUM_THREADS", "1")
-        memory, s, w = model.value
-        known_words, scorer = memo(name, path, memory, 0, common.value), net.Scorer(s, w)
+        frequent, memory, s, w = model.value
+        words, scorer = Table(frequent, memory, 0), net.Scorer(s, w)
         for big in batches:
             for i in range(0, big.num_rows, BATCH):
                 b = big.slice(i, BATCH)
-                number, n = known_words.many(b.column(2).to_pylist())
-                ids, known = known_words.ids(number, n)
-                own = text_scores(scorer, ids, known)
-                text = np.repeat(np.arange(len(n)), n)
-                sc = np.bincount(text, known_words.chain[number], len(n)) + own
-                c = known_words.count[number]
-                seen = c >= 0
-                part = np.bincount(text[seen], np.log10(c[seen] + 0.5) - base, len(n)) + math.log10(ends + 0.5) - base
-                k = np.bincount(text[seen], c[seen] > 0, len(n)).astype(np.int64) + (ends > 0)
-                rare = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[~seen], minlength=len(n)))]).astype(np.int32)), pa.array(known_words.hash[number][~seen])
-                )
-                held = pa.array([held_out(d) for d in b.column(1).to_pylist()])
+                table, number, n = numbered(b, words, 0)
+                own = text_scores(scorer, *table.ids(number, n))
+                text, c = np.repeat(np.arange(len(n)), n), table.count[number]
+                sc = np.bincount(text, table.chain[number], len(n)) + own
+                part = np.bincount(text, np.log10(c + 0.5) - base, len(n)) + math.log10(ends + 0.5) - base
+                k = np.bincount(text, c > 0, len(n)).astype(np.int64) + (ends > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), held, pa.array(n + 1), pa.array(k), pa.array(part), pa.array(sc), rare],
-                    ["key", "doc_id", "held_out", "n_tokens", "known", "part", "score", "rare"],
+                    [b.column(3), b.column(4), pa.array(n + 1), pa.array(k), pa.array(np.full(len(n), total)), pa.array(part), pa.array(sc)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    scored = written(
-        texts.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(
-            run, "key long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, rare array<long>"
-        ),
-        "lm-scored",
-    )
-    rare = scored.select("key", F.explode("rare").alias("h"))
-    found = rare.join(counts.select("h", "n"), "h", "left").groupBy("key").agg(
-        F.count("n").alias("known2"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(base)).alias("part2")
-    )
-    return scored.join(found, "key", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("part2", F.lit(0.0))).alias("base_score"),
-        "score",
+    return docs.select("numbers", "at", "v", "doc_id", "held_out").mapInArrow(
+        tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

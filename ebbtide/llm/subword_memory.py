@@ -3,14 +3,19 @@
 A word is the ids of its encoding after a space. An index tells an id that opens a word (id + IDS) from
 one inside it. After each id a word ends or goes on: both chances, and the chance of each next id, come
 from counts after the last two indices within the word, which fall back to the last one and that to
-all, with absolute discounting, so that every context's chances sum to one. Of the counts of contexts
-those over a fixed fraction of all are kept, so their number is bounded; the others count as fallen
-back. With `out` = 1 a word's own occurrence is left out of all counts, as training needs.
+all, with absolute discounting, so that every context's chances sum to one. All counts are kept.
+With `out` = 1 a word's own occurrence is left out of all counts, as training needs.
+
+`step_values` gives the chances of every step of any word by joins and sums over all counts, so none is
+dropped and no table of contexts is shipped; what is bounded by the vocabulary of ids is broadcast.
+`Memory` is the same for counts that fit one process.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 IDS, END = 50257, 50256
 ANY, ENDS, SYMBOLS = IDS, IDS + 1, IDS + 2
@@ -31,6 +36,65 @@ def long_context(before: np.ndarray, index: np.ndarray) -> np.ndarray:
     return (before + 1) * 2 * IDS + index
 
 
+def steps(size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Key of each id's place in its word: the index before, its index, and the id or end that follows."""
+    word, index, before = word_pairs(np.cumsum(size) - size, size, ids)
+    last = np.append(word[1:] != word[:-1], True)[: len(ids)]
+    return long_context(before, index) * SYMBOLS + np.where(last, ENDS, np.append(ids[1:], 0)[: len(ids)])
+
+
+def ids_of(keys: np.ndarray) -> np.ndarray:
+    """The ids whose places have these keys."""
+    return keys // SYMBOLS % (2 * IDS) % IDS
+
+
+def single_counts(step: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all ids as openers and inside words, from (key, n) of all steps: at most two rows an id."""
+    context = F.expr(f"key div {SYMBOLS}")
+    inner = (context >= 2 * IDS).alias("inner")
+    got = step.select((context % IDS).cast("int").alias("id"), inner, "n").where("n > 0").groupBy("id", "inner").agg(F.sum("n").alias("n")).toPandas()
+    return tuple(np.bincount(got["id"][got["inner"] == k].to_numpy(np.int64), got["n"][got["inner"] == k].to_numpy(np.float64), IDS) for k in (False, True))
+
+
+def step_values(step: DataFrame, inside: np.ndarray) -> DataFrame:
+    """(key, go, go_out, log_step) of distinct steps (key, n): the chance of the id that follows, also with one
+    occurrence of the step left out, and log10 of the chance to end or to go on; n is 0 for steps not in training.
+    """
+    spark = step.sparkSession
+    all_ = Window.partitionBy("context")
+    sums = lambda n, c, w: (
+        F.sum(n).over(w).alias(f"n{c}"), F.sum(F.when(F.col("follow") == ENDS, F.col(n)).otherwise(0)).over(w).alias(f"stop{c}"),
+        F.count(F.when((F.col(n) > 0) & (F.col("follow") < IDS), 1)).over(w).alias(f"kinds{c}"),
+    )
+    rows = step.select("key", F.col("n").alias("c2"), F.expr(f"key div {SYMBOLS}").alias("context"), (F.col("key") % SYMBOLS).alias("follow"))
+    rows = rows.select("key", "c2", "follow", (F.col("context") % (2 * IDS)).alias("index"), (F.col("context") >= 2 * IDS).alias("deep"), *sums("c2", 2, all_))
+    short = rows.groupBy("index", "follow").agg(F.sum("c2").alias("c1"))
+    short = short.select("index", "follow", "c1", *sums("c1", 1, Window.partitionBy("index")))
+    share = spark.createDataFrame([(i, float(x)) for i, x in enumerate(inside)], "follow long, share double")
+    joined = rows.join(short, ["index", "follow"]).join(F.broadcast(share), "follow", "left")
+    last, zero = F.col("follow") == ENDS, F.lit(0)
+
+    def after(level: int, end, go, out: int):
+        n, stop, kinds, c = (F.col(f"{x}{level}") for x in ("n", "stop", "kinds", "c"))
+        some = (F.lit(True) if level == 1 else F.col("deep")) & (n > out)
+        n, stop = F.greatest(n - out, zero), F.greatest(stop - F.when(last, out).otherwise(0), zero)
+        going = F.greatest(n - stop, zero)
+        own = F.when(c > out, c - out - DISCOUNT).otherwise(0.0)
+        lost = DISCOUNT * (kinds - F.when((c > 0) & (c <= out), 1).otherwise(0))
+        return (
+            F.when(some, (stop + 2 * end) / (n + 2)).otherwise(end),
+            F.when(some & (going > 0), (own + lost * go) / F.greatest(going, F.lit(1))).otherwise(go),
+        )
+
+    for level in (1, 2):
+        before = (F.lit(0.4), F.col("share"), F.lit(0.4), F.col("share")) if level == 1 else tuple(F.col(x) for x in ("end", "go", "end_out", "go_out"))
+        end, go = after(level, *before[:2], 0)
+        end_out, go_out = after(level, *before[2:], 1)
+        joined = joined.withColumns({"end": end, "go": go, "end_out": end_out, "go_out": go_out})
+    least = lambda x: F.greatest(F.col(x), F.lit(1e-12)).cast("float").alias(x)
+    return joined.select("key", least("go"), least("go_out"), F.log10(F.when(last, F.col("end")).otherwise(1 - F.col("end"))).alias("log_step"))
+
+
 def entries(size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, count) of all contexts with what follows; a key is context * SYMBOLS + symbol, shifted by two contexts."""
     first = np.cumsum(size) - size
@@ -54,7 +118,7 @@ def entries(size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 class Memory:
-    """The kept counts; a few MB, built on the driver and shipped."""
+    """Counts that fit one process."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int):
         """`ends` texts end, each by the opener END."""

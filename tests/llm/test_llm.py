@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
@@ -386,6 +387,42 @@ def test_word_memory_is_a_distribution():
     assert frequent[0] > 0.1 and 10 ** chain[0] > 0.3
 
 
+def test_memory_by_joins_keeps_every_count(spark):
+    """Chances of all words, among them words seen once and never, equal those from all counts in one process."""
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abcdeinorst", k=rng.randint(1, 12))).encode(): rng.choice([1, 1, 1, 2, 5, 900]) for _ in range(300)}
+    unseen = [b"theoretical", b"abacist", b"ontsetrin", b"zq"]
+    counts = spark.createDataFrame([(bytearray(w), n, n) for w, n in words.items()] + [(bytearray(w), 0, 3) for w in unseen], "word binary, n long, m long")
+    got, memory = attention_lm.learn_memory(counts, BYTE, 20)
+    rows = got.collect()
+    assert {bytes(r.word) for r in rows} == words.keys() | set(unseen)
+    size, ids = attention_lm.encoded(BYTE, list(words))
+    keys, n = subword_memory.entries(size, ids, np.array(list(words.values())))
+    whole = subword_memory.Memory(keys, n, 20)
+    assert (n == 1).sum() > 300 and memory.open == pytest.approx(whole.open) and memory.inside == pytest.approx(whole.inside)
+    for out in (0, 1):
+        mine = [r for r in rows if out == 0 or bytes(r.word) in words]
+        table = attention_lm.Table(pa.array([bytes(r.v) for r in mine], pa.binary()), memory, out)
+        size, ids = attention_lm.encoded(BYTE, [bytes(r.word) for r in mine])
+        known, chain = whole.chances(size, ids, out)
+        assert table.size.tolist() == size.tolist() and (table.index % subword_memory.IDS).tolist() == ids.tolist()
+        assert table.known == pytest.approx(known, rel=1e-5)
+        assert table.count.tolist() == [words.get(bytes(r.word), 0) for r in mine]
+        assert out or table.chain == pytest.approx(chain)
+
+
+@pytest.mark.parametrize("head", [0, 3])
+def test_scores_do_not_depend_on_what_is_shipped(spark, head):
+    rng = random.Random(2)
+    ws = ["".join(rng.choices("aeinort", k=rng.randint(1, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choices(ws, weights=range(1, 61), k=rng.randint(0, 40))) for _ in range(60)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r for r in attention_lm.score(df, BYTE, unit_words=400).collect()}
+    for r in attention_lm.score(df, BYTE, head=head, unit_words=400).collect():
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (w.n_tokens, w.n_known) and r.base_score == pytest.approx(w.base_score) and r.score == pytest.approx(w.score, rel=1e-5)
+
+
 def trained_net():
     memory, ws = word_memory()
     rng = random.Random(1)
