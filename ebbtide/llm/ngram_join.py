@@ -4,7 +4,8 @@ Equal shingle sets are one class. Hashed counts of all shingles give every shing
 global order, rare ones first; any order is right, rarity only saves work. Classes join on the
 shingles of their prefixes. Two sets that overlap by `o` have their first common shingle at a place of
 at most n - o in each, which bounds length and position; each pair that passes is checked once by a
-suffix filter and the exact intersection.
+suffix filter and the exact intersection. In the second round all that the prefixes share bounds a
+pair first, so texts move for few pairs but links.
 
 To avoid all pairs within a large group, the first round pairs each class only with the hub of each of
 its prefix shingles, the class that shares the most prefix shingles; the second pairs all classes that
@@ -371,11 +372,37 @@ def centred(pre: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def open_pairs(member: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link, by all shingles their prefixes share.
+
+    The set whose prefix ends first has no other shingle of that prefix in common with the other, so their
+    overlap is at most what the prefixes share and what follows that prefix.
+    """
+    # Prefixes are in the order of unsigned numbers.
+    ends = rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("id"), F.first("last", ignorenulls=True).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
+    x, y = member.alias("x"), member.alias("y")
+    n1, n2 = F.col("n1"), F.col("n2")
+    met = (
+        x.join(y, F.col("x.token") == F.col("y.token"))
+        .where((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
+        .where(5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"))
+        .agg(F.count("*").alias("both"), F.max(bounds("x", "y")).alias("near"))
+        .where("near")
+        # Enough for one of the two prefixes, whichever ends first.
+        .where(F.col("both") + F.expr("(4 * greatest(n1, n2) + 4) div 5 - 1") >= overlap(n1, n2))
+        .join(ends.select(F.col("id").alias("a"), F.col("last").alias("l1")), "a")
+        .join(ends.select(F.col("id").alias("b"), F.col("last").alias("l2")), "b")
+    )
+    most = lambda n: F.col("both") + F.expr(f"(4 * {n} + 4) div 5 - 1")
+    return met.where(((F.col("l1") > F.col("l2")) | (most("n1") >= overlap(n1, n2))) & ((F.col("l2") > F.col("l1")) | (most("n2") >= overlap(n1, n2)))).select("a", "b")
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(rows with class, id to component of linked classes, tables of the texts of all classes met in pairs)."""
     signed = written(signatures(docs, frequency_table(docs)), "join-sets", compression="zstd")
     pre = written(shared_prefixes(signed), "join-shared", compression="zstd")
-    rows = written(signed.drop("pre"), "join-rows", compression="zstd")
+    rows = written(signed.withColumn("last", F.try_element_at("pre", F.lit(-1))).drop("pre"), "join-rows", compression="zstd")
     drop(signed)
     hub = written(centred(pre), "join-hub")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -384,15 +411,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     comp = components(links)
     member = written(open_tokens(pre, comp), "join-open", compression="zstd")
     drop(pre)
-    x, y = member.alias("x"), member.alias("y")
-    rest = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-        .where(bounds("x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(hub, ["a", "b"], "left_anti")
-    )
+    rest = open_pairs(member, rows).join(hub, ["a", "b"], "left_anti")
     rest = written(rest, "join-rest")
     drop(member)
     if not rest.isEmpty():

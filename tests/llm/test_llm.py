@@ -243,6 +243,16 @@ def test_join(docs):
     assert ngram_join.near_groups(docs.limit(0)).count() == 0
 
 
+def test_second_round_moves_no_hopeless_pairs(spark):
+    """Sets of 100 that share one shingle of their prefixes of 21 cannot link; those that share 15 may."""
+    member = [(5, 1, 100, 0, 1), (5, 2, 100, 0, 2)] + [(9 + t, k, 100, t, k) for k in (3, 4) for t in range(15)]
+    got = ngram_join.open_pairs(
+        spark.createDataFrame(member, "token long, id long, n int, pos int, comp long"),
+        spark.createDataFrame([(bytearray([k]), k, 90 + k) for k in (1, 2, 3, 4)], "cls binary, rid long, last long"),
+    )
+    assert [tuple(r) for r in got.collect()] == [(3, 4)]
+
+
 @pytest.mark.parametrize("blocks", [{}, dict(shingles_a_block=900, classes_a_block=4)])
 def test_join_link_counts(spark, blocks):
     rng = random.Random(5)
