@@ -6,6 +6,10 @@ lines are never gathered.
 
 from __future__ import annotations
 
+import json
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,14 +124,11 @@ NAME_KEYS = ("libelle", "libellé", "label", "nom", "name", "classe", "categorie
 WEIGHT_KEYS = ("poids", "weight", "pct", "pourcentage", "percent", "valeur", "value", "part")
 
 
-def json_weights(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, w) of JSON texts (doc_id, json): every object at any depth with a name and a weight that is a number.
+def weights_by_level(rows: DataFrame) -> DataFrame:
+    """(doc_id, path, label, w) of JSON texts (doc_id, json), whatever they hold.
 
-    An object's first key of either kind counts, in its own order and whatever its case; of equal keys the last
-    value. A name that is an object or a list counts by its JSON text. Weights over 1.5 are per cent; others than 0 to 1.001 do not count, nor do texts that hold a number.
-    True is 1, as it is where this comes from. Of a document's equal labels the first in its order counts. A text
-    that is no JSON has none. Levels are taken one by one until none is left, each from the texts of the values
-    within; a map keeps an object's order, and variants beside it the values' types.
+    Levels are taken one by one until none is left, each from the texts of the values within; a map keeps an
+    object's order, and variants beside it the values' types.
     """
     node, found = rows.where("json is not null").select("doc_id", F.array().cast("array<int>").alias("path"), F.col("json").alias("s")), None
     while True:
@@ -157,6 +158,88 @@ def json_weights(rows: DataFrame) -> DataFrame:
         if inner.isEmpty():
             break
         node = inner.select("doc_id", F.concat("path", F.array("at")).alias("path"), F.col("c.text").alias("s"))
+    return found
+
+
+def walker():
+    """(walk through a text, the same over Arrow batches), made here so that tasks carry them to executors without this package."""
+
+    class Number(str):
+        """A number as it is written."""
+
+    def odd(text: str):
+        raise ValueError(text)
+
+    def decoder():
+        """Objects as pairs in their order, numbers as they are written."""
+        return json.JSONDecoder(object_pairs_hook=tuple, parse_int=Number, parse_float=Number, parse_constant=odd).raw_decode
+
+    def walk(text: str, decode=None) -> list[tuple[list[int], str | None, float]]:
+        """(path, name, weight) of all objects with both; ValueError for what is left to weights_by_level: texts that are not
+        plain JSON, keys given twice, and names other than texts and null."""
+        decode = decode or decoder()
+        body = text.lstrip(" ")
+        if body[:1] not in ("{", "["):
+            return []
+        try:
+            root, end = decode(body)
+        except RecursionError:
+            raise ValueError from None
+        if body[end:].strip():
+            raise ValueError
+        out, stack = [], [((), root)]
+        while stack:
+            path, node = stack.pop()
+            values = node
+            if type(node) is tuple:
+                keys, values = [k.lower() for k, _ in node], [v for _, v in node]
+                if len(set(keys)) < len(keys):
+                    raise ValueError
+                name, weight = (next((v for k, v in zip(keys, values) if k in wanted), odd) for wanted in (NAME_KEYS, WEIGHT_KEYS))
+                if name is not odd and type(weight) in (Number, bool):
+                    if name is not None and type(name) is not str or math.isinf(float(weight)):
+                        raise ValueError
+                    (name or "").encode()  # half a pair is no text
+                    out.append((list(path), name, float(weight)))
+            stack += [((*path, i), v) for i, v in enumerate(values) if type(v) in (tuple, list)]
+        return out
+
+    def run(batches):
+        decode = decoder()
+        for b in batches:
+            rows, left = [], []
+            for r, text in enumerate(b.column(1).to_pylist()):
+                try:
+                    rows += [(r, *x) for x in walk(text, decode)]
+                except ValueError:
+                    left.append(r)
+            at = pa.array([x[0] for x in rows] + left, pa.int64())
+            none = [None] * len(left)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), *(pa.array([x[i] for x in rows] + none, kind) for i, kind in ((1, pa.list_(pa.int32())), (2, pa.string()), (3, pa.float64()))),
+                 pa.array([None] * len(rows) + b.column(1).take(pa.array(left, pa.int64())).to_pylist(), pa.string())],
+                ["doc_id", "path", "name", "w", "json"],
+            )
+
+    return walk, run
+
+
+def json_weights(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, w) of JSON texts (doc_id, json): every object at any depth with a name and a weight that is a number.
+
+    An object's first key of either kind counts, in its own order and whatever its case; of equal keys the last
+    value. A name that is an object or a list counts by its JSON text. Weights over 1.5 are per cent; others than 0 to 1.001 do not count, nor do texts that hold a number.
+    True is 1, as it is where this comes from. Of a document's equal labels the first in its order counts. A text
+    that is no JSON has none. One walk through a text
+    finds all of these; texts that the walk leaves open go level by level.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = rows.where("json is not null").select("doc_id", F.col("json").cast("string").alias("json"))
+    each = settled(texts.mapInArrow(walker()[1], f"doc_id {kind}, path array<int>, name string, w double, json string"), "json-walk")
+    label = F.coalesce(F.lower(F.regexp_replace("name", rf"{WORDS}^\s+|\s+$", "")), F.lit("none"))
+    found, rest = each.where("json is null").select("doc_id", "path", label.alias("label"), "w"), each.where("json is not null").select("doc_id", "json")
+    if not rest.isEmpty():
+        found = found.unionByName(weights_by_level(rest))
     scaled = found.withColumn("w", F.when(F.col("w") > 1.5, F.col("w") / 100).otherwise(F.col("w")))
     return scaled.where("w > 0 and w <= 1.001").groupBy("doc_id", "label").agg(F.min_by("w", "path").alias("w"))
 
