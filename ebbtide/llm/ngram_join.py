@@ -4,12 +4,14 @@ Equal shingle sets are one class. Hashed counts of all shingles give every shing
 global order, rare ones first; any order is right, rarity only saves work. Classes join on the
 shingles of their prefixes. Two sets that overlap by `o` have their first common shingle at a place of
 at most n - o in each, which bounds length and position; each pair that passes is checked once by a
-suffix filter and the exact intersection. In the second round all that the prefixes share bounds a
-pair first, so texts move for few pairs but links.
+suffix filter and the exact intersection. A bitmap of each set, toggled by its shingles, bounds the
+shingles that only one of a pair has, and in the second round all that the prefixes share bounds a
+pair, so texts move for few pairs but links.
 
 To avoid all pairs within a large group, the first round pairs each class only with the hub of each of
 its prefix shingles, the class that shares the most prefix shingles; the second pairs all classes that
-share a prefix shingle and are not yet in one component, so no link between components is lost. Links
+share a prefix shingle and are not yet in one component, so no link between components is lost. There a
+shingle that is not a pair's first common one is left out where the shingles just before it tell. Links
 within a component are then counted exactly: a component that fits one block is one unit of work, a
 larger one is dealt by length level and hash into blocks, each pair of near blocks is one unit, and the
 counts per class are summed, not written as pairs. This counting is quadratic in a large component.
@@ -35,6 +37,8 @@ WORDS = 5
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 2048
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
 BATCH = 256
+BITS = 512  # of a set's bitmap
+RECENT = 3  # shingles before one in its prefix
 
 
 def every_shingle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,15 +95,20 @@ def frequency_table(docs: DataFrame, bits: int = 18) -> np.ndarray:
     return np.clip(np.round(16 * np.log2(np.maximum(c, 1) / mean)) + 64, 0, 255).astype(np.uint8)
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """A set's bitmap: each shingle toggles one bit, so two bitmaps differ in no more bits than their sets in shingles."""
+    return np.packbits((np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def text_hash(text):
     return F.xxhash64(text.cast("string"))
 
 
 def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(rid, doc_id, th, n_shingles, cls, pre): set's 128-bit name, and its prefix of n - ceil(0.8 n) + 1 shingles.
+    """(rid, doc_id, th, n_shingles, cls, pre, bits): set's 128-bit name, its prefix of n - ceil(0.8 n) + 1 shingles, its bitmap.
 
-    A class's prefix is given by the first of its copies that a task meets, so that large groups of
-    copies add few prefixes; copies met by other tasks repeat it, which changes no result.
+    A class's prefix and bitmap are given by the first of its copies that a task meets, so that large groups
+    of copies add few; copies met by other tasks repeat them, which changes no result.
     """
     shift, table = np.uint64(64 - int(len(level)).bit_length() + 1), level
 
@@ -111,25 +120,26 @@ def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 h, k = every_shingle(part.column(3))
                 # Shingles as single numbers in the global order: rarity level, then hash.
                 h = (table[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
-                n, keys, pre = [], [], []
+                n, keys, pre, bits = [], [], [], []
                 for x in np.split(h, np.cumsum(k)[:-1]):
                     x = np.unique(x)
                     n.append(len(x))
                     key = xxhash.xxh3_128_digest(x) if len(x) else None
                     fresh = key is not None and key not in met
                     pre.append(x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64) if fresh else None)
+                    bits.append(bitmap(x) if fresh else None)
                     keys.append(key)
                     met.add(key)
                 if len(met) > 200_000:
                     met.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
-                    ["rid", "doc_id", "th", "n_shingles", "cls", "pre"],
+                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (pre, bits))],
+                    ["rid", "doc_id", "th", "n_shingles", "cls", "pre", "bits"],
                 )
 
     text = F.col("text").cast("string")
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("th"), text)
-    return narrow.mapInArrow(tidy(run), "rid long, doc_id long, th long, n_shingles long, cls binary, pre array<long>")
+    return narrow.mapInArrow(tidy(run), "rid long, doc_id long, th long, n_shingles long, cls binary, pre array<long>, bits array<long>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -372,48 +382,80 @@ def centred(pre: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def open_pairs(member: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may link, by all shingles their prefixes share.
+def marks(signed: DataFrame) -> DataFrame:
+    """(id, n, bits) of every class."""
+    own = signed.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("id"), F.first("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    return own.drop("cls")
+
+
+def alike(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps differ in no more bits than linked sets in shingles, a ninth of both sizes."""
+    one, two = (marked.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    return pairs.join(one, "a").join(two, "b").where(9 * differ <= F.col("n_a") + F.col("n_b")).select(*pairs.columns)
+
+
+def meetings(member: DataFrame) -> DataFrame:
+    """(x, y): rows of classes of different components that pass the bounds at a shingle of both prefixes, few for a pair.
+
+    The smaller set, x, has the first common shingle in the first ninth of its shingles. Rows whose last
+    few shingles meet have an earlier one in common, at which the pair is found.
+    """
+    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-RECENT, -1))
+    row = member.withColumn("before", before)
+    x, y = row.where("9 * pos <= n").alias("x"), row.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    return (
+        x.join(y, F.col("x.token") == F.col("y.token"))
+        .where(smaller & (F.col("x.comp") != F.col("y.comp")) & bounds("x", "y"))
+        .where(~F.arrays_overlap("x.before", "y.before"))
+    )
+
+
+def met_pairs(member: DataFrame) -> DataFrame:
+    """(a, b, n1, n2): each pair that meets, with its sizes, a below b."""
+    swap = F.col("x.id") > F.col("y.id")
+    pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
+    return meetings(member).select(pick("x.id", "y.id").alias("a"), pick("y.id", "x.id").alias("b"), pick("x.n", "y.n").alias("n1"), pick("y.n", "x.n").alias("n2")).distinct()
+
+
+def open_pairs(member: DataFrame, rows: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link, by bitmaps and by all shingles their prefixes share.
 
     The set whose prefix ends first has no other shingle of that prefix in common with the other, so their
     overlap is at most what the prefixes share and what follows that prefix.
     """
+    pairs = written(met_pairs(member), "join-met")
+    if marked is not None:
+        pairs = written(alike(pairs, marked), "join-alike")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Prefixes are in the order of unsigned numbers.
     ends = rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("id"), F.first("last", ignorenulls=True).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
-    x, y = member.alias("x"), member.alias("y")
-    n1, n2 = F.col("n1"), F.col("n2")
-    met = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-        .where(5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"))
-        .agg(F.count("*").alias("both"), F.max(bounds("x", "y")).alias("near"))
-        .where("near")
-        # Enough for one of the two prefixes, whichever ends first.
-        .where(F.col("both") + F.expr("(4 * greatest(n1, n2) + 4) div 5 - 1") >= overlap(n1, n2))
-        .join(ends.select(F.col("id").alias("a"), F.col("last").alias("l1")), "a")
-        .join(ends.select(F.col("id").alias("b"), F.col("last").alias("l2")), "b")
-    )
-    most = lambda n: F.col("both") + F.expr(f"(4 * {n} + 4) div 5 - 1")
-    return met.where(((F.col("l1") > F.col("l2")) | (most("n1") >= overlap(n1, n2))) & ((F.col("l2") > F.col("l1")) | (most("n2") >= overlap(n1, n2)))).select("a", "b")
+    prefix = member.join(wanted, "id", "left_semi").groupBy("id").agg(F.collect_list("token").alias("tokens")).join(ends.drop("cls"), "id")
+    one, two = (prefix.toDF(k, f"tokens_{k}", f"l{i}") for i, k in ((1, "a"), (2, "b")))
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    enough = lambda n: F.col("both") + F.expr(f"(4 * {n} + 4) div 5 - 1") >= overlap(F.col("n1"), F.col("n2"))
+    return met.where(((F.col("l1") > F.col("l2")) | enough("n1")) & ((F.col("l2") > F.col("l1")) | enough("n2"))).select("a", "b")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(rows with class, id to component of linked classes, tables of the texts of all classes met in pairs)."""
     signed = written(signatures(docs, frequency_table(docs)), "join-sets", compression="zstd")
     pre = written(shared_prefixes(signed), "join-shared", compression="zstd")
-    rows = written(signed.withColumn("last", F.try_element_at("pre", F.lit(-1))).drop("pre"), "join-rows", compression="zstd")
+    rows = written(signed.withColumn("last", F.try_element_at("pre", F.lit(-1))).drop("pre", "bits"), "join-rows", compression="zstd")
+    marked = written(marks(signed), "join-marks", compression="zstd")
     drop(signed)
-    hub = written(centred(pre), "join-hub")
+    hub = written(alike(centred(pre), marked), "join-hub")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = [written(texts_of(docs, rows, ids(hub)), "join-texts", compression="zstd")]
     links = written(verified(hub, texts[0]), "join-links")
     comp = components(links)
     member = written(open_tokens(pre, comp), "join-open", compression="zstd")
     drop(pre)
-    rest = open_pairs(member, rows).join(hub, ["a", "b"], "left_anti")
+    rest = open_pairs(member, rows, marked).join(hub, ["a", "b"], "left_anti")
     rest = written(rest, "join-rest")
     drop(member)
+    drop(marked)
     if not rest.isEmpty():
         new = ids(rest).distinct().join(texts[0].select("id"), "id", "left_anti")
         texts.append(written(texts_of(docs, rows, new), "join-texts", compression="zstd"))

@@ -253,6 +253,37 @@ def test_second_round_moves_no_hopeless_pairs(spark):
     assert [tuple(r) for r in got.collect()] == [(3, 4)]
 
 
+def test_second_round_makes_few_rows_for_a_group(spark):
+    """60 sets that share 15 shingles first meet once a pair, not 15 times; 60 that share only late ones never do."""
+    early = [(t, k, 180, t, k) for k in range(60) for t in range(15)]
+    late = [(100 + t, 100 + k, 180, 25 + t, 100 + k) for k in range(60) for t in range(10)]
+    member = spark.createDataFrame(early + late, "token long, id long, n int, pos int, comp long")
+    assert ngram_join.meetings(member).count() == 60 * 59 // 2 == ngram_join.met_pairs(member).count()
+
+
+def test_second_round_keeps_every_link(spark):
+    rng = np.random.default_rng(3)
+    kept = []
+    for size in (3, 12, 60, 400, 1500):
+        base = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        for _ in range(14):
+            x = base.copy()
+            new = rng.random(size) < rng.choice([0.03, 0.08, 0.11, 0.14, 0.3])
+            x[new] = rng.integers(1, 1 << 62, int(new.sum()), dtype=np.uint64)
+            kept.append(np.unique(x[: size - rng.integers(0, size // 8 + 1)]))
+    prefix = [x[: len(x) - (4 * len(x) + 4) // 5 + 1].view(np.int64).tolist() for x in kept]
+    member = [(t, i, len(kept[i]), pos, i) for i, p in enumerate(prefix) for pos, t in enumerate(p)]
+    got = ngram_join.open_pairs(
+        spark.createDataFrame(member, "token long, id long, n int, pos int, comp long"),
+        spark.createDataFrame([(bytearray([i]), i, p[-1]) for i, p in enumerate(prefix)], "cls binary, rid long, last long"),
+        spark.createDataFrame([(i, len(x), ngram_join.bitmap(x).tolist()) for i, x in enumerate(kept)], "id long, n long, bits array<long>"),
+    )
+    shared = lambda i, j: len(np.intersect1d(kept[i], kept[j]))
+    linked = {(i, j) for j in range(len(kept)) for i in range(j) if 100 * shared(i, j) >= 80 * (len(kept[i]) + len(kept[j]) - shared(i, j))}
+    got = {tuple(r) for r in got.collect()}
+    assert linked <= got and len(linked) > 60 and len(got) < 5 * 91 // 2  # of 91 pairs a family
+
+
 @pytest.mark.parametrize("blocks", [{}, dict(shingles_a_block=900, classes_a_block=4)])
 def test_join_link_counts(spark, blocks):
     rng = random.Random(5)
