@@ -16,7 +16,7 @@ import os
 import re
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import regex
@@ -28,6 +28,7 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 # Separators that Python's split() takes for white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MEMO_LIMIT, MEMO_KEPT = 500_000, 150_000
+NEW = -2  # a chunk not met before
 
 
 # Characters that every regex library puts into the same classes.
@@ -181,14 +182,13 @@ class Encoder:
                 else:
                     keys += self._keys(t)
             ends.append(len(keys))
-        found = list(map(self.memo.get, keys))
-        if None in found:
-            new = [i for i, f in enumerate(found) if f is None]
+        at = np.fromiter(map(self.memo.get, keys, repeat(NEW)), np.int32, len(keys))
+        new = np.flatnonzero(at == NEW)
+        if len(new):
+            fresh = [keys[i] for i in new.tolist()]
             with no_collection():
-                self._learn({keys[i] for i in new})
-            for i in new:
-                found[i] = self.memo[keys[i]]
-        at = np.array(found, np.int32)
+                self._learn(set(fresh))
+            at[new] = list(map(self.memo.__getitem__, fresh))
         ends = np.array(ends, np.int64)
         for n in np.unique(np.searchsorted(ends, np.flatnonzero(at < 0), "right")).tolist():
             whole[n] = texts[n]
