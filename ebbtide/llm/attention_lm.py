@@ -26,13 +26,13 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from collections import Counter
-from itertools import chain
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_net as net
@@ -56,37 +56,65 @@ def words_of(text: str | None) -> list[bytes]:
 
 def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(number of ids of each word, ids)."""
-    ids = encoder(path)._encoded([" " + w.decode("utf-8", "replace") for w in words])
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    return size, np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+    size, ids = encoder(path).spaced([w.decode("utf-8", "replace") for w in words])
+    return size, ids.astype(np.int64)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in order, words per text), the same as words_of()."""
+    whole_texts = texts.take(pa.array(np.arange(len(texts))))  # a slice of an array is not lowered right by pyarrow 23
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(whole_texts.cast(pa.large_string()), "")))
+    some = pc.not_equal(trimmed, "")
+    n = np.zeros(len(trimmed), np.int64)
+    parts = pc.ascii_split_whitespace(trimmed.filter(some))
+    n[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    return parts.flatten(), n
+
+
+def slices(b: pa.RecordBatch, column: int, size: int = 1 << 20):
+    """A batch in pieces whose texts hold about `size` bytes or are one."""
+    at = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n, m): every word of all texts with its number in training texts and in all."""
 
     def run(batches):
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        held, rows = [], 0
 
-        def out():
-            held, train = seen
-            words = list(train.keys() | held.keys())
-            n = np.fromiter(map(train.__getitem__, words), np.int64, len(words))
-            m = n + np.fromiter(map(held.__getitem__, words), np.int64, len(words))
-            train.clear()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(m)], ["word", "n", "m"])
+        def together():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum"), ("m", "sum")]).select(["word", "n_sum", "m_sum"]).rename_columns(["word", "n", "m"])
 
-        for b in batches:
-            for t, trains in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[trains].update(words_of(t))
-                if len(seen[0]) + len(seen[1]) > 400_000:
-                    yield out()
-        yield out()
+        for big in batches:
+            for b in slices(big, 0):
+                words, k = split(b.column(0))
+                found = words.dictionary_encode()
+                index, trains = found.indices.to_numpy(), np.repeat(b.column(1).to_numpy(zero_copy_only=False), k)
+                n, m = (np.bincount(i, minlength=len(found.dictionary)) for i in (index[trains], index))
+                held.append(pa.table([found.dictionary, pa.array(n), pa.array(m)], ["word", "n", "m"]))
+                rows += len(n)
+                if rows > 800_000:
+                    held = [together()]
+                    rows = held[0].num_rows
+                    if rows > 400_000:
+                        yield from as_bytes(held.pop())
+                        rows = 0
+        if held:
+            yield from as_bytes(together())
 
     counted = texts.select("text", F.expr(TRAINS).alias("trains")).mapInArrow(tidy(run), "word binary, n long, m long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+def as_bytes(counts: pa.Table) -> list[pa.RecordBatch]:
+    return counts.cast(pa.schema([("word", pa.binary()), ("n", pa.int64()), ("m", pa.int64())])).to_batches(max_chunksize=10_000)
+
+
 def learn_memory(counts: DataFrame, path: str, ends: int) -> tuple[DataFrame, Memory]:
     """((word, m, v) of all words, v as in packed(); memory of single ids alone), from exact counts of every context."""
 
@@ -159,28 +187,46 @@ class Table:
         opens[self.first] = True
         self.known[opens], self.known[~opens] = np.maximum(memory.open[ids[opens]], 1e-12), go
 
+        self.room: dict[str, np.ndarray] = {}
+
     def joined(self, more: "Table") -> "Table":
-        """This table with more words after it."""
+        """This table with more words after it, in room that the next call takes again."""
         out = object.__new__(Table)
-        out.memory, out.first = self.memory, np.concatenate([self.first, len(self.index) + more.first])
-        for x in ("size", "index", "known", "chain", "count"):
-            setattr(out, x, np.concatenate([getattr(self, x), getattr(more, x)]))
+        out.memory = self.memory
+        for x in ("first", "size", "index", "known", "chain", "count"):
+            own, new = getattr(self, x), getattr(more, x)
+            n, room = len(own), self.room.get(x, ())
+            if len(room) < n + len(new):
+                room = self.room[x] = np.concatenate([own, np.empty(2 * len(new), own.dtype)])
+            room[n : n + len(new)] = new + len(self.index) if x == "first" else new
+            setattr(out, x, room[: n + len(new)])
         return out
 
     def ids(self, number: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         return ids_and_chances(self, number, n)
 
 
+TABLES: dict[int, tuple] = {}
+
+
+def frequent_table(frequent: pa.BinaryArray, memory: Memory, out: int) -> Table:
+    """The table of the shipped words, made once a worker: a broadcast value is the same object in all its tasks."""
+    if out not in TABLES or TABLES[out][0] is not frequent:
+        TABLES[out] = frequent, Table(frequent, memory, out)
+    return TABLES[out][1]
+
+
 def span(n: np.ndarray) -> np.ndarray:
     """0 to n - 1 for each n, joined."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def coded(texts: DataFrame, words: DataFrame, head: int) -> tuple[DataFrame, pa.BinaryArray]:
-    """((key, doc_id, th, held_out, numbers, at, v) of all rows, bytes of the most frequent words, `head` at most).
+def coded(texts: DataFrame, words: DataFrame, head: int, units: int, parts: int) -> tuple[list[DataFrame], pa.BinaryArray]:
+    """(tables of (doc_id, th, held_out, unit, numbers, at, v), `parts` of the training rows and one of those held out; bytes of the most frequent words, `head` at most).
 
     A number from 0 is one of the frequent words, which are shipped; -1 - i is the text's word number i of all others,
-    whose bytes come by a join: v[j] is that of number at[j].
+    whose bytes come by a join: v[j] is that of number at[j]. The joins go one table at a time, so that the files they
+    shuffle are a part of all.
     """
     often = words.groupBy("m").count().toPandas().sort_values("m", ascending=False)  # under sqrt(2 * words) rows
     fits = often["m"][often["count"].cumsum() <= head]
@@ -191,37 +237,46 @@ def coded(texts: DataFrame, words: DataFrame, head: int) -> tuple[DataFrame, pa.
     def run(batches):
         find = {w: i for i, w in enumerate(frequent.value.to_pylist())}.get
         for big in batches:
-            for i in range(0, big.num_rows, BATCH):
-                b = big.slice(i, BATCH)
-                flat, n, rest, k = [], [], [], []
-                for t in b.column(3).to_pylist():
-                    ws, own = words_of(t), {}
-                    found = list(map(find, ws))
-                    if None in found:
-                        for j, f in enumerate(found):
-                            if f is None:
-                                found[j] = -1 - own.setdefault(ws[j], len(own))
-                    flat += found
-                    n.append(len(found))
-                    rest += own
-                    k.append(len(own))
+            for b in slices(big, 5):
+                flat, n = split(b.column(5))
+                found = flat.dictionary_encode()
+                index, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.large_binary())
+                number = np.fromiter(map(find, distinct.to_pylist(), repeat(-1)), np.int32, len(distinct))[index]
+                # Other words are numbered within their text.
+                own = np.flatnonzero(number < 0)
+                text = np.repeat(np.arange(len(n)), n)[own]
+                pair, at = np.unique(text * max(1, len(distinct)) + index[own], return_inverse=True)
+                k = np.bincount(pair // max(1, len(distinct)), minlength=len(n))
+                number[own] = -1 - (at - (np.cumsum(k) - k)[text])
+                rest = distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary())
                 cuts = [pa.array(np.append(0, np.cumsum(x)).astype(np.int32)) for x in (n, k)]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:3], pa.array([held_out(d) for d in b.column(1).to_pylist()], pa.bool_()), pa.ListArray.from_arrays(cuts[0], pa.array(flat, pa.int32())),
-                     pa.ListArray.from_arrays(cuts[1], pa.array(rest, pa.binary()))],
-                    ["key", "doc_id", "th", "held_out", "numbers", "rest"],
+                    [*b.columns[:5], pa.array([held_out(d) for d in b.column(1).to_pylist()], pa.bool_()),
+                     pa.ListArray.from_arrays(cuts[0], pa.array(number)), pa.ListArray.from_arrays(cuts[1], rest)],
+                    ["key", "doc_id", "th", "unit", "part", "held_out", "numbers", "rest"],
                 )
 
-    narrow = texts.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    docs = written(narrow.mapInArrow(tidy(run), "key long, doc_id long, th long, held_out boolean, numbers array<int>, rest array<binary>"), "lm-docs", compression="zstd")
-    asked = docs.select("key", F.posexplode("rest").alias("r", "word"))
-    found = written(asked.join(words.where(F.col("m") < least).select("word", "v"), "word").select("key", "r", "v"), "lm-found", compression="zstd")
+    th = F.xxhash64("text")
+    unit = F.pmod(F.when(F.col("doc_id").isNull(), th).otherwise(F.xxhash64("doc_id")), F.lit(units))
+    narrow = texts.select(
+        F.monotonically_increasing_id().alias("key"), "doc_id", th.alias("th"), unit.alias("unit"),
+        F.when(F.expr(TRAINS), unit % parts).otherwise(parts).cast("int").alias("part"), "text",
+    )
+    schema = "key long, doc_id long, th long, unit long, part int, held_out boolean, numbers array<int>, rest array<binary>"
+    docs = written(narrow.mapInArrow(tidy(run), schema), "lm-docs", by="part", compression="zstd")
+    asked = docs.select("part", "key", F.posexplode("rest").alias("r", "word"))
+    rare = asked.join(words.where(F.col("m") < least).select("word", "v"), "word").select("part", "key", "r", "v")
+    found = written(rare, "lm-found", by="part", compression="zstd")
     drop(words)
-    given = found.groupBy("key").agg(F.collect_list(F.struct("r", "v")).alias("x")).select("key", F.col("x.r").alias("at"), F.col("x.v").alias("v"))
-    full = written(docs.drop("rest").join(given, "key", "left"), "lm-coded", compression="zstd")
-    drop(docs)
-    drop(found)
-    return full, whole(top["v"])
+    tables = []
+    for p in reversed(range(parts + 1)):
+        mine = F.col("part") == p
+        given = found.where(mine).groupBy("key").agg(F.collect_list(F.struct("r", "v")).alias("x")).select("key", F.col("x.r").alias("at"), F.col("x.v").alias("v"))
+        full = docs.where(mine).select("key", "doc_id", "th", "unit", "held_out", "numbers").join(given, "key", "left").drop("key")
+        tables.append(written(full, "lm-coded", compression="zstd"))
+        drop(docs, f"/part={p}")
+        drop(found, f"/part={p}")
+    return tables[::-1], whole(top["v"])
 
 
 def whole(column: pa.ChunkedArray) -> pa.BinaryArray:
@@ -280,21 +335,18 @@ def start(memory: Memory):
     return net.start(share / share.sum())
 
 
-def train(docs: DataFrame, frequent: pa.BinaryArray, memory: Memory, n_words: int, unit_words: int = 100_000, rounds: int = 4):
-    """(S, parameters) after all rounds."""
+def train(spark: SparkSession, dealt: list[DataFrame], frequent: pa.BinaryArray, memory: Memory, units: int):
+    """(S, parameters) after all rounds, each of which has a table."""
     s, w = start(memory)
-    units = max(rounds, 1, -(-n_words // unit_words))
-    seed = F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.xxhash64("doc_id"))
-    dealt = docs.where("not held_out").select("doc_id", "th", "numbers", "at", "v", F.pmod(seed, F.lit(units)).alias("unit"))
-    spark, steps = docs.sparkSession, 0
+    steps, rounds = 0, len(dealt)
     shared = spark.sparkContext.broadcast((frequent, memory))
-    for r in range(rounds):
+    for mine in dealt:
         ship = spark.sparkContext.broadcast((s, w))
         at = steps
 
         def run(batches):
             os.environ.setdefault("OMP_NUM_THREADS", "1")
-            words = Table(*shared.value, 1)
+            words = frequent_table(*shared.value, 1)
             s0, w0 = ship.value
             total, rest, done, small, places = np.zeros(s0.shape), 0.0, 0, {k: np.zeros(v.shape) for k, v in w0.items()}, 0
             ids, known, unit = [], [], None
@@ -332,7 +384,6 @@ def train(docs: DataFrame, frequent: pa.BinaryArray, memory: Memory, n_words: in
                 values = np.concatenate([total[rows], head, flat])
                 yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(np.ascontiguousarray(c)) for c in values.T], ["key", *COLUMNS])
 
-        mine = dealt.where(F.col("unit") % rounds == r)
         k = max(1, min(parts(spark), -(-units // rounds)))
         sorted_units = mine.repartition(k, "unit").sortWithinPartitions("unit", "doc_id", "th").select("numbers", "at", "v", "unit")
         sums = sorted_units.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in COLUMNS))
@@ -354,7 +405,7 @@ def train(docs: DataFrame, frequent: pa.BinaryArray, memory: Memory, n_words: in
     return s, w
 
 
-def score(docs: DataFrame, path: str, head: int = 1 << 18, **training) -> DataFrame:
+def score(docs: DataFrame, path: str, head: int = 1 << 18, unit_words: int = 100_000, rounds: int = 4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -365,14 +416,16 @@ def score(docs: DataFrame, path: str, head: int = 1 << 18, **training) -> DataFr
     base = math.log10(total + 0.5 * (kinds + 1))
     words, memory = learn_memory(counts, path, ends)
     drop(counts)
-    docs, frequent = coded(texts, words, head)
-    s, w = train(docs, frequent, memory, n_words, **training)
+    units = max(rounds, 1, -(-n_words // unit_words))
+    tables, frequent = coded(texts, words, head, units, max(1, rounds))
+    s, w = train(spark, tables[:rounds], frequent, memory, units)
+    docs = reduce(DataFrame.unionAll, tables)
     model = spark.sparkContext.broadcast((frequent, memory, s, w))
 
     def run(batches):
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         frequent, memory, s, w = model.value
-        words, scorer = Table(frequent, memory, 0), net.Scorer(s, w)
+        words, scorer = frequent_table(frequent, memory, 0), net.Scorer(s, w)
         for big in batches:
             for i in range(0, big.num_rows, BATCH):
                 b = big.slice(i, BATCH)

@@ -46,6 +46,7 @@ def many_windows(ids: list[np.ndarray], end: int):
 REACH = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
 BLOCKED = np.where(REACH >= 0, 0, -1e9).astype(np.float32)
 REACH = np.maximum(REACH, 0)
+ROW, ONES = np.arange(STRIDE), np.ones(K + 1, np.float32)  # sums over short last axes are faster as products with ones
 
 
 def start(share: np.ndarray, seed: int = 7) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -73,12 +74,23 @@ def kinds(s: np.ndarray) -> np.ndarray:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    f = rows / rows.sum(-1, keepdims=True)
-    f -= np.float32(1.0 / K)
-    f *= np.float32(math.sqrt(K))
+    f = rows * (np.float32(math.sqrt(K)) / (rows.reshape(-1, K) @ ONES[:K])).reshape(*rows.shape[:-1], 1)
+    f -= np.float32(1.0 / math.sqrt(K))
     return f
 
 
+def raised(a: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """exp(a) in place, up to a factor for each row; `some` is one entry of every row.
+
+    Sums of exponentials need no shift while the largest exponent of each row is between -40 and 40.
+    """
+    if a.max() > 40 or some.min() < -40:
+        most = a.max(-1, keepdims=True)
+        if max(most.max(), -most.min()) > 40:
+            a -= most
+    return np.exp(a, out=a)
+
+
 def attend(w, last, q, k, v1, kind):
     """(component weights, their sums, attention weights, their sums, what is read); `last` is the gate's part from the last id.
 
@@ -89,22 +101,15 @@ def attend(w, last, q, k, v1, kind):
     n = len(k)
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += w["near"][REACH] + BLOCKED
-    # Sums of exponentials need no shift while the largest exponents are small.
-    most = a.max(-1, keepdims=True)
-    if max(most.max(), -most.min()) > 40:
-        a -= most
-    np.exp(a, out=a)
+    raised(a, a[:, ROW, ROW + CONTEXT - STRIDE])
     read = np.matmul(a, v1)
     norm = read[..., HEAD:]
     c = read[..., :HEAD] / norm
     z = (c.reshape(-1, HEAD) @ w["W2"]).reshape(n, STRIDE, K + 1)
     z += last
     z[..., K] += w["own"][kind]
-    most = z.max(-1, keepdims=True)
-    if max(most.max(), -most.min()) > 40:
-        z -= most
-    np.exp(z, out=z)
-    return z, z.sum(-1), a, norm, c
+    raised(z, z[..., K])
+    return z, (z.reshape(-1, K + 1) @ ONES).reshape(n, STRIDE), a, norm, c
 
 
 class Scorer:
@@ -122,16 +127,18 @@ class Scorer:
     def chances(self, x, y, known) -> np.ndarray:
         """Chance of each target; `known` is the memory's chance of it."""
         now = x[:, CONTEXT - STRIDE :]
-        kv = self.kv[x]
-        z, norm, *_ = attend(self.w, self.last[now], self.q[now], kv[..., :HEAD], kv[..., HEAD:], of_kind(y, len(self.table)))
-        p = np.einsum("nik,nik->ni", z[..., :K], self.table[y])
+        kv = self.kv.take(x, 0)
+        z, norm, *_ = attend(self.w, self.last.take(now, 0), self.q.take(now, 0), kv[..., :HEAD], kv[..., HEAD:], of_kind(y, len(self.table)))
+        p = np.einsum("nik,nik->ni", z[..., :K], self.table.take(y, 0))
         return (p + z[..., K] * known) / norm
 
 
 def gradients(s, w, x, y, known, mask, total):
     """(mean log-likelihood's gradients, posteriors [scored, K], their ids)."""
     n = len(x)
-    f = features(s[x])
+    # The targets but the last are the inputs after the first scored place; those that are not scored do not count.
+    rows = s.take(np.concatenate([x, y[:, -1:]], 1), 0)
+    f = features(rows[:, :CONTEXT])
     f[x < 0] = 0
     last = f[:, CONTEXT - STRIDE :].reshape(-1, K)
     wide = f.reshape(-1, K)
@@ -143,9 +150,10 @@ def gradients(s, w, x, y, known, mask, total):
     z, sums, a, norm, c = attend(w, (last @ w["W1"] + w["b"]).reshape(n, STRIDE, K + 1), q, k, v1, kind)
     z /= sums[..., None]
     r = np.empty_like(z)
-    np.multiply(z[..., :K], s[y] / total[kind], out=r[..., :K])
+    np.multiply(z[..., :K], rows[:, CONTEXT - STRIDE + 1 :], out=r[..., :K])
+    r[..., :K] *= (1 / total).take(kind, 0)
     np.multiply(z[..., K], known, out=r[..., K])
-    r /= r.sum(-1, keepdims=True)
+    r *= (1 / (r.reshape(-1, K + 1) @ ONES)).reshape(n, STRIDE, 1)
     d = (r - z).reshape(-1, K + 1)
     d *= mask.reshape(-1, 1) / np.float32(max(1, mask.sum()))
     own = np.bincount(kind.ravel(), d[:, K], 2).astype(np.float32)
@@ -159,7 +167,8 @@ def gradients(s, w, x, y, known, mask, total):
     g["Q"] = last.T @ np.matmul(ds, k).reshape(-1, HEAD)
     g["Kk"] = wide.T @ np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, HEAD)
     g["V"] = wide.T @ np.matmul(a.transpose(0, 2, 1), dc).reshape(-1, HEAD)
-    return g, r[..., :K][mask], y[mask]
+    scored = np.flatnonzero(mask)
+    return g, r.reshape(-1, K + 1).take(scored, 0)[:, :K], y.ravel().take(scored)
 
 
 def train_unit(s0, w0, ids: list[np.ndarray], end: int, memory, at: float = 0.0, batch: int = 128, rate: float = 0.05):
@@ -170,9 +179,10 @@ def train_unit(s0, w0, ids: list[np.ndarray], end: int, memory, at: float = 0.0,
     x, y, mask = many_windows(ids, end)
     known = np.zeros(mask.shape, np.float32)
     known[mask] = memory(ids)
-    s, w = s0.copy(), {k: v.copy() for k, v in w0.items()}
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    u = {k: np.zeros_like(v) for k, v in w.items()}
+    s, flat = s0.copy(), np.concatenate([v.ravel() for v in w0.values()])  # all parameters in one array
+    ends = np.cumsum([v.size for v in w0.values()])
+    w = {k: part.reshape(v.shape) for (k, v), part in zip(w0.items(), np.split(flat, ends[:-1]))}
+    m, u = np.zeros_like(flat), np.zeros_like(flat)
     total, scale = kinds(s), 1.0
     touched = np.zeros(len(s), bool)
     # Neighbouring windows are alike: a fixed shuffle mixes them.
@@ -183,19 +193,21 @@ def train_unit(s0, w0, ids: list[np.ndarray], end: int, memory, at: float = 0.0,
         # S <- (1 - step) S + step * posteriors, kept as a growing scale so that only touched rows change.
         step = 0.5 * (t + at + 2) ** -0.6
         scale /= 1 - step
-        by = np.argsort(ys, kind="stable")
-        ys = ys[by]
+        places = (len(ys) - 1).bit_length()
+        ys = np.sort((ys.astype(np.int64) << places) | np.arange(len(ys)))
+        by = ys & ((1 << places) - 1)
+        ys >>= places
         first = np.flatnonzero(np.append(True, ys[1:] != ys[:-1]))
-        add = np.add.reduceat(r[by], first, axis=0) * np.float32(step * scale / len(ys))
+        add = np.add.reduceat(r.take(by, 0), first, axis=0) * np.float32(step * scale / len(ys))
         s[ys[first]] += add
         touched[ys[first]] = True
         cut = int(np.searchsorted(ys[first], len(s) // 2))
         total = total + np.stack([add[:cut].sum(0), add[cut:].sum(0)])
         lr = rate / math.sqrt(1 + (t + at) / 50)
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            u[k] = 0.99 * u[k] + 0.01 * g[k] ** 2
-            w[k] += lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.99**t)) + 1e-8)
+        slope = np.concatenate([g[k].ravel() for k in w])
+        m = 0.9 * m + 0.1 * slope
+        u = 0.99 * u + 0.01 * slope**2
+        flat += lr * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)
         if scale > 1e6:
             s /= np.float32(scale)
             total = total / np.float32(scale)

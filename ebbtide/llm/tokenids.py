@@ -99,6 +99,9 @@ class Encoder:
         self.tok = library(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ranked = ranked(path)
+        names = [] if self.ranked is None else self.ranked.token_byte_values()
+        self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.opens[[self.ranked.encode_single_token(b) for b in names if b[:1] == b" "]] = True
         self.memo: dict[str, int] = {"": -1, "\n": -1}
         self.flat = np.empty(1 << 20, np.uint32)
         self.first = np.empty(0, np.int32)
@@ -138,6 +141,29 @@ class Encoder:
             chunks[i] = enc.ids
         return [one(s) if type(s) is str else s for s in chunks]
 
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word after a space, ids); no word is empty or holds a space.
+
+        Words of common letters go through as one text, which is cut before the ids that begin with a space.
+        """
+        sure = None if self.ranked is None else np.ones(len(words), bool)
+        if sure is not None and not SURE("".join(words)):
+            sure = np.fromiter((SURE(w) is not None for w in words), bool, len(words))
+        if sure is None or not sure.any():
+            ids = self._encoded([" " + w for w in words])
+            return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+        rest = [] if sure.all() else self._encoded([" " + words[i] for i in np.flatnonzero(~sure)])
+        text = " " + " ".join(words if not rest else [words[i] for i in np.flatnonzero(sure)])
+        plain = self.ranked.encode_to_numpy(text, disallowed_special=())
+        size = np.empty(len(words), np.int64)
+        size[sure] = np.diff(np.append(np.flatnonzero(self.opens[plain]), len(plain)))
+        if not rest:
+            return size, plain
+        size[~sure] = list(map(len, rest))
+        ids, among = np.empty(int(size.sum()), np.uint32), np.repeat(sure, size)
+        ids[among], ids[~among] = plain, np.fromiter(chain.from_iterable(rest), np.uint32)
+        return size, ids
+
     @staticmethod
     def _keys(text: str) -> list[str]:
         if "\n" not in text:
