@@ -112,21 +112,24 @@ class Encoder:
         """Encode new chunks; -1 marks chunks that must not be encoded alone."""
         memo = self.memo
         new = [k for k in keys if k[0] > " " and not k[0].isspace()]
-        text = [" " + k for k in new]
+        size, flat = self.spaced(new)
+        text = []
         for k in keys.difference(new):
             if k[0] == " " or k[0] == "\n" and not k[1].isspace():
                 new.append(k)
                 text.append("\n" * len(k) if k[0] == " " else k[1:])
             else:
                 memo[k] = -1
-        ids = self._encoded(text)
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        if text:
+            ids = self._encoded(text)
+            size = np.append(size, list(map(len, ids)))
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
         first, end = len(self.first), self.used + int(size.sum())
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+        self.flat[self.used : end] = flat
         self.first = np.concatenate([self.first, (self.used + np.cumsum(size) - size).astype(np.int32)])
-        self.size = np.concatenate([self.size, size])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.used = end
         memo.update(zip(new, range(first, first + len(new))))
 

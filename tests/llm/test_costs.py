@@ -61,6 +61,10 @@ def test_new_words_are_encoded_by_one_call():
         want = [e.ids for e in enc.tok.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
         assert size.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
         assert len(calls) == most
+    text = "x " + " ".join(words)
+    calls.clear()
+    assert enc.ids(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2  # all words after a space, and the first one
 
 
 def test_texts_are_joined_with_their_words_in_parts(spark):
